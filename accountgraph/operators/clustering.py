@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from accountgraph.functions.geometry import distance, squared_array_distance
@@ -30,17 +30,19 @@ BROADCAST_COORDINATES = 4_000_000
 FEATURES = ("x", "y")
 
 
-def _nearest_inline(rows: list[Row], features: Sequence[str]) -> Column:
-    """Struct ``distance, cid`` of the nearest centroid, the smallest cid on a tie."""
-    point = [F.col(f) for f in features]
+def _nearest_inline(points: DataFrame, rows: list[Row], features: Sequence[str]) -> DataFrame:
+    """``points`` with the struct ``nearest``, computed by plain column expressions."""
     by_cid = sorted(rows, key=lambda r: r.cid)
-    distances = [distance(point, [F.lit(r[f]) for f in features]) for r in by_cid]
-    least = F.least(*distances) if len(distances) > 1 else distances[0]
-    nearest = F.coalesce(*[F.when(d == least, F.lit(r.cid)) for d, r in zip(distances, by_cid)])
-    return F.struct(least.alias("distance"), nearest.cast("int").alias("cid"))
+    point = [F.col(f) for f in features]
+    distances = F.array(*[distance(point, [F.lit(r[f]) for f in features]) for r in by_cid])
+    least = F.array_min("distances")
+    first = F.array_position("distances", least).cast("int") - 1
+    cid = F.get(F.lit([int(r.cid) for r in by_cid]), first).cast("int")
+    measured = points.withColumn("distances", distances)
+    return measured.withColumn("nearest", F.struct(least.alias("distance"), cid.alias("cid"))).drop("distances")
 
 
-def _nearest_batches(rows: list[Row], features: Sequence[str]) -> Column:
+def _nearest_batches(points: DataFrame, rows: list[Row], features: Sequence[str]) -> DataFrame:
     """The same over Arrow batches, one pass of numpy per centroid."""
     by_cid = sorted(rows, key=lambda r: r.cid)
     ids = np.array([r.cid for r in by_cid], dtype="int32")
@@ -63,42 +65,51 @@ def _nearest_batches(rows: list[Row], features: Sequence[str]) -> Column:
                 cid[closer] = ids[i]
             yield pd.DataFrame({"distance": best, "cid": cid})
 
-    return nearest(*[F.col(f).cast("double") for f in features])
+    return points.withColumn("nearest", nearest(*[F.col(f).cast("double") for f in features]))
 
 
-def _nearest(rows: list[Row], features: Sequence[str]) -> Column:
+def _nearest(points: DataFrame, rows: list[Row], features: Sequence[str]) -> DataFrame:
+    """``points`` with the struct ``nearest``: least ``distance`` and its ``cid``, the smallest cid on a tie."""
     inline = len(rows) * len(features) <= INLINE_COORDINATES
-    return _nearest_inline(rows, features) if inline else _nearest_batches(rows, features)
-
-
-def _head(centroids: DataFrame | list[Row]) -> list[Row]:
-    """Up to one block of centroids, plus one if there are more."""
-    return centroids if isinstance(centroids, list) else centroids.limit(BLOCK_CENTROIDS + 1).collect()
+    return (_nearest_inline if inline else _nearest_batches)(points, rows, features)
 
 
-def measure(points: DataFrame, centroids: DataFrame | list[Row], features: Sequence[str] = FEATURES) -> DataFrame:
-    """``points`` with the struct ``nearest`` (``distance, cid``); the smallest cid wins a tie."""
-    rows = _head(centroids)
+def _held(centroids: DataFrame) -> DataFrame | list[Row]:
+    """The centroids as plain rows if they fit one block, as they are otherwise."""
+    rows = centroids.limit(BLOCK_CENTROIDS + 1).collect()
     if not rows:
         raise ValueError("no centroids given")
-    if len(rows) <= BLOCK_CENTROIDS:
-        return points.withColumn("nearest", _nearest(rows, features))
+    return rows if len(rows) <= BLOCK_CENTROIDS else centroids
+
 
+def _measured(points: DataFrame, held: DataFrame | list[Row], features: Sequence[str]) -> DataFrame:
+    if isinstance(held, list):
+        return _nearest(points, held, features)
     # Too many for one block: carry the best candidate from block to block, so
     # that no task ever holds more than about one block of centroids.
-    blocks = 2 * math.ceil(centroids.count() / BLOCK_CENTROIDS)
-    placed = centroids.withColumn("block", F.pmod(F.xxhash64("cid", *features), F.lit(blocks)))
-    best = points.withColumn("nearest", F.lit(None).cast("struct<distance:double,cid:int>"))
+    blocks = 2 * math.ceil(held.count() / BLOCK_CENTROIDS)
+    placed = held.withColumn("block", F.pmod(F.xxhash64("cid", *features), F.lit(blocks)))
+    best = points.withColumn("best", F.lit(None).cast("struct<distance:double,cid:int>"))
     for block in range(blocks):
         rows = placed.where(F.col("block") == block).collect()
         if rows:
-            best = pin(best.withColumn("nearest", F.least(F.col("nearest"), _nearest(rows, features))))
-    return best
+            nearer = _nearest(best, rows, features).withColumn("best", F.least("best", "nearest"))
+            best = pin(nearer.drop("nearest"))
+    return best.withColumnRenamed("best", "nearest")
+
 
+def _labelled(points: DataFrame, held: DataFrame | list[Row], features: Sequence[str]) -> DataFrame:
+    return _measured(points, held, features).withColumn("cid", F.col("nearest.cid")).drop("nearest")
 
-def assign(points: DataFrame, centroids: DataFrame | list[Row], features: Sequence[str] = FEATURES) -> DataFrame:
-    """``points`` with the ``cid`` of the nearest centroid."""
-    return measure(points, centroids, features).withColumn("cid", F.col("nearest.cid")).drop("nearest")
+
+def measure(points: DataFrame, centroids: DataFrame, features: Sequence[str] = FEATURES) -> DataFrame:
+    """``points`` with the struct ``nearest``: ``distance`` to the nearest centroid and its ``cid``."""
+    return _measured(points, _held(centroids), features)
+
+
+def assign(points: DataFrame, centroids: DataFrame, features: Sequence[str] = FEATURES) -> DataFrame:
+    """``points`` with the ``cid`` of the nearest centroid; the smallest cid wins a tie."""
+    return _labelled(points, _held(centroids), features)
 
 
 def update(labelled: DataFrame, features: Sequence[str] = FEATURES) -> DataFrame:
@@ -106,12 +117,6 @@ def update(labelled: DataFrame, features: Sequence[str] = FEATURES) -> DataFrame
     return labelled.groupBy("cid").agg(*[F.avg(f).alias(f) for f in features], F.count(F.lit(1)).alias("n"))
 
 
-def _settled(centroids: DataFrame) -> DataFrame | list[Row]:
-    """Centroids computed now: plain rows when they fit one block, a checkpoint otherwise."""
-    rows = centroids.limit(BLOCK_CENTROIDS + 1).collect()
-    return rows if len(rows) <= BLOCK_CENTROIDS else pin(centroids)
-
-
 class Lloyd(NamedTuple):
     labelled: DataFrame
     centroids: DataFrame
@@ -127,25 +132,27 @@ def lloyd(
     cached points with one partial row per cluster and task in the shuffle.
     """
     spark = points.sparkSession
+    held = _held(centroids)
     own_cache = points.storageLevel == StorageLevel.NONE
     if own_cache:
         points.persist()
     try:
-        current = centroids
         for _ in range(iterations):
-            current = _settled(update(assign(points, current, features), features).select("cid", *features))
+            means = update(_labelled(points, held, features), features).select("cid", *features)
+            # Clusters can only vanish, so plain rows stay within one block.
+            held = means.collect() if isinstance(held, list) else _held(pin(means))
     finally:
         if own_cache:
             points.unpersist()
-    labelled = assign(points, current, features)
-    if isinstance(current, list):
+    final = held
+    if isinstance(held, list):
         kinds = ", ".join(f"{f} double" for f in features)
-        current = spark.createDataFrame([tuple(r) for r in current], f"cid int, {kinds}")
-    return Lloyd(labelled, current)
+        final = spark.createDataFrame([tuple(r) for r in held], f"cid int, {kinds}")
+    return Lloyd(_labelled(points, held, features), final)
 
 
 def within_cluster_cost(
-    points: DataFrame, centroids: DataFrame | list[Row], features: Sequence[str] = FEATURES
+    points: DataFrame, centroids: DataFrame, features: Sequence[str] = FEATURES
 ) -> DataFrame:
     """Sum of squared distances of the points to their nearest centroid, one row ``cost``."""
     near = measure(points, centroids, features)
