@@ -3,21 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-from operator import add
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def squared_distance(left: Sequence[Column], right: Sequence[Column | float]) -> Column:
-    """Sum of squared coordinate differences."""
-    return reduce(add, [(a - b) * (a - b) for a, b in zip(left, right, strict=True)])
+def distance_to(features: Sequence[str], centre: Sequence[float]) -> Column:
+    """Euclidean distance of the point in the named columns to fixed coordinates.
 
-
-def distance(left: Sequence[Column], right: Sequence[Column | float]) -> Column:
-    """Euclidean distance."""
-    return F.sqrt(squared_distance(left, right))
+    Written as one SQL expression: building it call by call costs more than
+    running it on small inputs.
+    """
+    gaps = [f"(`{feature}` - ({float(value)!r}D))" for feature, value in zip(features, centre, strict=True)]
+    return F.expr(f"sqrt({' + '.join(f'{gap} * {gap}' for gap in gaps)})")
 
 
 def squared_array_distance(left: Column, right: Column) -> Column:

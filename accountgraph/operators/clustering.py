@@ -14,7 +14,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from accountgraph.functions.geometry import distance, squared_array_distance
+from accountgraph.functions.geometry import distance_to, squared_array_distance
 from accountgraph.storage import pin
 
 # Coordinates of all centroids up to which the nearest one is a plain column
@@ -33,8 +33,7 @@ FEATURES = ("x", "y")
 def _nearest_inline(points: DataFrame, rows: list[Row], features: Sequence[str]) -> DataFrame:
     """``points`` with the struct ``nearest``, computed by plain column expressions."""
     by_cid = sorted(rows, key=lambda r: r.cid)
-    point = [F.col(f) for f in features]
-    distances = F.array(*[distance(point, [F.lit(r[f]) for f in features]) for r in by_cid])
+    distances = F.array(*[distance_to(features, [r[f] for f in features]) for r in by_cid])
     least = F.array_min("distances")
     first = F.array_position("distances", least).cast("int") - 1
     cid = F.get(F.lit([int(r.cid) for r in by_cid]), first).cast("int")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from accountgraph.operators import skew
@@ -42,13 +42,12 @@ def pagerank(edges: DataFrame, iterations: int, damping: float, init: float | st
     outgoing edges is not redistributed. ``init`` is the starting rank, or
     ``"uniform"`` for 1/N.
 
-    A round divides each account's rank by its outgoing weight, so the edges
-    keep their raw weights and stay put: they are partitioned and sorted by
-    source once and cached, and only ranks and combined messages move. Sources
-    holding a large share of the edges are kept apart; their edges stay spread
-    evenly and meet a broadcast table with a bounded number of rows. The vertex
-    table is checkpointed every round, so plans stay flat and a lost executor
-    costs at most one round.
+    The weighted edges are partitioned and sorted by source once and cached,
+    so a round moves only ranks and combined messages. Sources holding a large
+    share of the edges are kept apart: their edges stay spread evenly and meet
+    a broadcast table with a bounded number of rows. The ranks are
+    checkpointed every round, so plans stay flat and a lost executor costs at
+    most one round.
     """
     if iterations < 1:
         raise ValueError("iterations must be at least 1")
@@ -57,59 +56,54 @@ def pagerank(edges: DataFrame, iterations: int, damping: float, init: float | st
     if isinstance(init, str) and init != "uniform":
         raise ValueError("init must be a number or 'uniform'")
 
-    spark = edges.sparkSession
     weighted = weighted_edges(edges)
     vertices = pin(_vertices(weighted))
-    n_vertices, n_edges, most = vertices.agg(
-        F.count(F.lit(1)), F.coalesce(F.sum("out_edges"), F.lit(0)), F.coalesce(F.max("out_edges"), F.lit(0))
-    ).first()
-    base = (1.0 - damping) / n_vertices if n_vertices else 0.0
-    start = 1.0 / max(n_vertices, 1) if init == "uniform" else float(init)
-
-    is_hot = F.col("out_edges") > skew.hot_threshold(n_edges)
-    any_hot = most > max(skew.HOT_ROWS, n_edges / skew.HOT_KEYS)
-    state = vertices.select("id", "out_weight", is_hot.alias("hot"), F.lit(start).alias("rank"))
-
-    partitions = min(
-        int(spark.conf.get("spark.sql.shuffle.partitions")), max(1, math.ceil(n_edges / EDGES_PER_PARTITION))
-    )
-    cold_edges, hot_links = weighted, None
-    if any_hot:
-        hot_ids = F.broadcast(state.where("hot").select(F.col("id").alias("src")))
-        cold_edges = weighted.join(hot_ids, "src", "left_anti")
-        hot_links = _parallel_weights(weighted.join(hot_ids, "src", "left_semi")).persist()
-    links = _parallel_weights(cold_edges.repartition(partitions, "src")).sortWithinPartitions("src").persist()
-
+    n_vertices, n_edges, most = vertices.agg(F.count(F.lit(1)), F.sum("out_edges"), F.max("out_edges")).first()
+    if not n_vertices:
+        return vertices.select("id", F.lit(0.0).alias("rank"))
+    start = 1.0 / n_vertices if init == "uniform" else float(init)
+    base = (1.0 - damping) / n_vertices
+
+    totals = vertices.where("out_edges > 0").selectExpr("id AS src", "out_weight")
+    cold_edges, hot_links, hot_ids = weighted, None, None
+    if most > max(skew.HOT_ROWS, n_edges / skew.HOT_KEYS):
+        hot = vertices.where(F.col("out_edges") > skew.hot_threshold(n_edges)).selectExpr("id AS src", "out_weight")
+        hot_ids = hot.select("src")
+        cold_edges = weighted.join(F.broadcast(hot_ids), "src", "left_anti")
+        hot_links = _normalised(_parallel_weights(weighted.join(F.broadcast(hot_ids), "src")), F.broadcast(hot))
+        hot_links.persist()
+    by_source = _parallel_weights(cold_edges.repartition(_partitions(n_edges, edges.sparkSession), "src"))
+    links = _normalised(by_source.sortWithinPartitions("src"), totals).sortWithinPartitions("src").persist()
+
+    ranks = vertices.select("id", F.lit(start).alias("rank"))
     try:
         for _ in range(iterations):
-            state = pin(_advance(state, links, hot_links, base, damping))
+            sources = ranks.selectExpr("id AS src", "rank")
+            messages = _messages(links, sources)
+            if hot_links is not None:
+                hot_sources = sources.join(F.broadcast(hot_ids), "src", "left_semi")
+                messages = messages.union(_messages(hot_links, F.broadcast(hot_sources)))
+            # Every account adds a row of its own, which keeps those without
+            # incoming edges and saves a join with the account table.
+            inflow = messages.union(ranks.selectExpr("id", "0D AS inflow"))
+            ranks = pin(inflow.groupBy("id").agg(F.expr(f"{base!r}D + {damping!r}D * sum(inflow) AS rank")))
     finally:
         links.unpersist()
         if hot_links is not None:
             hot_links.unpersist()
-    return state.select("id", "rank")
+    return ranks
 
 
-def _advance(state: DataFrame, links: DataFrame, hot_links: DataFrame | None, base: float, damping: float) -> DataFrame:
-    """One round. Messages and the vertex table itself meet in a single aggregation.
+def _partitions(n_edges: int, spark: SparkSession) -> int:
+    """As many partitions as the edges fill, at most the session's shuffle partitions."""
+    return min(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n_edges / EDGES_PER_PARTITION))
 
-    Every account contributes a row of its own with no inflow, which keeps
-    accounts without incoming edges and carries their attributes along.
-    """
-    shares = state.where(F.col("out_weight") > 0).select(
-        F.col("id").alias("src"), (F.col("rank") / F.col("out_weight")).alias("share"), "hot"
-    )
-    messages = links.join(shares.where(~F.col("hot")), "src")
-    if hot_links is not None:
-        messages = messages.unionByName(hot_links.join(F.broadcast(shares.where("hot")), "src"))
-    inflow = messages.select(
-        F.col("dst").alias("id"),
-        (F.col("share") * F.col("weight")).alias("inflow"),
-        F.lit(0.0).alias("out_weight"),
-        F.lit(False).alias("hot"),
-    ).unionByName(state.select("id", F.lit(0.0).alias("inflow"), "out_weight", "hot"))
-    return inflow.groupBy("id").agg(
-        F.max("out_weight").alias("out_weight"),
-        F.max("hot").alias("hot"),
-        (F.lit(base) + F.lit(damping) * F.sum("inflow")).alias("rank"),
-    )
+
+def _normalised(links: DataFrame, totals: DataFrame) -> DataFrame:
+    """``src, dst, weight`` with the weights of each source adding up to 1."""
+    return links.join(totals, "src").selectExpr("src", "dst", "weight / out_weight AS weight")
+
+
+def _messages(links: DataFrame, sources: DataFrame) -> DataFrame:
+    """Rank flowing along each link as ``id, inflow``."""
+    return links.join(sources, "src").selectExpr("dst AS id", "rank * weight AS inflow")
