@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from accountgraph import schemas
+from accountgraph.functions.geometry import squared_array_distance
 from accountgraph.operators import clustering, generate, graph, pagerank, text, visits
 from accountgraph.sinks import files
 from accountgraph.sources import tables
@@ -208,6 +209,19 @@ def kmeans_ml_cost(spark: SparkSession, folder: str) -> DataFrame:
     return clustering.kmeans_random(tables.vectors(spark, folder), K, "embedding", SEED).cost
 
 
+def kmeans_ml_misplaced(spark: SparkSession, folder: str) -> DataFrame:
+    """Accounts clustered by the library, and how many of them have a nearer centre (none)."""
+    features = ("id", "followers", "pursuers")
+    degrees = graph.degree_table(tables.edges(spark, folder))
+    result = clustering.kmeans_random(degrees, K, features, SEED)
+    axes = [F.col("centre")[i] for i in range(3)]
+    centroids = result.centres.select(F.col("cluster").alias("cid"), *[a.alias(f) for a, f in zip(axes, features)])
+    own = squared_array_distance(F.array(*[F.col(f).cast("double") for f in features]), F.col("centre"))
+    measured = clustering.measure(result.labelled, centroids, features).join(F.broadcast(result.centres), "cluster")
+    misplaced = F.sqrt(own) > F.col("nearest.distance") * (1 + 1e-6)
+    return measured.agg(F.count(F.lit(1)).alias("accounts"), F.count_if(misplaced).alias("misplaced"))
+
+
 def kmeans_ml_degrees(spark: SparkSession, folder: str) -> DataFrame:
     degrees = graph.degree_table(tables.edges(spark, folder))
     result = clustering.kmeans_random(degrees, K, ("id", "followers", "pursuers"), SEED)
@@ -292,6 +306,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "kmeans_ml_random": kmeans_ml_random,
         "kmeans_ml_cost": kmeans_ml_cost,
         "kmeans_ml_degrees": kmeans_ml_degrees,
+        "kmeans_ml_misplaced": kmeans_ml_misplaced,
         "sink_json": sink_json,
         "sink_text": sink_text,
         "sink_csv": sink_csv,
@@ -368,6 +383,7 @@ def _kmeans_sql(rounds: int, select: str) -> str:
     return f"WITH {', '.join(ctes)} {select}"
 
 
+
 def _hash_sql(bound: int, text: str) -> str:
     return f"(('0x' || substr(md5({text}), 1, 8))::BIGINT % {bound})"
 
@@ -440,6 +456,7 @@ def oracle_sql() -> dict[str, str]:
         ),
         "kmeans_points": _kmeans_sql(ROUNDS, f"SELECT id, x, y, cid FROM a{ROUNDS}"),
         "kmeans_cost": _kmeans_sql(ROUNDS, f"SELECT round(sum(d * d), 4) AS cost FROM a{ROUNDS}"),
+        "kmeans_ml_misplaced": f"WITH {_EDGES}, {_IDS} SELECT count(*)::BIGINT AS accounts, 0::BIGINT AS misplaced FROM ids",
         "sink_json": web_log,
         "sink_text": degrees,
         "sink_csv": ranks,

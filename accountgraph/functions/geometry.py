@@ -8,14 +8,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def distance_to(features: Sequence[str], centre: Sequence[float]) -> Column:
-    """Euclidean distance of the point in the named columns to fixed coordinates.
-
-    Written as one SQL expression: building it call by call costs more than
-    running it on small inputs.
-    """
+def distance_to(features: Sequence[str], centre: Sequence[float]) -> str:
+    """SQL of the Euclidean distance of the point in the named columns to fixed coordinates."""
     gaps = [f"(`{feature}` - ({float(value)!r}D))" for feature, value in zip(features, centre, strict=True)]
-    return F.expr(f"sqrt({' + '.join(f'{gap} * {gap}' for gap in gaps)})")
+    return f"sqrt({' + '.join(f'{gap} * {gap}' for gap in gaps)})"
 
 
 def squared_array_distance(left: Column, right: Column) -> Column:

@@ -8,14 +8,13 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from accountgraph.functions.geometry import distance_to, squared_array_distance
-from accountgraph.storage import pin
+from accountgraph.storage import pin, stored
 
 # Coordinates of all centroids up to which the nearest one is a plain column
 # expression. Longer expressions outgrow what the JVM compiles well, and
@@ -31,14 +30,14 @@ FEATURES = ("x", "y")
 
 
 def _nearest_inline(points: DataFrame, rows: list[Row], features: Sequence[str]) -> DataFrame:
-    """``points`` with the struct ``nearest``, computed by plain column expressions."""
+    """``points`` with the struct ``nearest``, computed by plain SQL expressions."""
     by_cid = sorted(rows, key=lambda r: r.cid)
-    distances = F.array(*[distance_to(features, [r[f] for f in features]) for r in by_cid])
-    least = F.array_min("distances")
-    first = F.array_position("distances", least).cast("int") - 1
-    cid = F.get(F.lit([int(r.cid) for r in by_cid]), first).cast("int")
-    measured = points.withColumn("distances", distances)
-    return measured.withColumn("nearest", F.struct(least.alias("distance"), cid.alias("cid"))).drop("distances")
+    distances = ", ".join(distance_to(features, [r[f] for f in features]) for r in by_cid)
+    cids = ", ".join(str(r.cid) for r in by_cid)
+    least = "array_min(distances)"
+    first = f"CAST(array_position(distances, {least}) AS INT) - 1"
+    nearest = f"named_struct('distance', {least}, 'cid', get(array({cids}), {first})) AS nearest"
+    return points.selectExpr("*", f"array({distances}) AS distances").selectExpr("*", nearest).drop("distances")
 
 
 def _nearest_batches(points: DataFrame, rows: list[Row], features: Sequence[str]) -> DataFrame:
@@ -98,7 +97,7 @@ def _measured(points: DataFrame, held: DataFrame | list[Row], features: Sequence
 
 
 def _labelled(points: DataFrame, held: DataFrame | list[Row], features: Sequence[str]) -> DataFrame:
-    return _measured(points, held, features).withColumn("cid", F.col("nearest.cid")).drop("nearest")
+    return _measured(points, held, features).selectExpr("*", "nearest.cid AS cid").drop("nearest")
 
 
 def measure(points: DataFrame, centroids: DataFrame, features: Sequence[str] = FEATURES) -> DataFrame:
@@ -111,9 +110,14 @@ def assign(points: DataFrame, centroids: DataFrame, features: Sequence[str] = FE
     return _labelled(points, _held(centroids), features)
 
 
-def update(labelled: DataFrame, features: Sequence[str] = FEATURES) -> DataFrame:
-    """Mean of every non-empty cluster: ``cid``, the features and the number ``n`` of points."""
-    return labelled.groupBy("cid").agg(*[F.avg(f).alias(f) for f in features], F.count(F.lit(1)).alias("n"))
+def update(labelled: DataFrame, features: Sequence[str] = FEATURES, weight: str | None = None) -> DataFrame:
+    """Mean of every non-empty cluster: ``cid``, the features and the number ``n`` of points.
+
+    ``weight`` names a column telling how many points a row stands for.
+    """
+    points = "1" if weight is None else f"`{weight}`"
+    means = [F.expr(f"sum(`{f}` * {points}) / sum({points}) AS `{f}`") for f in features]
+    return labelled.groupBy("cid").agg(*means, F.expr(f"sum({points}) AS n"))
 
 
 class Lloyd(NamedTuple):
@@ -127,25 +131,24 @@ def lloyd(
     """Exactly ``iterations`` rounds of Lloyd's algorithm from the given centroids.
 
     A cluster that loses all its points disappears. The points are labelled
-    with the centroids after the last update. One round is one job over the
-    cached points with one partial row per cluster and task in the shuffle.
+    with the centroids after the last update.
+
+    Points at the same place always share a cluster, so the rounds run on the
+    distinct places with the number of points at each: a table of whole-number
+    coordinates such as degrees shrinks by orders of magnitude. A round is one
+    job over that table, shuffling one partial row per cluster and task.
     """
     spark = points.sparkSession
     held = _held(centroids)
-    own_cache = points.storageLevel == StorageLevel.NONE
-    if own_cache:
-        points.persist()
-    try:
-        for _ in range(iterations):
-            means = update(_labelled(points, held, features), features).select("cid", *features)
-            # Clusters can only vanish, so plain rows stay within one block.
-            held = means.collect() if isinstance(held, list) else _held(pin(means))
-    finally:
-        if own_cache:
-            points.unpersist()
+    if iterations > 0:
+        places = stored(points.groupBy(*features).agg(F.count(F.lit(1)).alias("n")), "places")
+    for _ in range(iterations):
+        means = update(_labelled(places, held, features), features, weight="n").select("cid", *features)
+        # Clusters can only vanish, so plain rows stay within one block.
+        held = means.collect() if isinstance(held, list) else _held(pin(means))
     final = held
     if isinstance(held, list):
-        kinds = ", ".join(f"{f} double" for f in features)
+        kinds = ", ".join(f"`{f}` double" for f in features)
         final = spark.createDataFrame([tuple(r) for r in held], f"cid int, {kinds}")
     return Lloyd(_labelled(points, held, features), final)
 
@@ -155,7 +158,7 @@ def within_cluster_cost(
 ) -> DataFrame:
     """Sum of squared distances of the points to their nearest centroid, one row ``cost``."""
     near = measure(points, centroids, features)
-    return near.agg(F.sum(F.col("nearest.distance") * F.col("nearest.distance")).alias("cost"))
+    return near.agg(F.expr("sum(nearest.distance * nearest.distance) AS cost"))
 
 
 class RandomStart(NamedTuple):
@@ -179,13 +182,10 @@ def kmeans_random(
     else:
         values = F.array(*[F.col(f).cast("double") for f in features])
     vectors = points.withColumn("point", values).withColumn("vector", array_to_vector("point"))
-    vectors.persist()
-    try:
-        model = KMeans(
-            k=k, maxIter=max_iter, initMode="random", seed=seed, featuresCol="vector", predictionCol="cluster"
-        ).fit(vectors)
-    finally:
-        vectors.unpersist()
+    # The library caches the vectors for its rounds and releases them afterwards.
+    model = KMeans(
+        k=k, maxIter=max_iter, initMode="random", seed=seed, featuresCol="vector", predictionCol="cluster"
+    ).fit(vectors)
     centres = spark.createDataFrame(
         [(i, [float(v) for v in centre]) for i, centre in enumerate(model.clusterCenters())],
         "cluster int, centre array<double>",

@@ -43,3 +43,13 @@ def pin(df: DataFrame) -> DataFrame:
     """Compute ``df`` now and cut its lineage with a reliable checkpoint."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder as a Parquet table and read back.
+
+    Suits wide reuse: each reader scans only the columns it needs.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -88,15 +88,11 @@ def test_cost_never_grows(spark):
     assert all(later <= earlier + 1e-9 for earlier, later in zip(costs, costs[1:]))
 
 
-def test_callers_cache_is_kept(points, starts):
-    points.persist()
-    try:
-        clustering.lloyd(points, starts(), 1)
-        assert points.storageLevel.useMemory
-    finally:
-        points.unpersist()
-    clustering.lloyd(points, starts(), 1)
-    assert not points.storageLevel.useMemory
+def test_points_at_one_place_weigh_in(spark, starts):
+    points = spark.createDataFrame([(i, 0.0, 0.0) for i in range(9)] + [(9, 3.0, 0.0)], "id long, x double, y double")
+    result = clustering.lloyd(points, starts(), 1)
+    assert rows(result.centroids) == [(1, pytest.approx(0.3), 0.0)]
+    assert result.labelled.count() == 10
 
 
 @pytest.mark.parametrize("features, name", [("embedding", "vectors"), (("x", "y"), "points")])
