@@ -20,14 +20,19 @@ def hot_threshold(total: Column | int) -> Column:
 
 
 def join_totals(rows: DataFrame, totals: DataFrame, key: str, count: str) -> DataFrame:
-    """Inner join of ``rows`` with per-key ``totals`` that split no hot key's rows into one task.
+    """Inner join of ``rows`` with per-key ``totals`` that sends no hot key's rows to one task.
 
     ``totals`` holds one line per key with its row count in ``count``. Rows of
     hot keys meet a broadcast table bounded by ``HOT_KEYS`` lines and are never
     shuffled; the others are shuffled on the key, where each key is now small.
+    Hot and cold totals are filters on the count, so both read one shuffle.
     """
-    total = totals.agg(F.sum(count)).scalar()
-    hot = totals.where(F.col(count) > hot_threshold(total)).drop(count)
-    hot_rows = rows.join(F.broadcast(hot), key)
-    cold_rows = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(totals.drop(count), key)
+    is_hot = F.col(count) > hot_threshold(rows.agg(F.count(F.lit(1))).scalar())
+    values = [c for c in totals.columns if c not in (key, count)]
+    hot = totals.where(is_hot).select(key, F.struct(*values).alias("found"))
+    cold = totals.where(~is_hot).drop(count)
+    # Both branches look up the same broadcast, so it is built once.
+    looked_up = rows.join(F.broadcast(hot), key, "left")
+    hot_rows = looked_up.where(F.col("found").isNotNull()).select(*rows.columns, "found.*")
+    cold_rows = looked_up.where(F.col("found").isNull()).select(*rows.columns).join(cold, key)
     return hot_rows.unionByName(cold_rows)
