@@ -37,6 +37,11 @@ def _check_mode(mode: str) -> None:
         raise ValueError(f"unknown mode {mode!r}: use 'failfast' or 'drop'")
 
 
+def _complete(parsed: DataFrame) -> DataFrame:
+    """Rows without nulls; unlike ``dropna`` this keeps a field that reads NaN."""
+    return parsed.where(" AND ".join(f"`{c}` IS NOT NULL" for c in parsed.columns))
+
+
 def parse_fields(lines: DataFrame, schema: T.StructType, mode: str = "failfast") -> DataFrame:
     """First ``len(schema)`` fields of each line, typed and named by ``schema``."""
     _check_mode(mode)
@@ -44,7 +49,7 @@ def parse_fields(lines: DataFrame, schema: T.StructType, mode: str = "failfast")
     parsed = lines.select(
         *[_converted(F.get(fields, i), f.dataType, mode).alias(f.name) for i, f in enumerate(schema)]
     )
-    return parsed.dropna() if mode == "drop" else parsed
+    return _complete(parsed) if mode == "drop" else parsed
 
 
 def parse_edges(lines: DataFrame, mode: str = "failfast") -> DataFrame:
@@ -90,7 +95,7 @@ def parse_ids(lines: DataFrame, mode: str = "failfast") -> DataFrame:
     parsed = lines.select("value", F.explode(tokens(F.col("value"))).alias("token")).select(
         _converted(F.col("token"), T.LongType(), mode).alias("id")
     )
-    return parsed.dropna() if mode == "drop" else parsed
+    return _complete(parsed) if mode == "drop" else parsed
 
 
 def parse_vectors(lines: DataFrame, mode: str = "failfast") -> DataFrame:

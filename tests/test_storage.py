@@ -47,4 +47,4 @@ def test_a_local_session_gets_its_own():
 
 def test_scratch_paths_differ(spark):
     assert storage.scratch_path(spark, "a") != storage.scratch_path(spark, "a")
-    assert storage.scratch_path(spark, "a").startswith(spark.conf.get("spark.checkpoint.dir"))
+    assert storage.scratch_path(spark, "a").startswith(storage.shared_folder(spark))

@@ -1,3 +1,5 @@
+from random import Random
+
 import pytest
 from conftest import rows
 from pyspark.errors import PySparkException
@@ -18,6 +20,15 @@ def test_occurrences_of_wide_characters(lines):
     assert rows(count_occurrences(lines("größe größe", "x😀😀"), "😀")) == [(2,)]
 
 
+def test_occurrences_against_python(lines):
+    random = Random(11)
+    texts = ["".join(random.choice("ab é") for _ in range(random.randrange(40))) for _ in range(300)]
+    frame = lines(*texts).cache()
+    for needle in ("a", "aa", "aba", "é", " b", "bé a"):
+        assert rows(count_occurrences(frame, needle)) == [(sum(t.count(needle) for t in texts),)]
+    frame.unpersist()
+
+
 def test_occurrences_without_lines_are_zero(lines, spark):
     assert rows(count_occurrences(spark.createDataFrame([], "value string"), "a")) == [(0,)]
 
@@ -52,6 +63,10 @@ def test_bad_lines_fail_or_drop(lines, spark, bad):
         spark.conf.unset("spark.sql.ansi.enabled")
 
 
+def test_nan_is_a_number(lines):
+    assert source.parse_ranks(lines("5 NaN", "6 x"), mode="drop").count() == 1
+
+
 def test_unknown_mode_is_rejected(lines):
     for parse in (source.parse_edges, source.parse_ids, source.parse_vectors):
         with pytest.raises(ValueError):
