@@ -21,6 +21,12 @@ from accountgraph.sources import tables
 from accountgraph.sources import text as text_source
 from accountgraph.storage import scratch_path
 
+try:  # the corpus operators are a part that may be left out
+    import corpus_pipeline
+    from accountgraph.llm import queries as llm_queries
+except ImportError:
+    corpus_pipeline = llm_queries = None
+
 SMOKE_FOLDER = "/root/testdata/sf0.001"
 
 # Period of the visit queries (exclusive epoch seconds): 2024-01-08 to 2024-01-22 UTC.
@@ -264,7 +270,8 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
+    extra = {} if llm_queries is None else llm_queries.queries() | {"pipeline": corpus_pipeline.run}
+    return extra | {
         "text_scan_edges": text_scan_edges,
         "text_scan_weblog": text_scan_weblog,
         "text_scan_rank": text_scan_rank,
@@ -409,7 +416,10 @@ def oracle_sql() -> dict[str, str]:
         f"SELECT sum((length(text) - length(replace(text, '{NEEDLE}', ''))) // {len(NEEDLE)})::BIGINT AS n "
         "FROM documents"
     )
-    return {
+    extra = {} if llm_queries is None else llm_queries.oracle_sql()
+    if corpus_pipeline is not None and corpus_pipeline.ORACLE_SQL is not None:
+        extra |= {"pipeline": corpus_pipeline.ORACLE_SQL}
+    return extra | {
         "text_scan_edges": edges,
         "text_scan_weblog": web_log,
         "text_scan_rank": ranks,
