@@ -99,7 +99,7 @@ def schedule(docs: DataFrame, most: float = MOST_EPOCHS, seed: int = SEED, range
         F.col("o.source").alias("of"), "range", F.struct("offset", "source_size", "target", "slope").alias("fact")
     )
     joined = plain.join(facts, (F.col(f"{mix}.range") == F.col("range")) & F.col("source").eqNullSafe(F.col("of")))
-    within = Window.partitionBy("source", "range").orderBy(f"{mix}.key", "doc_id", "text").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("source", "range").orderBy(f"{mix}.key", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     start = F.col("fact.offset") + F.coalesce(F.sum(size).over(within), F.lit(0))
     placed = joined.withColumn("fact", F.col("fact").withField("start", start))
     fact = lambda name: F.col(f"fact.{name}")
