@@ -76,7 +76,7 @@ def with_output(
             texts = [t or "" for t in batch.column(at).to_pylist()]
             for start, end in text_blocks(texts):
                 found = compute(texts[start:end])
-                made = [pa.array(found[field], kind) for field, kind in kinds]
+                made = [v if isinstance(v := found[f], pa.Array) else pa.array(v, kind) for f, kind in kinds]
                 struct = pa.StructArray.from_arrays(made, [field for field, _ in kinds])
                 part = batch.slice(start, end - start)
                 yield pa.RecordBatch.from_arrays([*part.columns, struct], [*part.schema.names, name])

@@ -7,13 +7,30 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from accountgraph.llm import fingerprint, mixing, simhash
+from accountgraph.llm import fingerprint, language, mixing, pieces, quality, simhash, toxicity
+from accountgraph.llm.common import in_fold
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
+def _labels(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/labels.parquet")
+
+
+def _learned(scores: DataFrame, threshold: float) -> DataFrame:
+    predicted = (F.col("score") >= threshold).cast("int").alias("predicted")
+    return scores.select("doc_id", in_fold(F.col("doc_id"), 5, 0).alias("held_out"), "score", predicted)
+
+
+def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = documents(spark, folder), _labels(spark, folder)
+    learned = ~in_fold(F.col("doc_id"), 5, 0)
+    model = toxicity.train_from_labels(docs.where(learned), labels.where(learned))
+    return _learned(toxicity.scored(docs, model), 0.5)
+
+
 def op2_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder)
     pairs = fingerprint.beside_next(docs, buckets=3 * int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -42,16 +59,44 @@ def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return out.orderBy(F.col("first_time").asc_nulls_last(), "doc_id")
 
 
+def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = documents(spark, folder), _labels(spark, folder)
+    learned = ~in_fold(F.col("doc_id"), 5, 0)
+    space = quality.train(docs.where(learned), labels.where(learned))
+    return _learned(quality.scored(docs, space), 0.3)
+
+
 def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(documents(spark, folder))
     return found.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op7_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder).select("doc_id", "text")
+    out, name = pieces.encoded(docs, pieces.load())
+    same = F.col(f"{name}.decoded") == F.coalesce("text", F.lit(""))
+    return out.select(
+        "doc_id", f"{name}.n_tokens", f"{name}.n_bytes", f"{name}.ids",
+        F.sha2(f"{name}.decoded", 256).alias("decoded_sha256"), same.alias("round_trip"),
+    )
+
+
+def op9_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    held_out = in_fold(F.col("doc_id"), 4, 2)
+    network = language.train(docs.where(~held_out).select("doc_id", "text", "lang"))
+    return language.predicted(docs, network).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_toxicity": op1_toxicity,
         "op2_fingerprint": op2_fingerprint,
         "op3_mixing": op3_mixing,
+        "op5_quality": op5_quality,
         "op6_simhash": op6_simhash,
+        "op7_pieces": op7_pieces,
+        "op9_language": op9_language,
     }
 
 
