@@ -66,12 +66,12 @@ def double_array(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
                 children.append({})
             node = children[node][c]
         ends[node] = number
-    size = 4 * len(children) + 1024
+    size = 16 * len(children) + 1024
     base, check, piece = np.zeros(size, np.int32), np.full(size, -1, np.int32), np.full(size, -1, np.int32)
     used = bytearray(size)
     used[0] = 1
-    # Lone children fill the holes from below; families are put near the top, where room is found soon.
-    state, queue, free, top = {0: 0}, [0], 1, 1
+    # No base is negative. Lone children fill the holes from below; families are put near the top, where room is found soon.
+    state, queue, free, top = {0: 0}, [0], 256, 256
     for node in queue:
         if node in ends:
             piece[state[node]] = ends[node]
@@ -81,7 +81,7 @@ def double_array(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
         while used[free]:
             free += 1
         first = below[0]
-        at = max(free if len(below) == 1 else max(free, top - 512), first + 1)
+        at = free if len(below) == 1 else max(free, top - 32)
         while used[at] or any(used[at - first + c] for c in below):
             at += 1
         base[state[node]] = at - first
@@ -92,15 +92,16 @@ def double_array(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
             top = max(top, state[child])
             check[state[child]] = state[node]
             queue.append(child)
-    return base, check, piece
+    return base[: top + 1], check[: top + 1], piece[: top + 1]
 
 
 def log_scores(scores: Sequence[float]) -> np.ndarray:
-    """Scores of a unigram model as they are; merge ranks 0, -1, -2, ... as the log of Zipf's law over the ranks."""
+    """Scores of a unigram model as they are; whole numbers are merge ranks and become the log of Zipf's law over them."""
     scores = np.asarray(scores, float)
-    if len(scores) > 1 and scores.max() == 0 and np.array_equal(np.sort(-scores), np.arange(len(scores))):
-        harmonic = (1.0 / np.arange(1, len(scores) + 1)).sum()
-        return -np.log(1.0 - scores) - np.log(harmonic)
+    if len(scores) and (scores == np.round(scores)).all():
+        _, rank = np.unique(-scores, return_inverse=True)
+        harmonic = (1.0 / np.arange(1, rank.max() + 2)).sum()
+        return -np.log(1.0 + rank) - np.log(harmonic)
     return scores
 
 
