@@ -22,6 +22,7 @@ _ARROW = {
     "string": pa.string(),
     "array<int>": pa.list_(pa.int32()),
     "array<double>": pa.list_(pa.float64()),
+    "array<string>": pa.list_(pa.string()),
 }
 
 # Characters that a batch operator holds as Python objects at once.

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from accountgraph.llm import fingerprint, language, mixing, pieces, quality, simhash, toxicity
+from accountgraph.llm import fertility, fingerprint, language, licences, mixing, personal, pieces, quality, simhash, toxicity
 from accountgraph.llm.common import in_fold
 
 
@@ -59,6 +59,11 @@ def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return out.orderBy(F.col("first_time").asc_nulls_last(), "doc_id")
 
 
+def op4_personal(spark: SparkSession, folder: str) -> DataFrame:
+    field = personal.train(personal.labelled_table(spark))
+    return personal.found(documents(spark, folder), field)
+
+
 def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs, labels = documents(spark, folder), _labels(spark, folder)
     learned = ~in_fold(F.col("doc_id"), 5, 0)
@@ -81,6 +86,10 @@ def op7_pieces(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op8_fertility(spark: SparkSession, folder: str) -> DataFrame:
+    return fertility.judged(documents(spark, folder), fertility.load())
+
+
 def op9_language(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder)
     held_out = in_fold(F.col("doc_id"), 4, 2)
@@ -88,15 +97,22 @@ def op9_language(spark: SparkSession, folder: str) -> DataFrame:
     return language.predicted(docs, network).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op10_licences(spark: SparkSession, folder: str) -> DataFrame:
+    return licences.scanned(documents(spark, folder)).drop("span_labels", "span_starts", "span_ends")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
         "op2_fingerprint": op2_fingerprint,
         "op3_mixing": op3_mixing,
+        "op4_personal": op4_personal,
         "op5_quality": op5_quality,
         "op6_simhash": op6_simhash,
         "op7_pieces": op7_pieces,
+        "op8_fertility": op8_fertility,
         "op9_language": op9_language,
+        "op10_licences": op10_licences,
     }
 
 
