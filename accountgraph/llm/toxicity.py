@@ -26,8 +26,8 @@ from accountgraph.llm.common import computed, drawn, with_output
 BITS = 18
 PREFIXES = (4, 5, 6)
 # Bounds of the training sample, in texts.
-MAX_POSITIVE = 3_000
-MAX_UNLABELLED = 9_000
+MAX_POSITIVE = 2_000
+MAX_UNLABELLED = 6_000
 CLASSIFIERS = 3
 # Standard errors by which a feature's shares of the toxic and of the unlabelled texts must differ.
 LEAST_Z = 7.0
@@ -57,7 +57,7 @@ class Sample(NamedTuple):
         return len(self.starts) - 1
 
     def rows(self) -> np.ndarray:
-        return np.repeat(np.arange(len(self)), np.diff(self.starts))
+        return np.repeat(np.arange(len(self), dtype=np.int32), np.diff(self.starts))
 
     def renamed(self, place: np.ndarray) -> Sample:
         """The same texts with feature ``i`` called ``place[i]``, without those whose place is negative."""
@@ -79,7 +79,7 @@ class Sample(NamedTuple):
         full = np.flatnonzero(np.diff(self.starts))
         least = np.empty((len(full), 16), np.int64)
         for i in range(16):
-            mixed = rng.permutation(1 << BITS)
+            mixed = rng.permutation(1 << BITS).astype(np.int32)
             least[:, i] = np.minimum.reduceat(mixed[self.ids], self.starts[full]) if len(full) else 0
         seen: dict[tuple[int, int, int], list[int]] = {}
         kept = []
@@ -105,19 +105,26 @@ class Model(NamedTuple):
         return [float(self.weights[features_of(w)].sum()) for w in words]
 
 
-def gather(texts: DataFrame) -> Sample:
-    """Features of a bounded table of texts; equal feature sets count once, so copies weigh no more."""
+def gather(texts: DataFrame, ids: DataFrame, n: int, seed: int = SEED) -> Sample:
+    """Features of the texts (``doc_id, text``) of at most ``n`` of ``ids``, those with the least seeded hash.
+
+    Features are found where the texts are; only the drawn ids meet them, as a
+    broadcast table. Of rows that repeat an id one counts, and equal sets of
+    features count once, so copies weigh no more.
+    """
 
     def features(block: list[str]) -> dict[str, list]:
-        return {"ids": [sorted(f for w in distinct_words(t) for f in features_of(w)) for t in block]}
-
-    out, name = with_output(texts.select("text"), features, {"ids": "array<int>"})
-    found = out.select(f"{name}.ids").distinct().toArrow().column("ids").combine_chunks()
-    chunks = found.chunks if hasattr(found, "chunks") else [found]
-    ids = [np.asarray(c.flatten()) for c in chunks]
-    sizes = [np.diff(np.asarray(c.offsets)) for c in chunks]
-    lengths = np.concatenate(sizes) if sizes else np.zeros(0, int)
-    flat = np.concatenate(ids).astype(np.int64) if ids else np.zeros(0, np.int64)
+        return {"ids": [np.array(sorted(f for w in distinct_words(t) for f in features_of(w)), np.int32) for t in block]}
+
+    few = drawn(ids.select(F.col("doc_id").alias("chosen")).where("chosen IS NOT NULL"), n, seed, "chosen")
+    picked = texts.select("doc_id", "text").join(F.broadcast(few), F.col("doc_id") == F.col("chosen"), "left_semi")
+    out, name = with_output(picked, features, {"ids": "array<int>"})
+    one_each = out.groupBy("doc_id").agg(F.min(f"{name}.ids").alias("ids"))
+    found = one_each.select("ids").distinct().sort("ids").toArrow().column("ids")
+    ids = [np.asarray(c.flatten()) for c in found.chunks]
+    sizes = [np.diff(np.asarray(c.offsets)) for c in found.chunks]
+    lengths = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
+    flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
     return Sample(flat, np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64))
 
 
@@ -134,8 +141,10 @@ def fit(positive: Sample, unlabelled: Sample, prior: float, seed: int = SEED, ep
         return Model(np.zeros(size), base)
 
     def texts_with(sample: Sample) -> np.ndarray:
-        present = np.unique(sample.rows() * size + sample.ids) % size
-        return np.bincount(present, minlength=size)
+        # The features of a text are sorted: of equal ones the first counts.
+        first = np.diff(sample.ids, prepend=-1) != 0
+        first[sample.starts[:-1][np.diff(sample.starts) > 0]] = True
+        return np.bincount(sample.ids[first], minlength=size)
 
     n_pos, n_unl = len(positive), len(unlabelled)
     pos, unl = texts_with(positive), texts_with(unlabelled)
@@ -146,8 +155,8 @@ def fit(positive: Sample, unlabelled: Sample, prior: float, seed: int = SEED, ep
     n = np.maximum((unl[used] + 0.5) / (n_unl + 1) - prior * p, 0.5 / (n_unl + 1)) / (1 - prior)
     # Features enter scaled by how much they tell, so telling ones learn first.
     scale = np.clip(np.log(p / n), -3, 3)
-    place = np.full(size, -1)
-    place[used] = np.arange(len(used))
+    place = np.full(size, -1, np.int32)
+    place[used] = np.arange(len(used), dtype=np.int32)
     positive, unlabelled = positive.renamed(place), unlabelled.renamed(place)
     every, size = np.zeros(size), len(used)
 
@@ -202,38 +211,36 @@ def train(
     max_unlabelled: int = MAX_UNLABELLED,
     seed: int = SEED,
 ) -> Model:
-    """Mean of ``CLASSIFIERS`` classifiers from tables with ``doc_id, text``.
+    """Mean of ``CLASSIFIERS`` classifiers from tables with ``doc_id, text``, of which so many texts at most are drawn.
 
-    At most ``max_positive`` and ``max_unlabelled`` texts are drawn, those with
-    the least seeded hash of the id. ``prior`` is the share of toxic texts
-    among the unlabelled.
+    ``prior`` is the share of toxic texts among the unlabelled.
     """
-    samples = [gather(drawn(t.select("doc_id", "text"), n, seed, "doc_id")) for t, n in ((positive, max_positive), (unlabelled, max_unlabelled))]
-    samples = [s.without_near_copies() for s in samples]
+    return _fitted(gather(positive, positive, max_positive, seed), gather(unlabelled, unlabelled, max_unlabelled, seed), prior, seed)
+
+
+def _fitted(positive: Sample, unlabelled: Sample, prior: float, seed: int) -> Model:
+    samples = positive.without_near_copies(), unlabelled.without_near_copies()
     models = [fit(*samples, prior, seed + i) for i in range(CLASSIFIERS)]
     return Model(sum(m.weights for m in models) / CLASSIFIERS, sum(m.bias for m in models) / CLASSIFIERS)
 
 
-def train_from_labels(docs: DataFrame, labels: DataFrame, **bounds: int) -> Model:
+def train_from_labels(
+    docs: DataFrame,
+    labels: DataFrame,
+    max_positive: int = MAX_POSITIVE,
+    max_unlabelled: int = MAX_UNLABELLED,
+    seed: int = SEED,
+) -> Model:
     """Model from ``labels`` (``doc_id, toxic``) of ``docs``.
 
     Positives are the texts labelled 1; unlabelled are texts of any label or
-    none, and the prior is the share of 1 among the labels. Only the drawn ids
-    meet the texts, as a broadcast table bounded by the sample's size. Labels
-    with a null id or value are left out.
+    none, and the prior is the share of 1 among the labels. Labels with a null
+    id or value are left out, of repeated ids the largest counts.
     """
-    seed = bounds.get("seed", SEED)
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     prior = known.agg(F.avg((F.col("toxic") == 1).cast("double"))).first()[0] or 0.0
-    ids = docs.select("doc_id").where("doc_id IS NOT NULL")
-
-    def texts(chosen: DataFrame, n: int) -> DataFrame:
-        few = drawn(chosen.select(F.col("doc_id").alias("chosen")), n, seed, "chosen")
-        return docs.select("doc_id", "text").join(F.broadcast(few), F.col("doc_id") == F.col("chosen"), "left_semi")
-
-    positive = texts(known.where("toxic = 1"), bounds.get("max_positive", MAX_POSITIVE))
-    unlabelled = texts(ids, bounds.get("max_unlabelled", MAX_UNLABELLED))
-    return train(positive, unlabelled, prior, **bounds)
+    positive = gather(docs, known.where("toxic = 1"), max_positive, seed)
+    return _fitted(positive, gather(docs, docs, max_unlabelled, seed), prior, seed)
 
 
 def scorer(spark, model: Model):
