@@ -16,10 +16,11 @@ from pyspark.sql import functions as F
 from accountgraph import schemas
 from accountgraph.functions.geometry import squared_array_distance
 from accountgraph.operators import clustering, generate, graph, pagerank, text, visits
+from accountgraph.plans import jobs
 from accountgraph.sinks import files
 from accountgraph.sources import tables
 from accountgraph.sources import text as text_source
-from accountgraph.storage import scratch_path
+from accountgraph.storage import pin, scratch_path
 
 try:  # the corpus operators are a part that may be left out
     import corpus_pipeline
@@ -37,6 +38,8 @@ DAMPING = 0.85
 ROUNDS = 10
 SEED = 42
 K = 5
+MANY = 250
+DIMENSIONS = 64
 
 
 # ---------------------------------------------------------------- text files
@@ -67,7 +70,7 @@ def text_scan_points(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def text_scan_centroids(spark: SparkSession, folder: str) -> DataFrame:
-    return text_source.parse_centroids(_as_text_lines(_start(_points(spark, folder)), "centroids"))
+    return text_source.parse_centroids(_as_text_lines(_as_centroids(_points(spark, folder)), "centroids"))
 
 
 def text_scan_vectors(spark: SparkSession, folder: str) -> DataFrame:
@@ -91,32 +94,28 @@ def grep_count(spark: SparkSession, folder: str) -> DataFrame:
 # ------------------------------------------------------------------ visit log
 
 
-def _log(spark: SparkSession, folder: str) -> DataFrame:
-    return visits.in_period(tables.web_log(spark, folder, AFTER, BEFORE), AFTER, BEFORE)
-
-
 def weblog_time_filter(spark: SparkSession, folder: str) -> DataFrame:
-    return _log(spark, folder)
+    return visits.in_period(tables.web_log(spark, folder, AFTER, BEFORE), AFTER, BEFORE)
 
 
 def weblog_ip_counts(spark: SparkSession, folder: str) -> DataFrame:
-    return visits.ip_counts(_log(spark, folder))
+    return visits.ip_counts(tables.web_log(spark, folder))
 
 
 def weblog_top_ip(spark: SparkSession, folder: str) -> DataFrame:
-    return visits.top_ip(_log(spark, folder))
+    return visits.top_ip(tables.web_log(spark, folder))
 
 
 def weblog_of_top_ip(spark: SparkSession, folder: str) -> DataFrame:
-    return visits.visits_of_top_ip(_log(spark, folder))
+    return visits.visits_of_top_ip(tables.web_log(spark, folder))
 
 
 def weblog_join_top_ip(spark: SparkSession, folder: str) -> DataFrame:
-    return visits.join_top_ip(_log(spark, folder))
+    return visits.join_top_ip(tables.web_log(spark, folder))
 
 
 def rank_weblog_join(spark: SparkSession, folder: str) -> DataFrame:
-    return visits.rank_visits(tables.page_rank(spark, folder), _log(spark, folder))
+    return visits.rank_visits(tables.page_rank(spark, folder), tables.web_log(spark, folder))
 
 
 def join_task(spark: SparkSession, folder: str) -> DataFrame:
@@ -143,8 +142,10 @@ def _on_edges(operator: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSess
 
 
 def follower_pursuer_join(spark: SparkSession, folder: str) -> DataFrame:
-    edges = tables.edges(spark, folder)
-    return graph.join_degrees(graph.follower_count(edges), graph.pursuer_count(edges))
+    # Both counts come from one table that is made once.
+    degrees = pin(graph.degree_table(tables.edges(spark, folder)))
+    followers = degrees.select("id", F.col("followers").alias("n"))
+    return graph.join_degrees(followers, degrees.select("id", F.col("pursuers").alias("n")))
 
 
 def out_weight_sum(spark: SparkSession, folder: str) -> DataFrame:
@@ -171,9 +172,13 @@ def _points(spark: SparkSession, folder: str) -> DataFrame:
     return text_source.as_points(graph.degree_table(tables.edges(spark, folder)))
 
 
-def _start(points: DataFrame) -> DataFrame:
-    """The points with the K smallest ids as starting centroids."""
-    return points.where(F.col("id") < K).select(F.col("id").cast("int").alias("cid"), "x", "y")
+def _as_centroids(points: DataFrame) -> DataFrame:
+    return points.select(F.col("id").cast("int").alias("cid"), "x", "y")
+
+
+def _start(points: DataFrame, k: int = K) -> DataFrame:
+    """The points with ids below k as starting centroids."""
+    return _as_centroids(points.where(F.col("id") < k))
 
 
 def _rounded(df: DataFrame) -> DataFrame:
@@ -185,6 +190,11 @@ def kmeans_assign(spark: SparkSession, folder: str) -> DataFrame:
     return clustering.assign(points, _start(points)).select("id", "cid")
 
 
+def kmeans_assign_many(spark: SparkSession, folder: str) -> DataFrame:
+    points = _points(spark, folder)
+    return clustering.assign(points, _start(points, MANY)).select("id", "cid")
+
+
 def kmeans_update(spark: SparkSession, folder: str) -> DataFrame:
     points = _points(spark, folder)
     return _rounded(clustering.update(clustering.assign(points, _start(points))))
@@ -192,20 +202,58 @@ def kmeans_update(spark: SparkSession, folder: str) -> DataFrame:
 
 def kmeans_centroids(spark: SparkSession, folder: str) -> DataFrame:
     points = _points(spark, folder)
-    return _rounded(clustering.lloyd(points, _start(points), ROUNDS).centroids)
+    return _rounded(clustering.lloyd(points, _start(points), ROUNDS, merge_places=True).centroids)
 
 
 def kmeans_points(spark: SparkSession, folder: str) -> DataFrame:
     points = _points(spark, folder)
-    return clustering.lloyd(points, _start(points), ROUNDS).labelled
+    return clustering.lloyd(points, _start(points), ROUNDS, merge_places=True).labelled
 
 
 def kmeans_cost(spark: SparkSession, folder: str) -> DataFrame:
     points = _points(spark, folder)
-    centroids = clustering.lloyd(points, _start(points), ROUNDS).centroids
+    centroids = clustering.lloyd(points, _start(points), ROUNDS, merge_places=True).centroids
     return clustering.within_cluster_cost(points, centroids).select(F.round("cost", 4).alias("cost"))
 
 
+ACCOUNT_FEATURES = ("id", "followers", "pursuers")
+
+
+def _seeded_vectors(spark: SparkSession, folder: str) -> clustering.RandomStart:
+    return clustering.kmeans_seeded(tables.vectors(spark, folder), K, "embedding", SEED, "vec_id", ROUNDS)
+
+
+def _seeded_accounts(spark: SparkSession, folder: str) -> clustering.RandomStart:
+    degrees = graph.degree_table(tables.edges(spark, folder))
+    return clustering.kmeans_seeded(degrees, K, ACCOUNT_FEATURES, SEED, "id", ROUNDS)
+
+
+def kmeans_seeded_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return _seeded_vectors(spark, folder).labelled.select("vec_id", "cid")
+
+
+def kmeans_seeded_vector_centres(spark: SparkSession, folder: str) -> DataFrame:
+    centres = _seeded_vectors(spark, folder).centres
+    return centres.select("cid", *[F.round(F.col("embedding")[i], 6).alias(f"f{i}") for i in range(DIMENSIONS)])
+
+
+def kmeans_seeded_vector_cost(spark: SparkSession, folder: str) -> DataFrame:
+    return _seeded_vectors(spark, folder).cost.select("k", F.round("cost", 4).alias("cost"))
+
+
+def kmeans_seeded_accounts(spark: SparkSession, folder: str) -> DataFrame:
+    return _seeded_accounts(spark, folder).labelled.select("id", "cid")
+
+
+def kmeans_seeded_account_centres(spark: SparkSession, folder: str) -> DataFrame:
+    centres = _seeded_accounts(spark, folder).centres
+    return centres.select("cid", *[F.round(f, 6).alias(f) for f in ACCOUNT_FEATURES])
+
+
+def kmeans_seeded_account_cost(spark: SparkSession, folder: str) -> DataFrame:
+    return _seeded_accounts(spark, folder).cost.select("k", F.round("cost", 2).alias("cost"))
+
+
 def kmeans_ml_random(spark: SparkSession, folder: str) -> DataFrame:
     result = clustering.kmeans_random(tables.vectors(spark, folder), K, "embedding", SEED)
     return result.labelled.select("vec_id", "cluster")
@@ -217,7 +265,7 @@ def kmeans_ml_cost(spark: SparkSession, folder: str) -> DataFrame:
 
 def kmeans_ml_misplaced(spark: SparkSession, folder: str) -> DataFrame:
     """Accounts clustered by the library, and how many of them have a nearer centre (none)."""
-    features = ("id", "followers", "pursuers")
+    features = ACCOUNT_FEATURES
     degrees = graph.degree_table(tables.edges(spark, folder))
     result = clustering.kmeans_random(degrees, K, features, SEED)
     axes = [F.col("centre")[i] for i in range(3)]
@@ -230,7 +278,7 @@ def kmeans_ml_misplaced(spark: SparkSession, folder: str) -> DataFrame:
 
 def kmeans_ml_degrees(spark: SparkSession, folder: str) -> DataFrame:
     degrees = graph.degree_table(tables.edges(spark, folder))
-    result = clustering.kmeans_random(degrees, K, ("id", "followers", "pursuers"), SEED)
+    result = clustering.kmeans_random(degrees, K, ACCOUNT_FEATURES, SEED)
     return result.labelled.select("id", "cluster")
 
 
@@ -256,9 +304,69 @@ def sink_csv(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def sink_single_file(spark: SparkSession, folder: str) -> DataFrame:
-    path = scratch_path(spark, "count")
-    files.write_text(grep_count(spark, folder), path, mode="overwrite", single_file=True)
-    return text_source.read_lines(spark, path).select(F.col("value").cast("bigint").alias("n"))
+    path = scratch_path(spark, "single")
+    files.write_text(graph.degree_table(tables.edges(spark, folder)), path, single_file=True)
+    lines = text_source.read_lines(spark, path)
+    parts = lines.select(F.col("_metadata.file_path").alias("part"), "value")
+    files_read = parts.agg(F.count_distinct("part")).scalar()
+    return text_source.parse_degrees(lines).withColumn("files", files_read)
+
+
+# ----------------------------------------------------------------------- jobs
+
+
+def _text_file(df: DataFrame, name: str) -> str:
+    path = scratch_path(df.sparkSession, name)
+    files.write_text(df, path)
+    return path
+
+
+def job_degree_files(spark: SparkSession, folder: str) -> DataFrame:
+    """The three files of one job, read back: which file, and its numbers."""
+    out = scratch_path(spark, "degree-files")
+    names = ("both", "followers", "pursuers")
+    jobs.degree_files(spark, _text_file(tables.edges(spark, folder), "edges"), *[f"{out}/{n}" for n in names])
+    found = None
+    for name in names:
+        fields = F.split("value", " ")
+        numbers = [F.try_element_at(fields, F.lit(i + 1)).cast("bigint").alias(c) for i, c in enumerate(("id", "first", "second"))]
+        part = text_source.read_lines(spark, f"{out}/{name}").select(F.lit(name).alias("file"), *numbers)
+        found = part if found is None else found.union(part)
+    return found
+
+
+def job_top_visitor_rank(spark: SparkSession, folder: str) -> DataFrame:
+    ranks, log = _text_file(tables.page_rank(spark, folder), "ranks"), _text_file(tables.web_log(spark, folder), "web-log")
+    out = scratch_path(spark, "average")
+    jobs.top_visitor_rank(spark, ranks, log, out, AFTER, BEFORE)
+    return spark.read.schema("avg_page_rank double").json(out).select(F.round("avg_page_rank", 6).alias("avg_page_rank"))
+
+
+def job_lloyd_kmeans(spark: SparkSession, folder: str) -> DataFrame:
+    """Both files of the job, read back: which file, cluster and coordinates."""
+    degrees = graph.degree_table(tables.edges(spark, folder))
+    points, start = _text_file(degrees, "points"), _text_file(_start(text_source.as_points(degrees)), "centroids")
+    out = scratch_path(spark, "lloyd")
+    jobs.lloyd_kmeans(spark, points, start, out, ROUNDS)
+    found = None
+    for name in ("points", "centroids"):
+        part = spark.read.schema("cid int, x double, y double").option("sep", " ").csv(f"{out}_{name}")
+        part = _rounded(part).select(F.lit(name).alias("file"), "*")
+        found = part if found is None else found.union(part)
+    return found
+
+
+def job_page_ranks(spark: SparkSession, folder: str) -> DataFrame:
+    out = scratch_path(spark, "ranks")
+    jobs.page_ranks(spark, _text_file(tables.edges(spark, folder), "edges"), ROUNDS, DAMPING, out)
+    ranks = text_source.parse_ranks(text_source.read_lines(spark, out))
+    return ranks.select(F.col("account_id").alias("id"), F.round("page_rank", 10).alias("rank"))
+
+
+def job_visit_log(spark: SparkSession, folder: str) -> DataFrame:
+    out = scratch_path(spark, "visits")
+    jobs.visit_log(spark, _text_file(tables.edges(spark, folder), "edges"), out, SEED)
+    return text_source.parse_visits(text_source.read_lines(spark, out))
 
 
 # ------------------------------------------------------------------- contract
@@ -306,10 +414,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "pagerank_10": _pagerank(ROUNDS, 1.0),
         "pagerank_10_uniform": _pagerank(ROUNDS, "uniform"),
         "kmeans_assign": kmeans_assign,
+        "kmeans_assign_many": kmeans_assign_many,
         "kmeans_update": kmeans_update,
         "kmeans_centroids": kmeans_centroids,
         "kmeans_points": kmeans_points,
         "kmeans_cost": kmeans_cost,
+        "kmeans_seeded_vectors": kmeans_seeded_vectors,
+        "kmeans_seeded_vector_centres": kmeans_seeded_vector_centres,
+        "kmeans_seeded_vector_cost": kmeans_seeded_vector_cost,
+        "kmeans_seeded_accounts": kmeans_seeded_accounts,
+        "kmeans_seeded_account_centres": kmeans_seeded_account_centres,
+        "kmeans_seeded_account_cost": kmeans_seeded_account_cost,
         "kmeans_ml_random": kmeans_ml_random,
         "kmeans_ml_cost": kmeans_ml_cost,
         "kmeans_ml_degrees": kmeans_ml_degrees,
@@ -318,6 +433,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "sink_text": sink_text,
         "sink_csv": sink_csv,
         "sink_single_file": sink_single_file,
+        "job_degree_files": job_degree_files,
+        "job_top_visitor_rank": job_top_visitor_rank,
+        "job_lloyd_kmeans": job_lloyd_kmeans,
+        "job_page_ranks": job_page_ranks,
+        "job_visit_log": job_visit_log,
     }
 
 
@@ -338,10 +458,11 @@ _WEB_LOG = """web_log AS (
            floor(epoch(ts))::BIGINT AS ts
     FROM events)"""
 _PERIOD = f"period AS (SELECT * FROM web_log WHERE ts > {AFTER} AND ts < {BEFORE})"
-_TOP = "top AS (SELECT ip, count(*)::BIGINT AS n FROM period GROUP BY ip ORDER BY n DESC, ip LIMIT 1)"
-_OF_TOP = "of_top AS (SELECT * FROM period WHERE ip = (SELECT ip FROM top))"
+_TOP = "top AS (SELECT ip, count(*)::BIGINT AS n FROM {visits} GROUP BY ip ORDER BY n DESC, ip LIMIT 1)"
+_OF_TOP = "of_top AS (SELECT * FROM {visits} WHERE ip = (SELECT ip FROM top))"
 _RANKS = "ranks AS (SELECT c_custkey AS account_id, c_acctbal AS page_rank FROM customer)"
-_VISITS = ", ".join([_WEB_LOG, _PERIOD, _TOP, _OF_TOP, _RANKS])
+_VISITS = ", ".join([_WEB_LOG, _PERIOD, _TOP.format(visits="period"), _OF_TOP.format(visits="period"), _RANKS])
+_ALL_VISITS = ", ".join([_WEB_LOG, _TOP.format(visits="web_log"), _OF_TOP.format(visits="web_log"), _RANKS])
 
 
 def _pagerank_sql(rounds: int, start: str) -> str:
@@ -376,12 +497,12 @@ _MEANS = """{name} AS MATERIALIZED (
     SELECT cid, avg(x) AS x, avg(y) AS y, count(*)::BIGINT AS n FROM {labelled} GROUP BY cid)"""
 
 
-def _kmeans_sql(rounds: int, select: str) -> str:
+def _kmeans_sql(rounds: int, select: str, k: int = K) -> str:
     """k-means rounds as CTEs: centroids ``c0..``, labels by them ``a0..``."""
     ctes = [
         _GRAPH,
         "points AS MATERIALIZED (SELECT id, followers::DOUBLE AS x, pursuers::DOUBLE AS y FROM degrees)",
-        f"c0 AS MATERIALIZED (SELECT id::INTEGER AS cid, x, y FROM points WHERE id < {K})",
+        f"c0 AS MATERIALIZED (SELECT id::INTEGER AS cid, x, y FROM points WHERE id < {k})",
     ]
     for i in range(rounds):
         ctes.append(_NEAREST.format(name=f"a{i}", centroids=f"c{i}"))
@@ -390,6 +511,27 @@ def _kmeans_sql(rounds: int, select: str) -> str:
     return f"WITH {', '.join(ctes)} {select}"
 
 
+_EMBEDDED = f"""points AS MATERIALIZED (SELECT vec_id AS id,
+    {', '.join(f'embedding[{i + 1}]::DOUBLE AS f{i}' for i in range(DIMENSIONS))} FROM embeddings)"""
+_ACCOUNTS = f"""{_GRAPH}, points AS MATERIALIZED (
+    SELECT id, id::DOUBLE AS f0, followers::DOUBLE AS f1, pursuers::DOUBLE AS f2 FROM degrees)"""
+
+
+def _seeded_sql(points: str, n: int, select: str) -> str:
+    """k-means over ``n`` features from the K points of the least seeded hashes."""
+    features = [f"f{i}" for i in range(n)]
+    drawn = f"row_number() OVER (ORDER BY {_hash_sql(2**32, f"'{SEED}:' || id")}, id) - 1"
+    ctes = [points, f"c0 AS MATERIALIZED (SELECT * EXCLUDE id FROM (SELECT {drawn} AS cid, * FROM points) WHERE cid < {K})"]
+    distance = "sqrt(" + " + ".join(f"(p.{f} - c.{f}) * (p.{f} - c.{f})" for f in features) + ")"
+    for i in range(ROUNDS + 1):
+        ctes.append(f"""a{i} AS MATERIALIZED (
+            SELECT * FROM (SELECT p.*, c.cid, {distance} AS d,
+                row_number() OVER (PARTITION BY p.id ORDER BY {distance}, c.cid) AS place FROM points p CROSS JOIN c{i} c)
+            WHERE place = 1)""")
+        means = ", ".join(f"avg({f}) AS {f}" for f in features)
+        ctes.append(f"c{i + 1} AS MATERIALIZED (SELECT cid, {means} FROM a{i} GROUP BY cid)")
+    return f"WITH {', '.join(ctes[:-1])} {select}"
+
 
 def _hash_sql(bound: int, text: str) -> str:
     return f"(('0x' || substr(md5({text}), 1, 8))::BIGINT % {bound})"
@@ -411,7 +553,11 @@ def oracle_sql() -> dict[str, str]:
     web_log = f"WITH {_WEB_LOG} SELECT account_id, ip, ts FROM web_log"
     ranks = "SELECT c_custkey AS account_id, c_acctbal AS page_rank FROM customer"
     ids = f"WITH {_EDGES}, {_IDS} SELECT id FROM ids"
-    of_top = f"WITH {_VISITS} SELECT account_id, ip, ts FROM of_top"
+    of_top = f"WITH {_ALL_VISITS} SELECT account_id, ip, ts FROM of_top"
+    average = f"""WITH {_VISITS}
+        SELECT round(avg(page_rank), 6) AS avg_page_rank FROM of_top JOIN ranks USING (account_id)"""
+    centres = ", ".join(f"round(f{i}, 6) AS f{i}" for i in range(DIMENSIONS))
+    labels = f"a{ROUNDS}"
     grep = (
         f"SELECT sum((length(text) - length(replace(text, '{NEEDLE}', ''))) // {len(NEEDLE)})::BIGINT AS n "
         "FROM documents"
@@ -425,21 +571,20 @@ def oracle_sql() -> dict[str, str]:
         "text_scan_rank": ranks,
         "text_scan_points": f"WITH {_GRAPH} SELECT id, followers::DOUBLE AS x, pursuers::DOUBLE AS y FROM degrees",
         "text_scan_centroids": f"""WITH {_GRAPH}
-            SELECT id::INTEGER AS cid, followers::DOUBLE AS x, pursuers::DOUBLE AS y FROM degrees WHERE id < {K}""",
+            SELECT id::INTEGER AS cid, followers::DOUBLE AS x, pursuers::DOUBLE AS y FROM degrees""",
         "text_scan_vectors": f"""WITH {_GRAPH}
             SELECT id::DOUBLE AS v0, followers::DOUBLE AS v1, pursuers::DOUBLE AS v2 FROM degrees""",
         "token_ids": ids,
         "line_count": "SELECT sum(len(string_split(text, chr(10))))::BIGINT AS n FROM documents",
         "grep_count": grep,
         "weblog_time_filter": f"WITH {_VISITS} SELECT account_id, ip, ts FROM period",
-        "weblog_ip_counts": f"WITH {_VISITS} SELECT ip, count(*)::BIGINT AS n FROM period GROUP BY ip",
-        "weblog_top_ip": f"WITH {_VISITS} SELECT ip, n FROM top",
+        "weblog_ip_counts": f"WITH {_ALL_VISITS} SELECT ip, count(*)::BIGINT AS n FROM web_log GROUP BY ip",
+        "weblog_top_ip": f"WITH {_ALL_VISITS} SELECT ip, n FROM top",
         "weblog_of_top_ip": of_top,
         "weblog_join_top_ip": of_top,
-        "rank_weblog_join": f"""WITH {_VISITS}
-            SELECT account_id, page_rank, ts, ip FROM period JOIN ranks USING (account_id)""",
-        "join_task": f"""WITH {_VISITS}
-            SELECT round(avg(page_rank), 6) AS avg_page_rank FROM of_top JOIN ranks USING (account_id)""",
+        "rank_weblog_join": f"""WITH {_ALL_VISITS}
+            SELECT account_id, page_rank, ts, ip FROM web_log JOIN ranks USING (account_id)""",
+        "join_task": average,
         "join_task_sum_count": f"""WITH {_VISITS}
             SELECT round(sum(page_rank) / count(*), 6) AS avg_page_rank FROM of_top JOIN ranks USING (account_id)""",
         "weblog_generate": _generate_sql(),
@@ -460,15 +605,45 @@ def oracle_sql() -> dict[str, str]:
         "pagerank_10": _pagerank_sql(ROUNDS, "1.0::DOUBLE"),
         "pagerank_10_uniform": _pagerank_sql(ROUNDS, "1.0::DOUBLE / (SELECT n FROM total)"),
         "kmeans_assign": _kmeans_sql(0, "SELECT id, cid FROM a0"),
+        "kmeans_assign_many": _kmeans_sql(0, "SELECT id, cid FROM a0", MANY),
         "kmeans_update": _kmeans_sql(1, "SELECT cid, round(x, 6) AS x, round(y, 6) AS y, n FROM c1"),
         "kmeans_centroids": _kmeans_sql(
             ROUNDS, f"SELECT cid, round(x, 6) AS x, round(y, 6) AS y FROM c{ROUNDS}"
         ),
         "kmeans_points": _kmeans_sql(ROUNDS, f"SELECT id, x, y, cid FROM a{ROUNDS}"),
         "kmeans_cost": _kmeans_sql(ROUNDS, f"SELECT round(sum(d * d), 4) AS cost FROM a{ROUNDS}"),
+        "kmeans_seeded_vectors": _seeded_sql(_EMBEDDED, DIMENSIONS, f"SELECT id AS vec_id, cid::INTEGER AS cid FROM {labels}"),
+        "kmeans_seeded_vector_centres": _seeded_sql(
+            _EMBEDDED, DIMENSIONS, f"SELECT cid::INTEGER AS cid, {centres} FROM c{ROUNDS}"
+        ),
+        "kmeans_seeded_vector_cost": _seeded_sql(
+            _EMBEDDED, DIMENSIONS, f"SELECT {K}::INTEGER AS k, round(sum(d * d), 4) AS cost FROM {labels}"
+        ),
+        "kmeans_seeded_accounts": _seeded_sql(_ACCOUNTS, 3, f"SELECT id, cid::INTEGER AS cid FROM {labels}"),
+        "kmeans_seeded_account_centres": _seeded_sql(
+            _ACCOUNTS,
+            3,
+            f"""SELECT cid::INTEGER AS cid, round(f0, 6) AS id, round(f1, 6) AS followers, round(f2, 6) AS pursuers
+                FROM c{ROUNDS}""",
+        ),
+        "kmeans_seeded_account_cost": _seeded_sql(
+            _ACCOUNTS, 3, f"SELECT {K}::INTEGER AS k, round(sum(d * d), 2) AS cost FROM {labels}"
+        ),
         "kmeans_ml_misplaced": f"WITH {_EDGES}, {_IDS} SELECT count(*)::BIGINT AS accounts, 0::BIGINT AS misplaced FROM ids",
         "sink_json": web_log,
         "sink_text": degrees,
         "sink_csv": ranks,
-        "sink_single_file": grep,
+        "sink_single_file": f"WITH {_GRAPH} SELECT id, followers, pursuers, 1::BIGINT AS files FROM degrees",
+        "job_degree_files": f"""WITH {_GRAPH}
+            SELECT 'both' AS file, id, followers AS first, pursuers AS second FROM degrees
+            UNION ALL SELECT 'followers', id, followers, NULL FROM degrees
+            UNION ALL SELECT 'pursuers', id, pursuers, NULL FROM degrees""",
+        "job_top_visitor_rank": average,
+        "job_lloyd_kmeans": _kmeans_sql(
+            ROUNDS,
+            f"""SELECT 'points' AS file, cid, x, y FROM a{ROUNDS}
+                UNION ALL SELECT 'centroids', cid, round(x, 6), round(y, 6) FROM c{ROUNDS}""",
+        ),
+        "job_page_ranks": _pagerank_sql(ROUNDS, "1.0::DOUBLE"),
+        "job_visit_log": _generate_sql(),
     }

@@ -1,123 +1,121 @@
-"""k-means from given starting centroids and from a seeded random start."""
+"""k-means from given starting centroids and from a seeded random start.
+
+Coordinates must be finite numbers: a point or centroid with a null, NaN or
+infinite one fails the query with an error that shows the row.
+"""
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from typing import NamedTuple
 
-import numpy as np
-import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from accountgraph.functions.geometry import distance_to, squared_array_distance
-from accountgraph.storage import pin, stored
+from accountgraph.functions.geometry import all_finite, squared_array_distance
+from accountgraph.functions.hashing import hash_below
+from accountgraph.storage import stored
 
-# Coordinates of all centroids up to which the nearest one is a plain column
-# expression. Longer expressions outgrow what the JVM compiles well, and
-# numpy over Arrow batches is faster.
-INLINE_COORDINATES = 32
-# Most centroids sent to the tasks at once; more are compared block by block.
-BLOCK_CENTROIDS = 50_000
+FEATURES = ("x", "y")
+# Columns made on the way start with this.
+_OWN = "__clustering_"
+NEAR = f"{_OWN}near"
 
-# Most coordinates of library centres that are broadcast.
-BROADCAST_COORDINATES = 4_000_000
 
-FEATURES = ("x", "y")
+def _values(features: str | Sequence[str]) -> Column:
+    """Coordinates as one array: of an array column, or of the numeric columns named."""
+    if isinstance(features, str):
+        return F.col(f"`{features}`").cast("array<double>")
+    return F.array(*[F.col(f"`{f}`").cast("double") for f in features])
+
+
+def _free(df: DataFrame, *names: str) -> None:
+    taken = {c.lower() for c in df.columns} & set(names)
+    if taken:
+        raise ValueError(f"the input already has a column named {sorted(taken)[0]!r}: rename or drop it first")
+
 
+def _complaint(what: str, shown: Column) -> Column:
+    return F.raise_error(F.concat(F.lit(f"{what} with a coordinate that is not a finite number: "), shown))
 
-def _nearest_inline(points: DataFrame, rows: list[Row], features: Sequence[str]) -> DataFrame:
-    """``points`` with the struct ``nearest``, computed by plain SQL expressions."""
-    by_cid = sorted(rows, key=lambda r: r.cid)
-    distances = ", ".join(distance_to(features, [r[f] for f in features]) for r in by_cid)
-    cids = ", ".join(str(r.cid) for r in by_cid)
-    least = "array_min(distances)"
-    first = f"CAST(array_position(distances, {least}) AS INT) - 1"
-    nearest = f"named_struct('distance', {least}, 'cid', get(array({cids}), {first})) AS nearest"
-    return points.selectExpr("*", f"array({distances}) AS distances").selectExpr("*", nearest).drop("distances")
-
-
-def _nearest_batches(points: DataFrame, rows: list[Row], features: Sequence[str]) -> DataFrame:
-    """The same over Arrow batches, one pass of numpy per centroid."""
-    by_cid = sorted(rows, key=lambda r: r.cid)
-    ids = np.array([r.cid for r in by_cid], dtype="int32")
-    centres = np.array([[r[f] for f in features] for r in by_cid], dtype="float64")
-
-    @F.pandas_udf("distance double, cid int")
-    def nearest(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            columns = [series.to_numpy(dtype="float64") for series in batch]
-            best = np.full(len(columns[0]), np.inf)
-            cid = np.full(len(columns[0]), -1, dtype="int32")
-            for i, centre in enumerate(centres):
-                square = np.zeros(len(best))
-                for column, coordinate in zip(columns, centre):
-                    gap = column - coordinate
-                    square += gap * gap
-                candidate = np.sqrt(square)
-                closer = candidate < best
-                best[closer] = candidate[closer]
-                cid[closer] = ids[i]
-            yield pd.DataFrame({"distance": best, "cid": cid})
-
-    return points.withColumn("nearest", nearest(*[F.col(f).cast("double") for f in features]))
-
-
-def _nearest(points: DataFrame, rows: list[Row], features: Sequence[str]) -> DataFrame:
-    """``points`` with the struct ``nearest``: least ``distance`` and its ``cid``, the smallest cid on a tie."""
-    inline = len(rows) * len(features) <= INLINE_COORDINATES
-    return (_nearest_inline if inline else _nearest_batches)(points, rows, features)
-
-
-def _held(centroids: DataFrame) -> DataFrame | list[Row]:
-    """The centroids as plain rows if they fit one block, as they are otherwise."""
-    rows = centroids.limit(BLOCK_CENTROIDS + 1).collect()
-    if not rows:
+
+def _table(centroids: DataFrame, features: str | Sequence[str]) -> Column:
+    """All centroids as one array of ``cid, centre``, a scalar subquery that Spark runs once."""
+    values = _values(features)
+    centre = F.when(all_finite(values), values).otherwise(_complaint("centroid", F.to_json(F.struct("*"))))
+    return centroids.agg(F.collect_list(F.struct("cid", centre.alias("centre")))).scalar()
+
+
+def _require_some(centroids: DataFrame) -> None:
+    if centroids.isEmpty():
         raise ValueError("no centroids given")
-    return rows if len(rows) <= BLOCK_CENTROIDS else centroids
 
 
-def _measured(points: DataFrame, held: DataFrame | list[Row], features: Sequence[str]) -> DataFrame:
-    if isinstance(held, list):
-        return _nearest(points, held, features)
-    # Too many for one block: carry the best candidate from block to block, so
-    # that no task ever holds more than about one block of centroids.
-    blocks = 2 * math.ceil(held.count() / BLOCK_CENTROIDS)
-    placed = held.withColumn("block", F.pmod(F.xxhash64("cid", *features), F.lit(blocks)))
-    best = points.withColumn("best", F.lit(None).cast("struct<distance:double,cid:int>"))
-    for block in range(blocks):
-        rows = placed.where(F.col("block") == block).collect()
-        if rows:
-            nearer = _nearest(best, rows, features).withColumn("best", F.least("best", "nearest"))
-            best = pin(nearer.drop("nearest"))
-    return best.withColumnRenamed("best", "nearest")
+def _nearest(points: DataFrame, centroids: DataFrame, features: str | Sequence[str]) -> DataFrame:
+    """``points`` with the struct column ``NEAR`` of the least ``distance`` and its ``cid``; the smallest cid wins a tie.
 
+    One expression for any number of centroids. They are data to it, not part
+    of its code, so rounds share the generated code.
+    """
+    point, table = _values(features), f"{_OWN}table"
+
+    def square(centre: Column) -> Column:
+        if isinstance(features, str):
+            return squared_array_distance(point, centre)
+        # Summed in the order of the features, like the written-out formula.
+        gaps = [F.col(f"`{f}`").cast("double") - centre[i] for i, f in enumerate(features)]
+        return sum((g * g for g in gaps[1:]), gaps[0] * gaps[0])
 
-def _labelled(points: DataFrame, held: DataFrame | list[Row], features: Sequence[str]) -> DataFrame:
-    return _measured(points, held, features).selectExpr("*", "nearest.cid AS cid").drop("nearest")
+    near = F.transform(table, lambda c: F.struct(F.sqrt(square(c["centre"])).alias("distance"), c["cid"].alias("cid")))
+    shown = F.to_json(F.struct(*[F.col(f"`{c}`") for c in points.columns]))
+    found = F.when(all_finite(point), F.array_min(near)).otherwise(_complaint("point", shown))
+    return points.withColumn(table, _table(centroids, features)).select(*[F.col(f"`{c}`") for c in points.columns], found.alias(NEAR))
 
 
-def measure(points: DataFrame, centroids: DataFrame, features: Sequence[str] = FEATURES) -> DataFrame:
+def measure(points: DataFrame, centroids: DataFrame, features: str | Sequence[str] = FEATURES) -> DataFrame:
     """``points`` with the struct ``nearest``: ``distance`` to the nearest centroid and its ``cid``."""
-    return _measured(points, _held(centroids), features)
+    _free(points, "nearest")
+    _require_some(centroids)
+    return _nearest(points, centroids, features).withColumnRenamed(NEAR, "nearest")
 
 
-def assign(points: DataFrame, centroids: DataFrame, features: Sequence[str] = FEATURES) -> DataFrame:
+def assign(points: DataFrame, centroids: DataFrame, features: str | Sequence[str] = FEATURES) -> DataFrame:
     """``points`` with the ``cid`` of the nearest centroid; the smallest cid wins a tie."""
-    return _labelled(points, _held(centroids), features)
+    _free(points, "cid")
+    _require_some(centroids)
+    return _labelled(points, centroids, features)
+
 
+def _labelled(points: DataFrame, centroids: DataFrame, features: str | Sequence[str]) -> DataFrame:
+    return _nearest(points, centroids, features).withColumn("cid", F.col(f"{NEAR}.cid")).drop(NEAR)
 
-def update(labelled: DataFrame, features: Sequence[str] = FEATURES, weight: str | None = None) -> DataFrame:
+
+def _means(labelled: DataFrame, features: str | Sequence[str], weight: Column, count: str | None = None) -> DataFrame:
+    total = F.sum(weight)
+    counted = [] if count is None else [total.alias(count)]
+    if isinstance(features, str):
+        # Array columns have a length of their own: sums by place, put together again.
+        at, value = f"{_OWN}at", f"{_OWN}value"
+        places = labelled.select("cid", weight.alias(f"{_OWN}w"), F.posexplode(_values(features)).alias(at, value))
+        each = places.groupBy("cid", at).agg(
+            (F.sum(F.col(value) * F.col(f"{_OWN}w")) / F.sum(f"{_OWN}w")).alias(value), F.sum(f"{_OWN}w").alias(f"{_OWN}n")
+        )
+        centre = F.transform(F.sort_array(F.collect_list(F.struct(at, value))), lambda s: s[value])
+        counted = [] if count is None else [F.max(f"{_OWN}n").alias(count)]
+        return each.groupBy("cid").agg(centre.alias(features), *counted)
+    return labelled.groupBy("cid").agg(*[(F.sum(F.col(f"`{f}`") * weight) / total).alias(f) for f in features], *counted)
+
+
+def update(labelled: DataFrame, features: str | Sequence[str] = FEATURES, weight: str | None = None) -> DataFrame:
     """Mean of every non-empty cluster: ``cid``, the features and the number ``n`` of points.
 
     ``weight`` names a column telling how many points a row stands for.
     """
-    points = "1" if weight is None else f"`{weight}`"
-    means = [F.expr(f"sum(`{f}` * {points}) / sum({points}) AS `{f}`") for f in features]
-    return labelled.groupBy("cid").agg(*means, F.expr(f"sum({points}) AS n"))
+    if "n" in ([features] if isinstance(features, str) else features):
+        raise ValueError("a feature is named 'n', like the count of points: rename it first")
+    return _means(labelled, features, F.lit(1) if weight is None else F.col(f"`{weight}`"), "n")
 
 
 class Lloyd(NamedTuple):
@@ -126,39 +124,66 @@ class Lloyd(NamedTuple):
 
 
 def lloyd(
-    points: DataFrame, centroids: DataFrame, iterations: int = 10, features: Sequence[str] = FEATURES
+    points: DataFrame,
+    centroids: DataFrame,
+    iterations: int = 10,
+    features: str | Sequence[str] = FEATURES,
+    merge_places: bool = False,
 ) -> Lloyd:
     """Exactly ``iterations`` rounds of Lloyd's algorithm from the given centroids.
 
     A cluster that loses all its points disappears. The points are labelled
     with the centroids after the last update.
 
-    Points at the same place always share a cluster, so the rounds run on the
-    distinct places with the number of points at each: a table of whole-number
-    coordinates such as degrees shrinks by orders of magnitude. A round is one
-    job over that table, shuffling one partial row per cluster and task.
+    A round is one job over the points, shuffling one partial row per cluster
+    and task. ``merge_places`` first merges points at one place, which always
+    share a cluster, into one row with their number: worth its shuffle and
+    copy where coordinates repeat, like whole-number degrees.
     """
-    spark = points.sparkSession
-    held = _held(centroids)
-    if iterations > 0:
-        places = stored(points.groupBy(*features).agg(F.count(F.lit(1)).alias("n")), "places")
+    _free(points, "cid")
+    _require_some(centroids)
+    names = [features] if isinstance(features, str) else list(features)
+    kept, places, weight = None, points.select(*[f"`{f}`" for f in names]), F.lit(1)
+    if merge_places and iterations > 0:
+        # A place that is no place fails here, before equal ones are merged.
+        shown = F.to_json(F.struct(*[F.col(f"`{c}`") for c in points.columns]))
+        sound = points.where(F.when(all_finite(_values(features)), True).otherwise(_complaint("point", shown))).select(*[f"`{f}`" for f in names])
+        kept = stored(sound.groupBy(*[f"`{f}`" for f in names]).agg(F.count(F.lit(1)).alias(f"{_OWN}n")), "places")
+        places, weight = kept.df, F.col(f"{_OWN}n")
+    now, table = centroids.select("cid", *[f"`{f}`" for f in names]), None
     for _ in range(iterations):
-        means = update(_labelled(places, held, features), features, weight="n").select("cid", *features)
-        # Clusters can only vanish, so plain rows stay within one block.
-        held = means.collect() if isinstance(held, list) else _held(pin(means))
-    final = held
-    if isinstance(held, list):
-        kinds = ", ".join(f"`{f}` double" for f in features)
-        final = spark.createDataFrame([tuple(r) for r in held], f"cid int, {kinds}")
-    return Lloyd(_labelled(points, held, features), final)
-
-
-def within_cluster_cost(
-    points: DataFrame, centroids: DataFrame, features: Sequence[str] = FEATURES
-) -> DataFrame:
+        later = stored(_means(_labelled(places, now, features), features, weight), "centroids")
+        if table is not None:
+            table.free()
+        now, table = later.df, later
+    if kept is not None:
+        kept.free()
+    if table is not None and now.isEmpty():
+        # No points: the last centroids label nothing and none are left.
+        return Lloyd(points.withColumn("cid", F.lit(None).cast(dict(centroids.dtypes)["cid"])), now)
+    return Lloyd(_labelled(points, now, features), now)
+
+
+def within_cluster_cost(points: DataFrame, centroids: DataFrame, features: str | Sequence[str] = FEATURES) -> DataFrame:
     """Sum of squared distances of the points to their nearest centroid, one row ``cost``."""
-    near = measure(points, centroids, features)
-    return near.agg(F.expr("sum(nearest.distance * nearest.distance) AS cost"))
+    _require_some(centroids)
+    near = _nearest(points, centroids, features).select(F.col(f"{NEAR}.distance").alias("distance"))
+    return near.agg(F.sum(F.col("distance") * F.col("distance")).alias("cost"))
+
+
+def random_start(points: DataFrame, k: int, key: str, features: str | Sequence[str], seed: int) -> DataFrame:
+    """``k`` of the points as centroids: those whose seeded hash of ``key`` is least, the smaller key first on a tie.
+
+    The ``cid`` numbers them from 0 in that order.
+    """
+    if k < 1:
+        raise ValueError("k must be at least 1")
+    names = [features] if isinstance(features, str) else list(features)
+    drawn = hash_below(2**32, seed, F.col(f"`{key}`"))
+    first = points.orderBy(drawn, f"`{key}`").limit(k)
+    chosen = first.agg(F.sort_array(F.collect_list(F.struct(drawn.alias("drawn"), F.col(f"`{key}`").alias("key"), F.struct(*[f"`{f}`" for f in names]).alias("at")))).alias("all"))
+    placed = chosen.select(F.posexplode("all").alias("cid", "one"))
+    return placed.select("cid", *[F.col("one.at")[f].alias(f) for f in names])
 
 
 class RandomStart(NamedTuple):
@@ -167,6 +192,26 @@ class RandomStart(NamedTuple):
     cost: DataFrame
 
 
+def kmeans_seeded(
+    points: DataFrame,
+    k: int,
+    features: str | Sequence[str],
+    seed: int,
+    key: str,
+    iterations: int = 10,
+    merge_places: bool = False,
+) -> RandomStart:
+    """Lloyd's rounds from ``k`` points drawn by seeded hash: the same on any cluster.
+
+    Returns the points with ``cid``, the centres ``cid`` and features, and
+    ``k, cost``.
+    """
+    start = random_start(points, k, key, features, seed)
+    found = lloyd(points, start, iterations, features, merge_places)
+    cost = within_cluster_cost(points, found.centroids, features)
+    return RandomStart(found.labelled, found.centroids, cost.select(F.lit(k).alias("k"), "cost"))
+
+
 def kmeans_random(
     points: DataFrame, k: int, features: str | Sequence[str], seed: int, max_iter: int = 10
 ) -> RandomStart:
@@ -176,25 +221,19 @@ def kmeans_random(
     the points with their ``cluster``, the centres ``cluster, centre`` and the
     sum of squared distances to the nearest centre as one row ``k, cost``.
     """
+    _free(points, "cluster")
     spark = points.sparkSession
-    if isinstance(features, str):
-        values = F.col(features).cast("array<double>")
-    else:
-        values = F.array(*[F.col(f).cast("double") for f in features])
-    vectors = points.withColumn("point", values).withColumn("vector", array_to_vector("point"))
+    point, vector = f"{_OWN}point", f"{_OWN}vector"
+    vectors = points.withColumn(point, _values(features)).withColumn(vector, array_to_vector(point))
     # The library caches the vectors for its rounds and releases them afterwards.
-    model = KMeans(
-        k=k, maxIter=max_iter, initMode="random", seed=seed, featuresCol="vector", predictionCol="cluster"
-    ).fit(vectors)
+    model = KMeans(k=k, maxIter=max_iter, initMode="random", seed=seed, featuresCol=vector, predictionCol="cluster").fit(vectors)
     centres = spark.createDataFrame(
         [(i, [float(v) for v in centre]) for i, centre in enumerate(model.clusterCenters())],
         "cluster int, centre array<double>",
     )
-    predicted = model.transform(vectors).drop("vector")
-    # The centres came from the driver, so their size is known: broadcast them
-    # when small, and leave the join to shuffle and skew splitting otherwise.
-    small = sum(len(centre) for centre in model.clusterCenters()) <= BROADCAST_COORDINATES
-    cost = predicted.join(F.broadcast(centres) if small else centres, "cluster").agg(
-        F.lit(k).alias("k"), F.sum(squared_array_distance(F.col("point"), F.col("centre"))).alias("cost")
+    predicted = model.transform(vectors).drop(vector)
+    # The library ships the same centres to every executor, so their size is bounded.
+    cost = predicted.join(F.broadcast(centres), "cluster").agg(
+        F.lit(k).alias("k"), F.sum(squared_array_distance(F.col(point), F.col("centre"))).alias("cost")
     )
-    return RandomStart(predicted.drop("point"), centres, cost)
+    return RandomStart(predicted.drop(point), centres, cost)

@@ -27,17 +27,12 @@ def generate_visits(
     Rows depend on the seed and the id only, so any split of the ids over
     tasks, and any retry, gives the same log. Each partition is sorted by time.
 
-    An id is small but grows into several hashed rows, so the ids are first
-    spread over all shuffle partitions; adaptive execution would merge them by
-    their size before the growth. The hash of the id serves as the key, since
-    a shuffle on the id itself is dropped when the input is grouped by it.
+    The ids stay where they are: nothing is shuffled.
     """
-    partitions = int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = ids.select("id").repartition(partitions, F.xxhash64("id"))
     account = F.col("id")
     visit = F.col("visit")
     visit_numbers = F.sequence(F.lit(0), hash_below(max_per_id + 1, seed, "n", account))
-    numbered = spread.select("id", F.explode(visit_numbers).alias("visit"))
+    numbered = ids.select("id", F.explode(visit_numbers).alias("visit"))
     return (
         numbered.where(visit > 0)
         .select(

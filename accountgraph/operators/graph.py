@@ -34,13 +34,13 @@ def with_zeros(counts: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def follower_count(edges: DataFrame) -> DataFrame:
-    """``id, n``: incoming edges of every account."""
-    return with_zeros(in_degree(edges), account_ids(edges))
+    """``id, n``: incoming edges of every account, in one pass like ``degree_table``."""
+    return degree_table(edges).select("id", F.col("followers").alias("n"))
 
 
 def pursuer_count(edges: DataFrame) -> DataFrame:
-    """``id, n``: outgoing edges of every account."""
-    return with_zeros(out_degree(edges), account_ids(edges))
+    """``id, n``: outgoing edges of every account, in one pass like ``degree_table``."""
+    return degree_table(edges).select("id", F.col("pursuers").alias("n"))
 
 
 def join_degrees(followers: DataFrame, pursuers: DataFrame) -> DataFrame:

@@ -2,18 +2,12 @@
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from accountgraph.operators import skew
 from accountgraph.operators.graph import weighted_edges
-from accountgraph.storage import pin
-
-# Edge rows that make one partition worth its overhead; large inputs use
-# spark.sql.shuffle.partitions.
-EDGES_PER_PARTITION = 100_000
+from accountgraph.storage import pinned, settings
 
 
 def _vertices(weighted: DataFrame) -> DataFrame:
@@ -42,12 +36,16 @@ def pagerank(edges: DataFrame, iterations: int, damping: float, init: float | st
     outgoing edges is not redistributed. ``init`` is the starting rank, or
     ``"uniform"`` for 1/N.
 
-    The weighted edges are partitioned and sorted by source once and cached,
-    so a round moves only ranks and combined messages. Sources holding a large
+    The weighted edges are shuffled, sorted and cached by source once, and the
+    ranks keep the partitioning of the sum that made them, which is the same
+    one; so a round moves only the combined messages. Sources holding a large
     share of the edges are kept apart: their edges stay spread evenly and meet
     a broadcast table with a bounded number of rows. The ranks are
     checkpointed every round, so plans stay flat and a lost executor costs at
-    most one round.
+    most one round; earlier checkpoints are deleted.
+
+    Adaptive execution is off meanwhile: it would merge the partitions of each
+    table by itself, and the two would have to be shuffled to meet again.
     """
     if iterations < 1:
         raise ValueError("iterations must be at least 1")
@@ -56,8 +54,13 @@ def pagerank(edges: DataFrame, iterations: int, damping: float, init: float | st
     if isinstance(init, str) and init != "uniform":
         raise ValueError("init must be a number or 'uniform'")
 
-    weighted = weighted_edges(edges)
-    vertices = pin(_vertices(weighted))
+    with settings(edges.sparkSession, adaptive_enabled="false"):
+        return _rounds(weighted_edges(edges), iterations, damping, init)
+
+
+def _rounds(weighted: DataFrame, iterations: int, damping: float, init: float | str) -> DataFrame:
+    counted = pinned(_vertices(weighted), "vertices")
+    vertices = counted.df
     n_vertices, n_edges, most = vertices.agg(F.count(F.lit(1)), F.sum("out_edges"), F.max("out_edges")).first()
     if not n_vertices:
         return vertices.select("id", F.lit(0.0).alias("rank"))
@@ -72,10 +75,10 @@ def pagerank(edges: DataFrame, iterations: int, damping: float, init: float | st
         cold_edges = weighted.join(F.broadcast(hot_ids), "src", "left_anti")
         hot_links = _normalised(_parallel_weights(weighted.join(F.broadcast(hot_ids), "src")), F.broadcast(hot))
         hot_links.persist()
-    by_source = _parallel_weights(cold_edges.repartition(_partitions(n_edges, edges.sparkSession), "src"))
+    by_source = _parallel_weights(cold_edges.repartition("src"))
     links = _normalised(by_source.sortWithinPartitions("src"), totals).sortWithinPartitions("src").persist()
 
-    ranks = vertices.select("id", F.lit(start).alias("rank"))
+    ranks, table = vertices.select("id", F.lit(start).alias("rank")), counted
     try:
         for _ in range(iterations):
             sources = ranks.selectExpr("id AS src", "rank")
@@ -86,19 +89,19 @@ def pagerank(edges: DataFrame, iterations: int, damping: float, init: float | st
             # Every account adds a row of its own, which keeps those without
             # incoming edges and saves a join with the account table.
             inflow = messages.union(ranks.selectExpr("id", "0D AS inflow"))
-            ranks = pin(inflow.groupBy("id").agg(F.expr(f"{base!r}D + {damping!r}D * sum(inflow) AS rank")))
+            later = pinned(inflow.groupBy("id").agg(F.expr(f"{base!r}D + {damping!r}D * sum(inflow) AS rank")), "ranks")
+            # The links and the broadcast ids can be made anew from the vertices.
+            if table is not counted:
+                table.free()
+            ranks, table = later.df, later
     finally:
         links.unpersist()
         if hot_links is not None:
             hot_links.unpersist()
+    counted.free()
     return ranks
 
 
-def _partitions(n_edges: int, spark: SparkSession) -> int:
-    """As many partitions as the edges fill, at most the session's shuffle partitions."""
-    return min(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n_edges / EDGES_PER_PARTITION))
-
-
 def _normalised(links: DataFrame, totals: DataFrame) -> DataFrame:
     """``src, dst, weight`` with the weights of each source adding up to 1."""
     return links.join(totals, "src").selectExpr("src", "dst", "weight / out_weight AS weight")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from accountgraph.storage import pin
+
 # A key is hot when it holds more than 1/HOT_KEYS of all rows, so fewer than
 # HOT_KEYS of them can exist whatever the data: one row per hot key is always
 # small enough to broadcast.
@@ -22,17 +24,19 @@ def hot_threshold(total: Column | int) -> Column:
 def join_totals(rows: DataFrame, totals: DataFrame, key: str, count: str) -> DataFrame:
     """Inner join of ``rows`` with per-key ``totals`` that sends no hot key's rows to one task.
 
-    ``totals`` holds one line per key with its row count in ``count``. Rows of
-    hot keys meet a broadcast table bounded by ``HOT_KEYS`` lines and are never
-    shuffled; the others are shuffled on the key, where each key is now small.
-    Hot and cold totals are filters on the count, so both read one shuffle.
+    ``totals`` holds one line per key with its row count in ``count``. The line
+    of a hot key is repeated once for each threshold's worth of its rows, and
+    its rows are dealt over the repeats in turn; which keys are hot is a
+    broadcast of at most ``HOT_KEYS`` lines. The totals are made once, as a
+    checkpoint, so that rows are read once for them and once for the join.
     """
-    is_hot = F.col(count) > hot_threshold(rows.agg(F.count(F.lit(1))).scalar())
-    values = [c for c in totals.columns if c not in (key, count)]
-    hot = totals.where(is_hot).select(key, F.struct(*values).alias("found"))
-    cold = totals.where(~is_hot).drop(count)
-    # Both branches look up the same broadcast, so it is built once.
-    looked_up = rows.join(F.broadcast(hot), key, "left")
-    hot_rows = looked_up.where(F.col("found").isNotNull()).select(*rows.columns, "found.*")
-    cold_rows = looked_up.where(F.col("found").isNull()).select(*rows.columns).join(cold, key)
-    return hot_rows.unionByName(cold_rows)
+    totals = pin(totals)
+    salt, salts = "__skew_salt", "__skew_salts"
+    threshold = hot_threshold(totals.agg(F.sum(count)).scalar())
+    parts = totals.withColumn(salts, F.when(F.col(count) > threshold, F.ceil(F.col(count) / threshold)).otherwise(1).cast("int"))
+    hot = parts.where(F.col(salts) > 1).select(key, salts)
+    dealt = rows.join(F.broadcast(hot), key, "left").select(
+        *rows.columns, F.coalesce(F.pmod(F.monotonically_increasing_id(), F.col(salts)).cast("int"), F.lit(0)).alias(salt)
+    )
+    repeated = parts.select(*[c for c in totals.columns if c != count], F.explode(F.sequence(F.lit(0), F.col(salts) - 1)).alias(salt))
+    return dealt.join(repeated, [key, salt]).drop(salt)

@@ -118,7 +118,10 @@ def lloyd_kmeans(
     """``cid x y`` of points to ``<output>_points`` and of centroids to ``<output>_centroids``."""
     _require(points=points, centroids=centroids, output=output)
     result = clustering.lloyd(
-        parse_points(read_lines(spark, points)), parse_centroids(read_lines(spark, centroids)), iterations
+        parse_points(read_lines(spark, points)),
+        parse_centroids(read_lines(spark, centroids)),
+        iterations,
+        merge_places=True,
     )
     write_csv(result.labelled.select("cid", "x", "y"), f"{output}_points", mode, single_file)
     write_csv(result.centroids.select("cid", "x", "y"), f"{output}_centroids", mode, single_file)

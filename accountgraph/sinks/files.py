@@ -1,48 +1,33 @@
 """JSON, text and delimited file sinks.
 
-Output stays parallel by default. ``single_file=True`` asks for one part file
-and is honoured up to ``SINGLE_FILE_ROWS`` rows; a larger result is written in
-parallel parts, which every reader of a folder sees as the same rows.
+Output stays parallel by default. ``single_file=True`` writes one part file
+whatever the size: all rows then pass through one task, so it is meant for
+results of a few rows and for consumers that read a single file.
 """
 
 from __future__ import annotations
 
-from contextlib import contextmanager
-
 from pyspark.sql import DataFrame
 
 from accountgraph.functions.text import joined_fields
 
-SINGLE_FILE_ROWS = 1_000_000
-
 
-@contextmanager
-def _arranged(df: DataFrame, single_file: bool):
-    if not single_file:
-        yield df
-        return
-    # Counting and writing are two actions; the result is computed once.
-    kept = df.persist()
-    try:
-        small = kept.limit(SINGLE_FILE_ROWS + 1).count() <= SINGLE_FILE_ROWS
-        yield kept.repartition(1) if small else kept
-    finally:
-        kept.unpersist()
+def _arranged(df: DataFrame, single_file: bool) -> DataFrame:
+    # The work before the last step stays parallel, which coalesce(1) would end.
+    return df.repartition(1) if single_file else df
 
 
 def write_json(df: DataFrame, path: str, mode: str = "errorifexists", single_file: bool = False) -> None:
     """One JSON object per line; null columns are left out of the object."""
-    with _arranged(df, single_file) as out:
-        out.write.mode(mode).json(path)
+    _arranged(df, single_file).write.mode(mode).json(path)
 
 
 def write_text(df: DataFrame, path: str, mode: str = "errorifexists", single_file: bool = False) -> None:
     """All columns of a row as one line, separated by single spaces."""
-    with _arranged(df.select(joined_fields(*df.columns).alias("value")), single_file) as out:
-        out.write.mode(mode).text(path)
+    lines = df.select(joined_fields(*df.columns).alias("value"))
+    _arranged(lines, single_file).write.mode(mode).text(path)
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists", single_file: bool = False) -> None:
     """Space-delimited rows without a header."""
-    with _arranged(df, single_file) as out:
-        out.write.mode(mode).option("sep", " ").option("lineSep", "\n").csv(path)
+    _arranged(df, single_file).write.mode(mode).option("sep", " ").option("lineSep", "\n").csv(path)

@@ -2,8 +2,8 @@
 
 Every parser takes a one-column frame of lines (``value``) and a ``mode``:
 
-* ``failfast`` raises on the first line with a missing or malformed field.
-  As with any lazy Spark expression, a field nobody reads is not parsed.
+* ``failfast`` raises on a line with a missing or malformed field, whichever
+  fields are read later and whatever later filters leave out.
 * ``drop`` leaves such lines out.
 
 Fields beyond the expected ones are ignored.
@@ -24,32 +24,32 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path)
 
 
-def _converted(token: Column, data_type: T.DataType, mode: str) -> Column:
-    value = token.try_cast(data_type)
-    if mode == "drop":
-        return value
-    complaint = F.concat(F.lit("malformed field in line: "), F.coalesce(F.col("value"), F.lit("")))
-    return F.coalesce(value, F.raise_error(complaint).cast(data_type))
-
-
 def _check_mode(mode: str) -> None:
     if mode not in ("failfast", "drop"):
         raise ValueError(f"unknown mode {mode!r}: use 'failfast' or 'drop'")
 
 
-def _complete(parsed: DataFrame) -> DataFrame:
-    """Rows without nulls; unlike ``dropna`` this keeps a field that reads NaN."""
-    return parsed.where(" AND ".join(f"`{c}` IS NOT NULL" for c in parsed.columns))
+def _sound(lines: DataFrame, valid: Column, mode: str) -> DataFrame:
+    """Lines that are ``valid``; with ``failfast`` any other one raises.
+
+    The check is a filter, which Spark keeps however few columns are read, and
+    which comes first in the condition when later filters are merged with it.
+    """
+    if mode == "drop":
+        return lines.where(valid)
+    complaint = F.concat(F.lit("malformed field in line: "), F.coalesce(F.col("value"), F.lit("")))
+    return lines.where(F.when(valid, F.lit(True)).otherwise(F.raise_error(complaint).cast("boolean")))
 
 
 def parse_fields(lines: DataFrame, schema: T.StructType, mode: str = "failfast") -> DataFrame:
     """First ``len(schema)`` fields of each line, typed and named by ``schema``."""
     _check_mode(mode)
     fields = tokens(F.col("value"))
-    parsed = lines.select(
-        *[_converted(F.get(fields, i), f.dataType, mode).alias(f.name) for i, f in enumerate(schema)]
-    )
-    return _complete(parsed) if mode == "drop" else parsed
+    typed = [F.get(fields, i).try_cast(f.dataType).alias(f.name) for i, f in enumerate(schema)]
+    valid = F.lit(True)
+    for i, f in enumerate(schema):
+        valid = valid & F.get(fields, i).try_cast(f.dataType).isNotNull()
+    return _sound(lines, valid, mode).select(*typed)
 
 
 def parse_edges(lines: DataFrame, mode: str = "failfast") -> DataFrame:
@@ -90,20 +90,15 @@ def parse_centroids(lines: DataFrame, mode: str = "failfast") -> DataFrame:
 
 
 def parse_ids(lines: DataFrame, mode: str = "failfast") -> DataFrame:
-    """Every field of every line as one ``id`` row."""
+    """Every field of every line as one ``id`` row; ``drop`` leaves out fields, not lines."""
     _check_mode(mode)
-    parsed = lines.select("value", F.explode(tokens(F.col("value"))).alias("token")).select(
-        _converted(F.col("token"), T.LongType(), mode).alias("id")
-    )
-    return _complete(parsed) if mode == "drop" else parsed
+    each = lines.select("value", F.explode(tokens(F.col("value"))).alias("token"))
+    number = F.col("token").try_cast("bigint")
+    return _sound(each, number.isNotNull(), mode).select(number.alias("id"))
 
 
 def parse_vectors(lines: DataFrame, mode: str = "failfast") -> DataFrame:
     """All fields of a line as one ``features`` array."""
     _check_mode(mode)
-    parsed = lines.select(
-        F.transform(tokens(F.col("value")), lambda t: _converted(t, T.DoubleType(), mode)).alias("features")
-    )
-    if mode == "drop":
-        return parsed.where(~F.exists("features", lambda v: v.isNull()))
-    return parsed
+    numbers = F.transform(tokens(F.col("value")), lambda t: t.try_cast("double"))
+    return _sound(lines, ~F.exists(numbers, lambda v: v.isNull()), mode).select(numbers.alias("features"))

@@ -1,3 +1,4 @@
+import shutil
 import sys
 from pathlib import Path
 
@@ -10,7 +11,15 @@ SF_DIR = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
+def shared(tmp_path_factory):
+    """The folder that stands in for a cluster's shared one."""
+    folder = tmp_path_factory.mktemp("shared")
+    yield folder
+    shutil.rmtree(folder, ignore_errors=True)
+
+
+@pytest.fixture(scope="session")
+def spark(shared):
     session = (
         SparkSession.builder.master("local[4]")
         .appName("accountgraph-tests")
@@ -19,6 +28,7 @@ def spark():
         .config("spark.driver.memory", "4g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.checkpoint.dir", f"file://{shared}")
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
@@ -37,6 +47,13 @@ def edges(spark):
     return spark.createDataFrame([(1, 2), (1, 3), (2, 3), (3, 1), (3, 1), (4, 3)], "src long, dst long")
 
 
+@pytest.fixture
+def no_broadcasts(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def rows(df, *columns):
     """Sorted rows as tuples."""
     chosen = df.select(*columns) if columns else df
@@ -48,3 +65,12 @@ def final_plan(df):
     execution = df._jdf.queryExecution()
     execution.executedPlan().executeCollect()
     return execution.executedPlan().toString()
+
+
+def planned(df):
+    """Physical plan before running the query, as text."""
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def files_below(folder):
+    return sorted(p for p in Path(folder).rglob("*") if p.is_file())

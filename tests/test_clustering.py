@@ -1,6 +1,8 @@
+import hashlib
+
 import numpy as np
 import pytest
-from conftest import SF_DIR, rows
+from conftest import SF_DIR, files_below, rows
 
 from accountgraph.operators import clustering, graph
 from accountgraph.sources import tables
@@ -20,24 +22,16 @@ def starts(spark):
     return lambda values=STARTS: spark.createDataFrame(values, "cid int, x double, y double")
 
 
-@pytest.fixture(params=["inline", "batches", "blocks"])
-def strategy(request, monkeypatch):
-    if request.param != "inline":
-        monkeypatch.setattr(clustering, "INLINE_COORDINATES", 0)
-    if request.param == "blocks":
-        monkeypatch.setattr(clustering, "BLOCK_CENTROIDS", 1)
-    return request.param
-
-
-def test_worked_example(points, starts, strategy):
+@pytest.mark.parametrize("merge_places", [False, True])
+def test_worked_example(points, starts, merge_places):
     for rounds in (1, 10):
-        result = clustering.lloyd(points, starts(), rounds)
+        result = clustering.lloyd(points, starts(), rounds, merge_places=merge_places)
         assert rows(result.centroids) == [(1, 0.0, 1.0), (2, 10.0, 1.0)]
         assert rows(result.labelled, "id", "cid") == [(1, 1), (2, 1), (3, 2), (4, 2)]
         assert rows(clustering.within_cluster_cost(points, result.centroids)) == [(4.0,)]
 
 
-def test_smallest_cid_wins_a_tie(spark, starts, strategy):
+def test_smallest_cid_wins_a_tie(spark, starts):
     point = spark.createDataFrame([(5, 5.0, 0.0)], "id long, x double, y double")
     assert rows(clustering.assign(point, starts()), "id", "cid") == [(5, 1)]
     assert rows(clustering.assign(point, starts(STARTS[::-1])), "id", "cid") == [(5, 1)]
@@ -59,16 +53,82 @@ def test_update_counts_points(points, starts):
     assert rows(clustering.update(labelled)) == [(1, 0.0, 1.0, 2), (2, 10.0, 1.0, 2)]
 
 
-def test_strategies_agree_on_real_points(spark, monkeypatch):
-    points = as_points(graph.degree_table(tables.edges(spark, SF_DIR)))
-    start = points.where("id < 12").selectExpr("CAST(id AS INT) AS cid", "x", "y")
-    found = {}
-    for name, inline, block in (("inline", 10**6, 10**6), ("batches", 0, 10**6), ("blocks", 0, 5)):
-        monkeypatch.setattr(clustering, "INLINE_COORDINATES", inline)
-        monkeypatch.setattr(clustering, "BLOCK_CENTROIDS", block)
-        result = clustering.lloyd(points, start, 2)
-        found[name] = rows(result.labelled, "id", "cid"), rows(result.centroids)
-    assert found["inline"] == found["batches"] == found["blocks"]
+def by_hand(points, starts, rounds):
+    """Labels and centroids of plain Lloyd rounds over ``id: coordinates``."""
+    centres = dict(starts)
+    for _ in range(rounds + 1):
+        labels = {
+            i: min(centres, key=lambda c: (sum((a - b) ** 2 for a, b in zip(p, centres[c])) ** 0.5, c)) for i, p in points.items()
+        }
+        last = centres
+        groups = {c: [points[i] for i in points if labels[i] == c] for c in centres}
+        centres = {c: [sum(v) / len(g) for v in zip(*g)] for c, g in groups.items() if g}
+    return labels, last
+
+
+@pytest.mark.parametrize("k", [2, 16, 17, 1000])
+def test_any_number_of_centroids(spark, k):
+    places = {i: [float(i * 37 % 101), float(i * 53 % 97)] for i in range(1200)}
+    points = spark.createDataFrame([(i, *p) for i, p in places.items()], "id long, x double, y double")
+    start = points.where(f"id < {k}").selectExpr("CAST(id AS INT) AS cid", "x", "y")
+    labels, centres = by_hand(places, [(i, places[i]) for i in range(k)], 1)
+    for merge_places in (False, True):
+        result = clustering.lloyd(points, start, 1, merge_places=merge_places)
+        assert dict(rows(result.labelled, "id", "cid")) == labels
+        found = {c: [x, y] for c, x, y in rows(result.centroids)}
+        assert found.keys() == centres.keys()
+        for c in centres:
+            assert found[c] == pytest.approx(centres[c])
+
+
+@pytest.mark.parametrize("bad", [float("nan"), float("inf"), None])
+@pytest.mark.parametrize("k", [2, 17])
+def test_coordinates_that_are_no_numbers(spark, points, starts, bad, k):
+    odd = spark.createDataFrame([(9, bad, 1.0)], "id long, x double, y double")
+    start = starts([(i, float(i), 0.0) for i in range(k)])
+    runs = [lambda: clustering.assign(odd, start).collect(), lambda: clustering.within_cluster_cost(odd, start).collect()]
+    runs += [lambda m=m: clustering.lloyd(odd, start, 1, merge_places=m) for m in (False, True)]
+    runs.append(lambda: clustering.assign(points, start.union(odd.selectExpr("CAST(id AS INT)", "x", "y"))).collect())
+    for run in runs:
+        with pytest.raises(Exception, match="not a finite number"):
+            run()
+
+
+def test_names_that_clash(spark, points, starts):
+    labelled = clustering.assign(points, starts())
+    with pytest.raises(ValueError, match="cid"):
+        clustering.assign(labelled, starts())
+    with pytest.raises(ValueError, match="nearest"):
+        clustering.measure(points.withColumnRenamed("id", "nearest"), starts())
+    again = clustering.assign(labelled.drop("cid"), starts())
+    assert rows(again) == rows(labelled)
+    other = points.selectExpr("id AS distances", "x AS n", "y AS point")
+    start = starts().toDF("cid", "n", "point")
+    assert rows(clustering.lloyd(other, start, 1, ("n", "point")).centroids) == [(1, 0.0, 1.0), (2, 10.0, 1.0)]
+    with pytest.raises(ValueError, match="'n'"):
+        clustering.update(clustering.assign(other, start, ("n", "point")), ("n", "point"))
+
+
+def test_scratch_is_freed(shared, points, starts):
+    before = set(files_below(shared))
+    result = clustering.lloyd(points, starts(), 4, merge_places=True)
+    left = {p.parent for p in set(files_below(shared)) - before}
+    # The last centroids, which the returned frames read.
+    assert len(left) == 1 and "centroids" in left.pop().name
+    assert result.labelled.count() == 4
+
+
+def test_no_points(spark, points, starts):
+    result = clustering.lloyd(points.where("id < 0"), starts(), 2)
+    assert rows(result.labelled) == [] and rows(result.centroids) == []
+
+
+def test_start_by_hash(spark, points):
+    start = clustering.random_start(points, 2, "id", ("x", "y"), seed=5)
+    order = sorted(POINTS, key=lambda p: int(hashlib.md5(f"5:{p[0]}".encode()).hexdigest()[:8], 16))
+    assert rows(start) == [(i, *p[1:]) for i, p in enumerate(order[:2])]
+    with pytest.raises(ValueError):
+        clustering.random_start(points, 0, "id", ("x", "y"), 5)
 
 
 def test_more_features(spark, starts):
@@ -96,7 +156,7 @@ def test_points_at_one_place_weigh_in(spark, starts):
 
 
 @pytest.mark.parametrize("features, name", [("embedding", "vectors"), (("x", "y"), "points")])
-def test_random_start_is_consistent(spark, features, name, monkeypatch):
+def test_random_start_is_consistent(spark, features, name):
     if name == "vectors":
         data = tables.vectors(spark, SF_DIR)
     else:
@@ -113,6 +173,3 @@ def test_random_start_is_consistent(spark, features, name, monkeypatch):
         assert squares[row.cluster] == pytest.approx(squares.min(), rel=1e-6, abs=1e-6)
         cost += squares.min()
     assert rows(result.cost)[0] == (4, pytest.approx(cost, rel=1e-6))
-    monkeypatch.setattr(clustering, "BROADCAST_COORDINATES", 0)
-    unhinted = clustering.kmeans_random(data, 4, features, seed=3)
-    assert rows(unhinted.cost)[0] == (4, pytest.approx(cost, rel=1e-6))

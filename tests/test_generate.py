@@ -1,7 +1,9 @@
-from conftest import rows
+from conftest import SF_DIR, planned, rows
 from pyspark.sql import functions as F
 
+from accountgraph.operators import graph
 from accountgraph.operators.generate import FIRST_TS, LAST_TS, generate_visits
+from accountgraph.sources import tables
 
 
 def test_seeded_log(spark):
@@ -31,3 +33,7 @@ def test_partitions_are_sorted_by_time(spark):
 def test_ranges_can_be_narrowed(spark):
     log = generate_visits(spark.range(50), 7, max_per_id=1, ip_max=1, first_ts=5, last_ts=5)
     assert {tuple(r)[1:] for r in log.collect()} == {(1, 5)}
+
+
+def test_the_only_shuffle_is_that_of_the_ids(spark):
+    assert planned(generate_visits(graph.account_ids(tables.edges(spark, SF_DIR)), 7)).count("Exchange") == 1

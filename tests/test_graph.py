@@ -1,7 +1,7 @@
 from collections import Counter
 
 import pytest
-from conftest import SF_DIR, final_plan, rows
+from conftest import SF_DIR, final_plan, planned, rows
 
 from accountgraph.operators import graph, skew
 from accountgraph.sources import tables
@@ -56,21 +56,37 @@ def test_edge_weights_with_hot_sources(spark, edges, monkeypatch, hot_rows):
     assert rows(graph.edge_weights(graph.weighted_edges(real))) == expected
 
 
-def test_hot_sources_are_bounded_and_not_shuffled(spark, monkeypatch):
+def test_counts_take_one_scan(spark):
+    edges = tables.edges(spark, SF_DIR)
+    for count in (graph.follower_count, graph.pursuer_count):
+        plan = planned(count(edges))
+        assert (plan.count("FileScan"), plan.count("Exchange"), plan.count("Join")) == (1, 1, 0)
+
+
+def test_counts_with_zeros_by_join(edges):
+    assert rows(graph.with_zeros(graph.in_degree(edges), graph.account_ids(edges))) == [(1, 2), (2, 1), (3, 3), (4, 0)]
+
+
+def test_hot_sources_are_spread(spark, monkeypatch, no_broadcasts):
     monkeypatch.setattr(skew, "HOT_ROWS", 10)
     monkeypatch.setattr(skew, "HOT_KEYS", 10)
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        # One source holds a third of all edges, many of them copies of one edge.
-        hot = spark.range(1000).selectExpr("0L AS src", "id % 3 AS dst")
-        cold = spark.range(2000).selectExpr("1 + id % 500 AS src", "id AS dst")
-        weights = graph.edge_weights(graph.weighted_edges(hot.union(cold)))
-        assert weights.count() == 3000
-        assert {r.weight for r in weights.where("src = 0").collect()} == {1 / 1000}
-        assert {r.weight for r in weights.where("src > 0").collect()} == {1 / 4}
-        plan = weights._jdf.queryExecution().executedPlan().toString()
-        # The hot side and the exclusion of hot keys use broadcasts, the rest one shuffle join.
-        assert plan.count("BroadcastHashJoin") == 2
-        assert plan.count("SortMergeJoin") == 1
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # One source holds a third of all edges, many of them copies of one edge.
+    hot = spark.range(1000).selectExpr("0L AS src", "id % 3 AS dst")
+    cold = spark.range(2000).selectExpr("1 + id % 500 AS src", "id AS dst")
+    weighted = graph.weighted_edges(hot.union(cold))
+    weights = graph.edge_weights(weighted)
+    assert weights.count() == 3000
+    assert {r.weight for r in weights.where("src = 0").collect()} == {1 / 1000}
+    assert {r.weight for r in weights.where("src > 0").collect()} == {1 / 4}
+    plan = planned(weights)
+    # Hot keys are looked up in a broadcast, the weights in one shuffle join.
+    assert plan.count("BroadcastHashJoin") == 1
+    assert plan.count("SortMergeJoin") == 1
+
+
+def test_edge_weights_read_the_edges_for_totals_and_for_the_join(spark, monkeypatch):
+    plans = []
+    real = skew.pin
+    monkeypatch.setattr(skew, "pin", lambda df: plans.append(planned(df)) or real(df))
+    plans.append(planned(graph.edge_weights(graph.weighted_edges(tables.edges(spark, SF_DIR)))))
+    assert [plan.count("FileScan") for plan in plans] == [1, 1]

@@ -1,8 +1,9 @@
 from collections import Counter
 
 import pytest
-from conftest import SF_DIR, rows
+from conftest import SF_DIR, files_below, planned, rows
 
+from accountgraph.operators import pagerank as module
 from accountgraph.operators import skew
 from accountgraph.operators.pagerank import pagerank
 from accountgraph.sources import tables
@@ -78,3 +79,31 @@ def test_no_edges(spark):
 def test_bad_arguments(edges, iterations, damping, init):
     with pytest.raises(ValueError):
         pagerank(edges, iterations, damping, init)
+
+
+@pytest.mark.parametrize("folder", [SF_DIR, "/root/testdata/sf0.1"])
+def test_a_round_has_one_exchange(spark, monkeypatch, no_broadcasts, folder):
+    plans = []
+    real = module.pinned
+
+    def kept(df, name):
+        plans.append((name, planned(df)))
+        return real(df, name)
+
+    monkeypatch.setattr(module, "pinned", kept)
+    pagerank(tables.edges(spark, folder), 2, 0.85)
+    rounds = [plan for name, plan in plans if name == "ranks"]
+    assert len(rounds) == 2
+    for plan in rounds:
+        # One for the messages; the other made the cached links, once.
+        assert plan.count("Exchange") == 2
+        assert plan.count("REPARTITION_BY_COL") == 1
+        assert plan.count("ENSURE_REQUIREMENTS") == 1
+
+
+def test_superseded_checkpoints_are_deleted(spark, shared, edges):
+    before = set(files_below(shared))
+    ranks = pagerank(edges, 4, 0.85)
+    left = {p.relative_to(shared).parts[0] for p in set(files_below(shared)) - before}
+    assert len(left) == 1 and left.pop().startswith("ranks-")
+    assert ranks.count() == 4

@@ -35,7 +35,7 @@ def test_json_lines_leave_nulls_out(table, tmp_path):
 
 
 @pytest.mark.parametrize("write", [files.write_text, files.write_csv, files.write_json])
-def test_modes_and_single_file(spark, table, tmp_path, monkeypatch, write):
+def test_modes_and_single_file(spark, table, tmp_path, write):
     path = f"{tmp_path}/out"
     write(table, path)
     parts = len(list(Path(path).glob("part-*")))
@@ -46,13 +46,17 @@ def test_modes_and_single_file(spark, table, tmp_path, monkeypatch, write):
     write(table, path, mode="overwrite", single_file=True)
     assert len(list(Path(path).glob("part-*"))) == 1
     assert contents(path) == before
-    monkeypatch.setattr(files, "SINGLE_FILE_ROWS", 2)
-    write(table, path, mode="overwrite", single_file=True)
-    assert len(list(Path(path).glob("part-*"))) > 1
-    assert contents(path) == before
     assert spark.sparkContext._jsc.getPersistentRDDs().size() == 0
 
 
 def test_round_trip(spark, edges, tmp_path):
     files.write_text(edges, f"{tmp_path}/edges")
     assert rows(parse_edges(read_lines(spark, f"{tmp_path}/edges"))) == rows(edges)
+
+
+def test_single_file_holds_for_any_size(spark, tmp_path):
+    files.write_text(spark.range(0, 1_000_001, 1, 4), f"{tmp_path}/out", single_file=True)
+    parts = list((tmp_path / "out").glob("part-*"))
+    assert len(parts) == 1
+    with parts[0].open() as lines:
+        assert sum(1 for _ in lines) == 1_000_001

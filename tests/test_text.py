@@ -4,6 +4,7 @@ import pytest
 from conftest import rows
 from pyspark.errors import PySparkException
 
+from accountgraph.operators import graph, visits
 from accountgraph.operators.text import count_lines, count_occurrences
 from accountgraph.sources import text as source
 
@@ -93,3 +94,15 @@ def test_every_field_is_a_coordinate(lines):
     assert rows(source.parse_vectors(lines("1 2", "1 y"), mode="drop")) == [([1.0, 2.0],)]
     with pytest.raises(PySparkException, match="malformed field"):
         source.parse_vectors(lines("1 y")).collect()
+
+
+def test_a_bad_line_fails_whatever_is_read_later(lines):
+    with pytest.raises(PySparkException, match="malformed field"):
+        graph.out_degree(source.parse_edges(lines("1 x", "2 3"))).collect()
+    with pytest.raises(PySparkException, match="malformed field"):
+        source.parse_edges(lines("1 x", "2 3")).count()
+    with pytest.raises(PySparkException, match="malformed field"):
+        visits.in_period(source.parse_visits(lines("1 x 5")), 10, 20).collect()
+    with pytest.raises(PySparkException, match="malformed field"):
+        source.parse_edges(lines("7 x")).where("src > 100").collect()
+    assert source.parse_edges(lines("1 x", "2 3"), mode="drop").count() == 1
