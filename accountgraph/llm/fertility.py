@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import re
+from array import array
 from collections import Counter
 from pathlib import Path
 from typing import NamedTuple
@@ -53,10 +54,10 @@ BANDS = {
     "other": Band(0.2, 8.0, 0.90, 3.0),
 }
 _SCRIPTS = [
-    ("latin", re.compile(r"[A-Za-zª-ɏḀ-ỿ]")),
-    ("cyrillic", re.compile(r"[Ѐ-ԯ]")),
-    ("greek", re.compile(r"[Ͱ-Ͽἀ-῿]")),
-    ("cjk", re.compile(r"[぀-ヿ㐀-䶿一-鿿가-힯]")),
+    ("latin", re.compile(r"[A-Za-zª-ɏḀ-ỿ]+")),
+    ("cyrillic", re.compile(r"[Ѐ-ԯ]+")),
+    ("greek", re.compile(r"[Ͱ-Ͽἀ-῿]+")),
+    ("cjk", re.compile(r"[぀-ヿ㐀-䶿一-鿿가-힯]+")),
 ]
 
 
@@ -64,7 +65,7 @@ def script_of(text: str) -> str:
     """Script with the most letters; ``other`` without any of the known ones."""
     if text.isascii():
         return "latin" if any(map(str.isalpha, text)) else "other"
-    counts = [(len(pattern.findall(text)), name) for name, pattern in _SCRIPTS]
+    counts = [(sum(map(len, pattern.findall(text))), name) for name, pattern in _SCRIPTS]
     most = max(n for n, _ in counts)
     return next(name for n, name in counts if n == most) if most else "other"
 
@@ -91,10 +92,10 @@ class Meter:
         self.bytes = tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.pieces = sentencepiece.SentencePieceProcessor(model_proto=files.piece_model)
         self.is_byte = np.array([self.pieces.is_byte(i) for i in range(self.pieces.get_piece_size())])
-        self.known: dict[str, tuple[int, int, list[int]]] = {}
+        self.known: dict[str, tuple[int, int, bytes]] = {}
 
     def learn(self, words: set[str]) -> None:
-        """Measures of words: pieces, byte pieces among them, and tokens of the byte-level vocabulary."""
+        """Measures of words: pieces, byte pieces among them, and tokens of the byte-level vocabulary as 32-bit integers."""
         new = list(words.difference(self.known))
         if not new:
             return
@@ -103,17 +104,17 @@ class Meter:
         ends = np.cumsum([len(p) for p in pieces])
         total = np.concatenate([[0], np.cumsum(self.is_byte[flat])])
         in_bytes = np.diff(total[np.concatenate([[0], ends])])
-        tokens = [self.bytes.encode_ordinary(f" {w}") for w in new]
+        tokens = [array("i", self.bytes.encode_ordinary(f" {w}")).tobytes() for w in new]
         self.known.update(zip(new, zip([len(p) for p in pieces], in_bytes.tolist(), tokens)))
 
     def measure(self, words: list[str]) -> tuple[float, float, float]:
         """Characters per token over both vocabularies, share of byte pieces, bits of entropy of the tokens."""
         counts = Counter(words)
-        facts = [self.known[w] for w in counts]
-        times = np.fromiter(counts.values(), np.int64, len(counts))
-        n_pieces, n_bytes = (int((np.fromiter((f[i] for f in facts), np.int64, len(facts)) * times).sum()) for i in (0, 1))
-        sizes = np.fromiter((len(f[2]) for f in facts), np.int64, len(facts))
-        tokens = np.fromiter((t for f in facts for t in f[2]), np.int64, int(sizes.sum()))
+        n_pieces, n_bytes, parts = zip(*map(self.known.__getitem__, counts))
+        times = np.array(list(counts.values()))
+        n_pieces, n_bytes = int(np.dot(n_pieces, times)), int(np.dot(n_bytes, times))
+        sizes = np.array(list(map(len, parts))) // 4
+        tokens = np.frombuffer(b"".join(parts), np.int32)
         _, which = np.unique(tokens, return_inverse=True)
         each = np.bincount(which, np.repeat(times, sizes))
         n_tokens = each.sum()
@@ -151,9 +152,9 @@ def measured(texts: list[str], meter: Meter) -> dict[str, list]:
     if len(meter.known) > REMEMBERED:
         meter.known.clear()
     rows = []
-    for text in texts:
-        words = WORD.findall(text)
-        meter.learn(set(words))
+    found = [WORD.findall(text) for text in texts]
+    meter.learn(set().union(*found))
+    for text, words in zip(texts, found):
         lines = [line for line in text.split("\n") if WORD.search(line)]
         facts = meter.measure(words) if words else (None, None, None)
         counts = (len(words), sum(map(len, words)), sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeated_words(words))
