@@ -101,18 +101,15 @@ def beside_next(docs: DataFrame, buckets: int) -> DataFrame:
     cuts = [i / buckets for i in range(1, buckets)]
     found = texts.agg(F.percentile_approx("doc_id", cuts or [0.5], F.lit(100 * buckets))).first()[0]
     bounds = sorted(set(found or []))
-    # Range 0 has the largest ids; null ids are in the last one.
+    # Range 0 has the largest ids; null ids follow the smallest one, in its range.
     literal = F.array(*[F.lit(b) for b in bounds]).cast("array<bigint>")
-    above = F.when(F.col("doc_id").isNull(), F.lit(len(bounds))).otherwise(F.size(F.filter(literal, lambda b: b > F.col("doc_id"))))
-    heads = sorted(
-        (r["range"], r["doc_id"]) for r in texts.select("doc_id", above.alias("range")).where("doc_id IS NOT NULL").groupBy("range").agg(F.max("doc_id").alias("doc_id")).collect()
-    )
-    # A null id is a head only where no id exists at all.
-    last = len(bounds)
-    if not heads:
-        heads = [(last, None)]
-    places = [(h[1], max(p[0], 0), False) for p, h in zip(heads, heads[1:])] + [(heads[0][1], last, True)]
-    # Ranges without a head between two that have one hold no row at all; nulls end the last range.
+    above = F.size(F.filter(literal, lambda b: b > F.col("doc_id")))
+    ranged = texts.where("doc_id IS NOT NULL").select("doc_id", above.alias("range"))
+    heads = sorted((r["range"], r["doc_id"]) for r in ranged.groupBy("range").agg(F.max("doc_id").alias("doc_id")).collect())
+    heads = heads or [(0, None)]
+    last = heads[-1][0]
+    above = F.when(F.col("doc_id").isNull(), F.lit(last)).otherwise(above)
+    places = [(after[1], before[0], False) for before, after in zip(heads, heads[1:])] + [(heads[0][1], last, True)]
     extra = spark.createDataFrame(places, "head bigint, place int, wrapped boolean")
     by_head = extra.groupBy("head").agg(F.collect_list(F.struct(F.col("place").alias("range"), "wrapped", F.lit(True).alias("extra"))).alias("also"))
     own = F.array(F.struct(above.alias("range"), F.lit(False).alias("wrapped"), F.lit(False).alias("extra")))

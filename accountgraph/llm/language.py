@@ -30,8 +30,9 @@ MAX_LANGUAGES = 32
 MAX_DOCUMENTS = 400
 WINDOWS = 3
 WINDOW = 96
-EPOCHS = 8
 BATCH = 256
+# Training steps; small samples are gone through more often.
+STEPS = 200
 SEED = 5
 UNKNOWN = "und"
 
@@ -99,7 +100,7 @@ def _reversed(rows: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.take_along_axis(rows, at if rows.ndim == 2 else at[:, :, None], axis=0)
 
 
-def fit(windows: list[np.ndarray], targets: np.ndarray, languages: list[str], seed: int = SEED, epochs: int = EPOCHS, hidden: int = HIDDEN) -> Network:
+def fit(windows: list[np.ndarray], targets: np.ndarray, languages: list[str], seed: int = SEED, steps: int = STEPS, hidden: int = HIDDEN) -> Network:
     """Network trained with Adam on the mean cross-entropy of all positions of the windows."""
     rng = np.random.default_rng(seed)
     n_lang = len(languages)
@@ -107,23 +108,25 @@ def fit(windows: list[np.ndarray], targets: np.ndarray, languages: list[str], se
     weights = [make(256, 3 * hidden, s=0.3) for _ in range(2)] + [make(hidden, 3 * hidden, s=0.4) for _ in range(2)]
     weights += [make(hidden, n_lang, s=0.3) for _ in range(2)] + [np.zeros(n_lang, np.float32)]
     first, second, step = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights], 0
-    total = epochs * -(-len(windows) // BATCH)
+    batches = -(-len(windows) // BATCH)
+    epochs = -(-steps // batches)
+    total = epochs * batches
     for _ in range(epochs):
         order = rng.permutation(len(windows))
         for at in range(0, len(order), BATCH):
             chosen = order[at : at + BATCH]
             lengths = np.array([len(windows[i]) for i in chosen])
-            steps = np.zeros((lengths.max(), len(chosen)), np.uint8)
+            lanes = np.zeros((lengths.max(), len(chosen)), np.uint8)
             for lane, i in enumerate(chosen):
-                steps[: lengths[lane], lane] = windows[i]
-            both = [steps, _reversed(steps, lengths)]
+                lanes[: lengths[lane], lane] = windows[i]
+            both = [lanes, _reversed(lanes, lengths)]
             made = [_forward(s, weights[i], weights[2 + i]) for i, s in enumerate(both)]
             states = [made[0][0][1:], _reversed(made[1][0][1:], lengths)]
             logits = states[0] @ weights[4] + states[1] @ weights[5] + weights[6]
             p = np.exp(logits - logits.max(axis=2, keepdims=True))
             p /= p.sum(axis=2, keepdims=True)
             p[:, np.arange(len(chosen)), targets[chosen]] -= 1
-            p *= (np.arange(len(steps))[:, None] < lengths)[:, :, None] / lengths.sum()
+            p *= (np.arange(len(lanes))[:, None] < lengths)[:, :, None] / lengths.sum()
             p = p.astype(np.float32)
             d_states = [p @ weights[4].T, _reversed(p @ weights[5].T, lengths)]
             back = [_backward(s, weights[2 + i], made[i], d_states[i]) for i, s in enumerate(both)]
@@ -183,7 +186,7 @@ def train(
             if e > s:
                 windows.append(values[s:e].astype(np.uint8))
                 targets.append(languages.index(lang))
-    return fit(windows, np.array(targets, int), languages, seed)
+    return fit(windows, np.array(targets, int), languages, seed) if windows else None
 
 
 def _logits(steps: np.ndarray, table: np.ndarray, u: np.ndarray, out: np.ndarray) -> np.ndarray:

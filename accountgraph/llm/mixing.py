@@ -81,28 +81,28 @@ def schedule(docs: DataFrame, most: float = MOST_EPOCHS, seed: int = SEED, range
     documents without any add nothing: they have size 0 and are not taken, so
     they have no copies. Null sources form a source of their own.
     """
-    mix = fresh(docs.columns, "mix")
+    mix, of, part, fact_of = (fresh(docs.columns, name) for name in ("mix", "part_source", "part_range", "fact"))
     key = F.xxhash64(F.lit(seed), "doc_id", "text")
     range_of = F.pmod(F.shiftrightunsigned(key, 20), F.lit(ranges))
     plain = docs.select("*", F.struct(size_of(F.col("text")).alias("size"), key.alias("key"), range_of.alias("range")).alias(mix))
     size = F.col(f"{mix}.size")
-    parts = plain.groupBy("source", F.col(f"{mix}.range").alias("range")).agg(F.sum(size).alias("part"))
-    up_to = Window.partitionBy("source").orderBy("range")
+    parts = plain.groupBy("source", F.col(f"{mix}.range").alias(part)).agg(F.sum(size).alias("part"))
+    up_to = Window.partitionBy("source").orderBy(part)
     offsets = parts.select(
         "source",
-        "range",
+        part,
         (F.sum("part").over(up_to) - F.col("part")).alias("offset"),
         F.sum("part").over(Window.partitionBy("source")).alias("source_size"),
     )
     goals = targets(parts.groupBy("source").agg(F.sum("part").alias("source_size")), most).drop("source_size")
     facts = offsets.alias("o").join(goals.alias("g"), F.col("o.source").eqNullSafe(F.col("g.source"))).select(
-        F.col("o.source").alias("of"), "range", F.struct("offset", "source_size", "target", "slope").alias("fact")
+        F.col("o.source").alias(of), part, F.struct("offset", "source_size", "target", "slope").alias(fact_of)
     )
-    joined = plain.join(facts, (F.col(f"{mix}.range") == F.col("range")) & F.col("source").eqNullSafe(F.col("of")))
-    within = Window.partitionBy("source", "range").orderBy(f"{mix}.key", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.col("fact.offset") + F.coalesce(F.sum(size).over(within), F.lit(0))
-    placed = joined.withColumn("fact", F.col("fact").withField("start", start))
-    fact = lambda name: F.col(f"fact.{name}")
+    joined = plain.join(facts, (F.col(f"{mix}.range") == F.col(part)) & F.col("source").eqNullSafe(F.col(of)))
+    within = Window.partitionBy("source", f"{mix}.range").orderBy(f"{mix}.key", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.col(f"{fact_of}.offset") + F.coalesce(F.sum(size).over(within), F.lit(0))
+    placed = joined.withColumn(fact_of, F.col(fact_of).withField("start", start))
+    fact = lambda name: F.col(f"{fact_of}.{name}")
     passes = F.sequence(F.lit(0), F.lit(int(most)))
     # Words of pass p are number p * source_size + start onward of the stream.
     goal = F.round(fact("target")).cast("bigint")
@@ -117,7 +117,7 @@ def schedule(docs: DataFrame, most: float = MOST_EPOCHS, seed: int = SEED, range
         size.alias("size"), fact("source_size").alias("source_size"), fact("target").alias("target"), taken.alias("taken"),
         copies.alias("copies"), began.alias("times"),
     )
-    return placed.withColumn(mix, made).select(*docs.columns, F.col(mix).alias(mix))
+    return placed.withColumn(mix, made).select(*docs.columns, mix)
 
 
 def curriculum(docs: DataFrame, most: float = MOST_EPOCHS, seed: int = SEED) -> DataFrame:

@@ -88,6 +88,11 @@ LABELLED = [
     "Write to [email|support@shop.example.org] or call us.",
     "Send it to [email|j.smith (at) web.example.net] before noon.",
     "My address is [email|bob at mail dot example dot com] if needed.",
+    "Or ask [email|tim at web dot example dot org] about it.",
+    "You can write to [email|nora at shop dot example dot net], she is in.",
+    "It was [email|li (at) post (dot) example (dot) com] then.",
+    "She sat at the table with a dot of red on it.",
+    "We met at noon at the gate at least twice.",
     "Contact [email|carla [at] corp.example.com] for details.",
     "mail: [email|d.fuchs@post.example.de], thanks",
     "The server at [ip|192.168.10.7] did not answer.",

@@ -180,12 +180,11 @@ def representatives(docs: DataFrame, blocks: int = BLOCKS, crowd: int = CROWD) -
     one. Rows without an id stay only where their component has no id, and
     then one of them.
     """
-    classes = near_duplicates(docs, blocks, crowd)
-    kept = classes.where("doc_id = component_id").select(F.col("doc_id").alias("kept")).distinct()
-    named = docs.join(kept, F.col("doc_id") == F.col("kept"), "left_semi").dropDuplicates(["doc_id"])
-    unnamed = docs.where("doc_id IS NULL")
-    mark = fresh(docs.columns, "output")
-    lone = classes.where("component_id IS NULL").select("fp").distinct()
-    prints, name = with_output(unnamed, lambda texts: {"fp": [fingerprint(t) for t in texts]}, {"fp": "bigint"})
-    others = prints.withColumn(mark, F.col(f"{name}.fp")).join(lone, F.col(mark) == F.col("fp"), "left_semi")
-    return named.unionByName(others.dropDuplicates([mark]).select(*docs.columns))
+    classes = near_duplicates(docs.select("doc_id", "text"), blocks, crowd)
+    key = fresh(docs.columns, "kept")
+    kept = classes.where("doc_id = component_id").select(F.col("doc_id").alias(key)).distinct()
+    named = docs.join(kept, F.col("doc_id") == F.col(key), "left_semi").dropDuplicates(["doc_id"])
+    lone = classes.where("component_id IS NULL").select(F.col("fp").alias(key)).distinct()
+    prints, name = with_output(docs.where("doc_id IS NULL"), lambda texts: {"fp": [fingerprint(t) for t in texts]}, {"fp": "bigint"})
+    one_each = prints.join(lone, F.col(f"{name}.fp") == F.col(key), "left_semi").dropDuplicates([name])
+    return named.unionByName(one_each.select(*docs.columns))

@@ -86,7 +86,7 @@ class Sample(NamedTuple):
         for row, values in enumerate(least):
             keys = [(i, int(values[i]), int(values[i + 1])) for i in range(0, 16, 2)]
             others = {o for k in keys for o in seen.get(k, ())}
-            if any((least[o] == values).sum() >= 9 for o in others):
+            if any((least[o] == values).sum() >= 13 for o in others):
                 continue
             kept.append(row)
             for k in keys:

@@ -1,0 +1,233 @@
+"""Fingerprints, source mixing and SimHash against plain restatements."""
+
+import hashlib
+import random
+import re
+from collections import Counter, defaultdict
+
+import pytest
+import xxhash
+from conftest import SF_DIR, planned
+from pyspark.sql import functions as F
+
+from accountgraph.llm import fingerprint, mixing, queries, simhash
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def shingles(text, n):
+    words = WORD.findall(text)
+    return [tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))] if words else []
+
+
+# ---------------------------------------------------------------- fingerprints
+
+
+def test_fingerprint_query(spark, texts):
+    found = {r.doc_id: r for r in queries.op2_fingerprint(spark, SF_DIR).collect()}
+    assert found.keys() == texts.keys()
+    order = sorted(texts, reverse=True)
+    errors = []
+    for doc, after in zip(order, order[1:] + order[:1]):
+        text, row = texts[doc], found[doc]
+        third = len(text) // 3
+        edited = text[: len(text) - third] + texts[after][:third]
+        assert row.n_chars == len(text)
+        assert row.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        a, b, c = (set(shingles(t, 5)) for t in (text, edited, texts[after]))
+        errors.append(abs(row.near_edited - len(a & b) / len(a | b)))
+        assert row.near_next == pytest.approx(len(a & c) / len(a | c), abs=0.2)
+    assert max(errors) < 0.2 and sum(errors) / len(errors) < 0.04
+
+
+def test_fingerprint_query_runs_no_python(spark):
+    assert "Python" not in planned(queries.op2_fingerprint(spark, SF_DIR))
+
+
+def test_fingerprints_of_odd_rows(spark, odd, none):
+    for buckets in (1, 3):
+        rows = fingerprint.beside_next(odd, buckets).collect()
+        assert Counter((r.doc_id, r.text) for r in rows) == Counter((r.doc_id, r.text or "") for r in odd.collect())
+        # The next row by descending id, then text; after the last, the first.
+        order = sorted(rows, key=lambda r: (r.doc_id is None, -(r.doc_id or 0), r.text))
+        after = {(a.doc_id, a.text): b.text for a, b in zip(order, order[1:] + order[:1]) if a.doc_id != 3}
+        assert all(after[r.doc_id, r.text] == r.next_text for r in rows if r.doc_id != 3)
+        assert fingerprint.beside_next(none, buckets).count() == 0
+    one = fingerprint.beside_next(spark.createDataFrame([(4, "abc def")], "doc_id long, text string"), 4).collect()
+    assert [(r.text, r.next_text) for r in one] == [("abc def", "abc def")]
+
+
+def test_sketches_merge_and_estimate(spark):
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(4000)]
+    parts = [" ".join(rng.sample(words, 900)) for _ in range(6)]
+    frame = spark.createDataFrame([("k", p) for p in parts] + [("empty", ""), (None, "a b")], "key string, text string")
+    merged = fingerprint.merge_by(frame.withColumn("sketch", fingerprint.sketch(F.col("text"))), "key")
+    found = {r.key: r for r in merged.select("*", fingerprint.distinct_count(F.col("sketch")).alias("n")).collect()}
+    true = len({s for p in parts for s in shingles(p, 5)})
+    assert found["k"].n == pytest.approx(true, rel=0.3)
+    assert found["empty"].sketch == [] and found["empty"].n == 0
+    assert len(found[None].sketch) == 1
+    all_at_once = spark.createDataFrame([(p,) for p in parts], "text string").select(fingerprint.sketch(F.col("text")).alias("s"))
+    hashes = sorted({h for r in all_at_once.collect() for h in r.s})
+    assert found["k"].sketch == hashes[: fingerprint.K]
+
+
+def test_likeness_of_small_texts_is_exact(spark):
+    pairs = [("a b c d e f", "a b c d e g"), ("a b", "a b"), ("", ""), ("a", ""), ("a b c d e", "a b c d e f g")]
+    a, b = fingerprint.sketch(F.col("a")), fingerprint.sketch(F.col("b"))
+    rows = spark.createDataFrame(pairs, "a string, b string").select(
+        "a", "b", fingerprint.resemblance(a, b).alias("r"), fingerprint.containment(a, b).alias("c")
+    )
+    for r in rows.collect():
+        x, y = set(shingles(r.a, 5)), set(shingles(r.b, 5))
+        assert r.r == pytest.approx(len(x & y) / len(x | y) if x | y else 1.0)
+        assert r.c == pytest.approx(len(x & y) / len(x) if x else 1.0)
+
+
+# ---------------------------------------------------------------------- mixing
+
+
+def filled(sizes, weights, most):
+    """Targets by sharing the excess again and again."""
+    total, capped = sum(sizes.values()), {}
+    while True:
+        free = [s for s in sizes if s not in capped]
+        left, weight = total - sum(capped.values()), sum(weights[s] for s in free)
+        shares = {s: left * weights[s] / weight for s in free}
+        above = [s for s in free if shares[s] > most * sizes[s]]
+        if not above:
+            return shares | capped
+        capped |= {s: most * sizes[s] for s in above}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_targets(spark, seed):
+    rng = random.Random(seed)
+    sizes = {f"s{i:02d}": rng.choice([1, 5, 20, 400, 9000]) for i in range(rng.randint(1, 12))} | {None: 7}
+    order = sorted(s for s in sizes if s) + [None]
+    expected = filled(sizes, {s: 1 + i % 3 for i, s in enumerate(order)}, 3)
+    found = mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()
+    assert {r.source: r.target for r in found} == pytest.approx(expected)
+
+
+def test_mixing_query(spark, documents):
+    rows = queries.op3_mixing(spark, SF_DIR).collect()
+    source = {r.doc_id: r.source for r in documents.collect()}
+    assert len(rows) == len(source)
+    taken = Counter()
+    for r in rows:
+        assert 0 <= r.taken <= 3 * r.size
+        taken[source[r.doc_id]] += r.taken
+    for r in rows:
+        assert taken[source[r.doc_id]] == pytest.approx(r.target, abs=1)
+    again = queries.op3_mixing(spark, SF_DIR)
+    assert sorted(map(str, again.collect())) == sorted(map(str, rows))
+
+
+def test_times_invert_the_demand(spark):
+    rates = spark.createDataFrame([(s / 10, t / 20) for s in range(-9, 10) for t in range(21)], "slope double, t double")
+    demand = rates.withColumn("share", (1 - F.col("slope")) * F.col("t") + F.col("slope") * F.col("t") * F.col("t"))
+    for r in demand.select("t", mixing.time_of(F.col("share"), F.col("slope")).alias("found")).collect():
+        assert r.found == pytest.approx(r.t, abs=1e-6)
+
+
+def test_curriculum_follows_the_times(spark, documents):
+    few = documents.where("doc_id < 40")
+    times = {r.doc_id: r.mix.times[: r.mix.copies] for r in mixing.schedule(few).collect()}
+    order = [r.doc_id for r in mixing.curriculum(few).collect()]
+    assert Counter(order) == Counter({d: len(t) for d, t in times.items() if t})
+    seen = Counter()
+    at = []
+    for doc in order:
+        at.append(times[doc][seen[doc]])
+        seen[doc] += 1
+    assert at == sorted(at)
+
+
+def test_mixing_odd_rows(odd, none):
+    mixed = mixing.schedule(odd)
+    column = mixed.columns[-1]
+    rows = mixed.collect()
+    assert mixed.columns[:-1] == odd.columns and column != "mix" and len(rows) == odd.count()
+    for r in rows:
+        assert r[column].size == len(WORD.findall(r.text or "")) and r[column].taken <= 3 * r[column].size
+    assert mixing.curriculum(odd).columns == odd.columns
+    assert mixing.schedule(none).count() == 0 and mixing.curriculum(none).count() == 0
+
+
+# --------------------------------------------------------------------- SimHash
+
+
+def plain_fingerprint(text):
+    lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+    hashes = [xxhash.xxh64_intdigest(" ".join(s).encode(), 42) for s in shingles(lower, 3)]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def classes(prints):
+    """Least id of each id's component over links of two bits or less."""
+    ids = sorted(prints)
+    root = {i: i for i in ids}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for k, i in enumerate(ids):
+        for j in ids[k + 1 :]:
+            if (prints[i] ^ prints[j]).bit_count() <= 2:
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return {i: find(i) for i in ids}
+
+
+def test_simhash_query(spark, texts):
+    rows = queries.op6_simhash(spark, SF_DIR).collect()
+    prints = {i: plain_fingerprint(t) for i, t in texts.items()}
+    assert {r.doc_id: r.fingerprint for r in rows} == {i: f"{p:016x}" for i, p in prints.items()}
+    assert {r.doc_id: r.component_id for r in rows} == classes(prints)
+
+
+@pytest.mark.parametrize("crowd", [0, 3, 32])
+def test_links_connect_all_that_is_near(spark, crowd):
+    rng = random.Random(crowd)
+    prints = []
+    for _ in range(12):
+        at = rng.getrandbits(64)
+        for _ in range(rng.randint(1, 12)):
+            prints.append(at)
+            for _ in range(rng.randint(1, 3)):
+                at ^= 1 << rng.randrange(64)
+    prints = list(dict.fromkeys(prints))
+    signed = [p - (1 << 64) if p >> 63 else p for p in prints]
+    nodes = spark.createDataFrame([(p,) for p in signed], "fp long")
+    edges = simhash.links(nodes, crowd=crowd)
+    for a, b in edges.collect():
+        assert a < b and ((a ^ b) & (1 << 64) - 1).bit_count() <= 2
+    roots = {r.node: r.root for r in simhash.components(edges).collect()}
+    expected = classes(dict(zip(signed, prints)))
+    groups = defaultdict(set)
+    for i, root in expected.items():
+        groups[root].add(i)
+    for members in groups.values():
+        assert {roots.get(m, m) for m in members} == {min(members)}
+
+
+def test_a_long_chain_is_one_component(spark):
+    chain = spark.range(300).selectExpr("id AS a", "id + 1 AS b")
+    assert {r.root for r in simhash.components(chain).collect()} == {0}
+    assert simhash.components(chain.where("false")).count() == 0
+
+
+def test_simhash_odd_rows(odd, none):
+    rows = simhash.near_duplicates(odd).collect()
+    assert len(rows) == odd.count()
+    # Texts without words share fingerprint 0.
+    assert {r.component_id for r in rows if r.fp == 0} == {1}
+    assert {r.component_id for r in rows if r.doc_id in (5, 6)} == {5}
+    kept = simhash.representatives(odd)
+    assert kept.columns == odd.columns
+    assert sorted((r.doc_id is None, r.doc_id) for r in kept.collect()) == [(False, 1), (False, 5), (False, 7), (False, 8), (False, 9), (True, None)]
+    assert simhash.near_duplicates(none).count() == 0 and simhash.representatives(none).count() == 0
