@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from accountgraph.llm.common import computed, fresh, with_output
-from accountgraph.storage import pin, scratch_path
+from accountgraph.storage import pin, stored
 
 SEED = 42
 SHINGLE = 3
@@ -159,10 +159,7 @@ def near_duplicates(docs: DataFrame, blocks: int = BLOCKS, crowd: int = CROWD) -
     Hamming distance 2 or less; null when a component has none. Repeated rows
     stay repeated; an empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    path = scratch_path(spark, "simhash")
-    fingerprints(docs).write.parquet(path)
-    prints = spark.read.schema("doc_id bigint, fp bigint").parquet(path)
+    prints = stored(fingerprints(docs), "simhash").df
     nodes = pin(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     rooted = pin(components(links(nodes.select("fp"), blocks, crowd)).withColumnRenamed("node", "fp"))
     linked = nodes.join(rooted, "fp")
