@@ -150,6 +150,9 @@ def lloyd(
         sound = points.where(F.when(all_finite(_values(features)), True).otherwise(_complaint("point", shown))).select(*[f"`{f}`" for f in names])
         kept = stored(sound.groupBy(*[f"`{f}`" for f in names]).agg(F.count(F.lit(1)).alias(f"{_OWN}n")), "places")
         places, weight = kept.df, F.col(f"{_OWN}n")
+    elif iterations > 0:
+        # Every round reads the points: what made them runs once.
+        places = places.persist()
     now, table = centroids.select("cid", *[f"`{f}`" for f in names]), None
     for _ in range(iterations):
         later = stored(_means(_labelled(places, now, features), features, weight), "centroids")
@@ -158,6 +161,8 @@ def lloyd(
         now, table = later.df, later
     if kept is not None:
         kept.free()
+    elif iterations > 0:
+        places.unpersist()
     if table is not None and now.isEmpty():
         # No points: the last centroids label nothing and none are left.
         return Lloyd(points.withColumn("cid", F.lit(None).cast(dict(centroids.dtypes)["cid"])), now)
