@@ -170,18 +170,32 @@ def near_duplicates(docs: DataFrame, blocks: int = BLOCKS, crowd: int = CROWD) -
     return prints.join(ids, "fp").select("doc_id", "fp", "component_id")
 
 
+def keep_one_each(docs: DataFrame, grouped: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each ``root`` of ``grouped``, which has ``doc_id, text_hash, root`` of every row.
+
+    The least id decides, then the least hash of the text; a null id comes
+    last. Of rows that agree in both, one stays. ``text_hash`` is Spark's
+    ``xxhash64`` of the text.
+    """
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+    kept = grouped.groupBy("root").agg(F.min(order).alias("least"))
+    id_key, hash_key, own = (fresh(docs.columns, c) for c in ("kept_id", "kept_hash", "own_hash"))
+    kept = pin(kept.select(F.col("least.doc_id").alias(id_key), F.col("least.text_hash").alias(hash_key)))
+    hashed = docs.withColumn(own, F.xxhash64("text"))
+    same = F.col("doc_id").eqNullSafe(F.col(id_key)) & (F.col(own) == F.col(hash_key))
+    return hashed.join(kept, same, "left_semi").dropDuplicates(["doc_id", own]).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def representatives(docs: DataFrame, blocks: int = BLOCKS, crowd: int = CROWD) -> DataFrame:
     """Rows of ``docs`` that stay when one document of each component does.
 
-    The row with the component's least id stays; of rows that repeat that id,
-    one. Rows without an id stay only where their component has no id, and
-    then one of them.
+    The row with the component's least id stays, of several with that id the
+    one with the least hash of its text, so that every component keeps one
+    even where an id stands for different texts. A row without an id stays
+    only where its component has no id.
     """
-    classes = near_duplicates(docs.select("doc_id", "text"), blocks, crowd)
-    key = fresh(docs.columns, "kept")
-    kept = classes.where("doc_id = component_id").select(F.col("doc_id").alias(key)).distinct()
-    named = docs.join(kept, F.col("doc_id") == F.col(key), "left_semi").dropDuplicates(["doc_id"])
-    lone = classes.where("component_id IS NULL").select(F.col("fp").alias(key)).distinct()
-    prints, name = with_output(docs.where("doc_id IS NULL"), lambda texts: {"fp": [fingerprint(t) for t in texts]}, {"fp": "bigint"})
-    one_each = prints.join(lone, F.col(f"{name}.fp") == F.col(key), "left_semi").dropDuplicates([name])
-    return named.unionByName(one_each.select(*docs.columns))
+    out, name = with_output(docs.select("doc_id", "text"), lambda texts: {"fp": [fingerprint(t) for t in texts]}, {"fp": "bigint"})
+    prints = stored(out.select("doc_id", F.xxhash64("text").alias("text_hash"), f"{name}.fp"), "simhash").df
+    rooted = pin(components(links(prints.select("fp").distinct(), blocks, crowd)).withColumnRenamed("node", "fp"))
+    grouped = prints.join(rooted, "fp", "left").select("doc_id", "text_hash", F.coalesce("root", "fp").alias("root"))
+    return keep_one_each(docs, grouped)
