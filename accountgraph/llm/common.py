@@ -21,6 +21,7 @@ _ARROW = {
     "double": pa.float64(),
     "string": pa.string(),
     "array<int>": pa.list_(pa.int32()),
+    "array<bigint>": pa.list_(pa.int64()),
     "array<double>": pa.list_(pa.float64()),
     "array<string>": pa.list_(pa.string()),
 }
