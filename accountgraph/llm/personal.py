@@ -321,6 +321,59 @@ def _holds(kind: str, text: str) -> bool:
     return 7 <= digits <= 15 and not re.search(r"[^0-9 ().+/-]", text)
 
 
+def _trimmed(text: str, a: int, b: int) -> tuple[int, int]:
+    while b > a and text[b - 1] in _EDGE:
+        b -= 1
+    while a < b and text[a] in _EDGE:
+        a += 1
+    return a, b
+
+
+# Words that one find can have at most.
+MOST_WORDS = 24
+
+
+def _parts(kind: str, text: str, words: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Finds of one kind in a run of words: the run as a whole, or else the parts that leave the fewest words over.
+
+    Of such parts the fewest, and then the most even ones, are taken. A part
+    without a list mark or a bracket at its borders must be a number with signs
+    or in one word, so that columns of plain numbers are no finds.
+    """
+    a, b = _trimmed(text, words[0][0], words[-1][1])
+    if _holds(kind, text[a:b]):
+        return [(a, b)]
+
+    def apart(i: int) -> bool:
+        return i == 0 or i == len(words) or text[words[i - 1][1] - 1] in ",;|/&" or text[words[i][0]] in "(+"
+
+    # By the number of words read: words left over, parts, squares of their sizes, where the last part starts, or None.
+    best: list[tuple[int, int, int, int | None]] = [(0, 0, 0, None)]
+    for end in range(1, len(words) + 1):
+        left, n, squares, _ = best[end - 1]
+        now = (left + 1, n, squares, None)
+        for start in range(max(0, end - MOST_WORDS), end):
+            a, b = _trimmed(text, words[start][0], words[end - 1][1])
+            part = text[a:b]
+            if not _holds(kind, part):
+                continue
+            if kind == "phone" and end - start > 1 and not (apart(start) and apart(end)) and not any(c in part for c in "()+-"):
+                continue
+            left, n, squares, _ = best[start]
+            size = len(_DIGIT.findall(part)) if kind != "email" else end - start
+            offer = (left, n + 1, squares + size * size, start)
+            if offer[:3] < now[:3]:
+                now = offer
+        best.append(now)
+    found, end = [], len(words)
+    while end:
+        start = best[end][3]
+        if start is not None:
+            found.append(_trimmed(text, words[start][0], words[end - 1][1]))
+        end = end - 1 if start is None else start
+    return found[::-1]
+
+
 class Finder:
     """Finds all spans of whole texts."""
 
@@ -352,22 +405,26 @@ class Finder:
         return out
 
     def _added(self, text: str, labels: np.ndarray, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+        """Finds in runs of one label on a line; words that a pattern has matched in end a run and belong to none."""
         places = [(m.start(), m.end()) for m in WORD.finditer(text)]
-        added, at = [], 0
         marked = labels.tolist()
+        if base:
+            edges = np.zeros(len(text) + 1, np.int32)
+            np.add.at(edges, [a for _, a, _ in base], 1)
+            np.add.at(edges, [b for _, _, b in base], -1)
+            matched = np.concatenate([[0], np.cumsum(np.cumsum(edges) > 0)])
+            for at in np.flatnonzero(labels).tolist():
+                a, b = places[at]
+                if matched[b] > matched[a]:
+                    marked[at] = 0
+        added, at = [], 0
         while at < len(marked):
             end = at + 1
             if marked[at]:
                 while end < len(marked) and marked[end] == marked[at] and "\n" not in text[places[end - 1][1] : places[end][0]]:
                     end += 1
-                a, b = places[at][0], places[end - 1][1]
-                while b > a and text[b - 1] in _EDGE:
-                    b -= 1
-                while a < b and text[a] in _EDGE:
-                    a += 1
                 kind = KINDS[marked[at] - 1]
-                if _holds(kind, text[a:b]) and not any(a < y and x < b for _, x, y in base):
-                    added.append((kind, a, b))
+                added += [(kind, a, b) for a, b in _parts(kind, text, places[at:end])]
             at = end
         return added
 
