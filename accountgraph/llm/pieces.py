@@ -14,7 +14,8 @@ it) one after another. Distinct units are segmented side by side in numpy.
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from array import array
+from collections.abc import Iterator, Sequence
 from pathlib import Path
 from typing import NamedTuple
 
@@ -33,8 +34,11 @@ _MARK = b"\xff"
 # How much less than the least piece an uncovered character scores.
 UNCOVERED = 10.0
 REMEMBERED = 200_000
-# Units segmented side by side.
+# Units segmented side by side, and the bytes of the longest times their number.
 LANES = 20_000
+CELLS = 4_000_000
+# Bytes from which on a unit is segmented alone, with the scores of the last few positions only.
+LONG = 1_024
 
 
 class Vocabulary(NamedTuple):
@@ -144,13 +148,66 @@ def segment(vocabulary: Vocabulary, units: list[bytes]) -> list[bytes]:
     """
     out: list[bytes] = [b""] * len(units)
     order = sorted(range(len(units)), key=lambda i: len(units[i]))
-    for at in range(0, len(order), LANES):
-        lane = order[at : at + LANES]
+    some = []
+    while order and len(units[order[-1]]) >= LONG:
+        some.append(order.pop())
+    if some:
+        for i, ids in zip(some, _segment_alone(vocabulary, [units[i] for i in some])):
+            out[i] = ids
+    at = 0
+    while at < len(order):
+        end = at + 1
+        while end < len(order) and end - at < LANES and (end - at + 1) * len(units[order[end]]) <= CELLS:
+            end += 1
+        lane = order[at:end]
         for i, ids in zip(lane, _segment_lanes(vocabulary, [units[i] for i in lane])):
             out[i] = ids
+        at = end
     return out
 
 
+def _segment_alone(v: Vocabulary, units: list[bytes]) -> Iterator[bytes]:
+    """The same as ``_segment_lanes``, one unit at a time, in four bytes for each byte of the unit."""
+    base, check, piece, scores = v.base.tolist(), v.check.tolist(), v.piece.tolist(), v.scores.tolist()
+    least, limit, longest = float(v.scores.min() - UNCOVERED), len(check), v.longest
+    ring, never = max(longest, 4) + 1, float("-inf")
+    for data in units:
+        size = len(data)
+        best = [never] * ring
+        best[0] = 0.0
+        # The id of the last piece up to each position, or how many bytes an uncovered character has, negated.
+        used = array("i", bytes(4 * (size + 1)))
+        for start in range(size):
+            so_far = best[start % ring]
+            if so_far == never:
+                continue
+            best[start % ring] = never
+            lead = data[start]
+            alone = 1 if lead < 0xC0 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4 if lead < 0xF8 else 1
+            end = min(start + alone, size)
+            if so_far + least > best[end % ring]:
+                best[end % ring], used[end] = so_far + least, start - end
+            state = 0
+            for end in range(start + 1, min(size, start + longest) + 1):
+                following = base[state] + data[end - 1]
+                if following >= limit or following == 0 or check[following] != state:
+                    break
+                state = following
+                if piece[state] >= 0 and so_far + scores[piece[state]] > best[end % ring]:
+                    best[end % ring], used[end] = so_far + scores[piece[state]], piece[state]
+        ids, end = array("i"), size
+        while end:
+            last = used[end]
+            if last >= 0:
+                ids.append(last)
+                end -= len(v.contents[last])
+            else:
+                ids.extend(v.byte_ids[list(data[end + last : end][::-1])].tolist())
+                end += last
+        ids.reverse()
+        yield np.array(ids, "<i4").tobytes()
+
+
 def _segment_lanes(v: Vocabulary, units: list[bytes]) -> list[bytes]:
     lengths = np.array([len(u) for u in units])
     width, n = int(lengths.max()), len(units)
