@@ -14,20 +14,23 @@ import re
 from typing import NamedTuple
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from accountgraph.llm.common import computed, drawn, with_output
+from accountgraph.llm.common import computed, with_output
 
 HIDDEN = 8
 # Bytes of a span that are labelled together, and of context before and after them.
 SPAN = 256
 CONTEXT = 16
-# Spans read side by side.
+# Spans read side by side, fewer with more than so many languages.
 LANES = 2048
-# Bounds of the training sample: languages, documents of each, windows of a document and their bytes.
-MAX_LANGUAGES = 32
+FULL_LANES = 32
+# Bounds of the training sample: documents of a language, of all languages unless
+# each has the least number, windows of a document and their bytes.
 MAX_DOCUMENTS = 400
+SAMPLE = 12_800
+LEAST_DOCUMENTS = 20
 WINDOWS = 3
 WINDOW = 96
 BATCH = 256
@@ -146,26 +149,24 @@ def fit(windows: list[np.ndarray], targets: np.ndarray, languages: list[str], se
 
 def train(
     docs: DataFrame,
-    max_languages: int = MAX_LANGUAGES,
     max_documents: int = MAX_DOCUMENTS,
     seed: int = SEED,
 ) -> Network | None:
     """Network from ``doc_id, text, lang``; None where no row has a language.
 
-    Learns the ``max_languages`` most frequent languages from at most
-    ``max_documents`` documents of each (least seeded hash of the id), in
-    ``WINDOWS`` evenly spread windows of a document.
+    Learns every language, from at most ``max_documents`` documents of each
+    (least seeded hash of the id), in ``WINDOWS`` evenly spread windows of a
+    document. With many languages each has fewer documents, but no less than
+    ``LEAST_DOCUMENTS`` where it has them.
     """
     known = docs.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL")
-    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages)
-    languages = sorted(r["lang"] for r in counts.collect())
+    languages = sorted(r["lang"] for r in known.select("lang").distinct().collect())
     if not languages:
         return None
-    some = [drawn(known.select("doc_id", "lang").where(F.col("lang") == lang), max_documents, seed, "doc_id") for lang in languages]
-    chosen = some[0]
-    for more in some[1:]:
-        chosen = chosen.union(more)
-    chosen = chosen.toDF("chosen", "of")
+    of_each = min(max_documents, max(LEAST_DOCUMENTS, SAMPLE // len(languages)))
+    order = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id")
+    ranked = known.select("doc_id", "lang").withColumn("nth", F.row_number().over(order))
+    chosen = ranked.where(F.col("nth") <= of_each).select(F.col("doc_id").alias("chosen"), F.col("lang").alias("of"))
 
     def cut(texts: list[str]) -> dict[str, list]:
         out = []
@@ -179,13 +180,14 @@ def train(
     out, name = with_output(picked, cut, {"windows": "array<int>"})
     rows = sorted(out.select("doc_id", "lang", f"{name}.windows").collect())
     windows, targets = [], []
+    number = {lang: i for i, lang in enumerate(languages)}
     for _, lang, values in rows:
         values = np.array(values)
         ends = np.flatnonzero(values == 256)
         for s, e in zip(np.concatenate([[0], ends[:-1] + 1]), ends):
             if e > s:
                 windows.append(values[s:e].astype(np.uint8))
-                targets.append(languages.index(lang))
+                targets.append(number[lang])
     return fit(windows, np.array(targets, int), languages, seed) if windows else None
 
 
@@ -232,8 +234,9 @@ def position_sums(network: Network, texts: list[bytes]) -> tuple[np.ndarray, np.
     start, end = np.maximum(low - CONTEXT, 0), np.minimum(high + CONTEXT, sizes[owner])
     sums = np.zeros((len(texts), len(network.languages)))
     order = np.argsort(end - start, kind="stable")
-    for at in range(0, len(order), LANES):
-        lane = order[at : at + LANES]
+    lanes = max(1, LANES * FULL_LANES // max(FULL_LANES, len(network.languages)))
+    for at in range(0, len(order), lanes):
+        lane = order[at : at + lanes]
         lengths = (end - start)[lane]
         time = np.arange(lengths.max())[:, None]
         where = np.minimum((begins[owner] + start)[lane] + np.minimum(time, lengths - 1), len(data) - 1)
