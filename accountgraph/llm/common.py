@@ -6,7 +6,7 @@ import re
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Words are runs of anything but ASCII white space (fixed pattern).
@@ -20,12 +20,15 @@ _ARROW = {
     "bigint": pa.int64(),
     "double": pa.float64(),
     "string": pa.string(),
+    "binary": pa.binary(),
     "array<int>": pa.list_(pa.int32()),
     "array<bigint>": pa.list_(pa.int64()),
     "array<double>": pa.list_(pa.float64()),
     "array<string>": pa.list_(pa.string()),
 }
 
+# Parts that the candidates of one key are first ranked in.
+PARTS = 64
 # Characters that a batch operator holds as Python objects at once.
 BLOCK_CHARS = 4_000_000
 
@@ -57,6 +60,19 @@ def text_blocks(texts: Sequence[str], chars: int = BLOCK_CHARS) -> Iterator[tupl
         yield start, len(texts)
 
 
+def text_bytes(column: pa.Array) -> list[bytes]:
+    """Texts as they lie in the column, null as the empty text."""
+    return [b or b"" for b in column.cast(pa.binary()).to_pylist()]
+
+
+def whole_texts(column: pa.Array) -> list[str]:
+    """Texts of the column, null as the empty text; bytes that are no UTF-8 become replacement characters."""
+    try:
+        return [t or "" for t in column.to_pylist()]
+    except UnicodeDecodeError:
+        return [b.decode("utf-8", "replace") for b in text_bytes(column)]
+
+
 def with_output(
     docs: DataFrame,
     compute: Callable[[list[str]], dict[str, Sequence]],
@@ -67,25 +83,30 @@ def with_output(
 
     ``compute`` gets whole texts (null as the empty string) in blocks and
     returns a sequence for each of ``fields``. The struct gets a name of its
-    own, so columns of ``docs`` may be called anything.
+    own, so columns of ``docs`` may be called anything, with dots too: Spark
+    resolves no name of theirs. Bytes that are no UTF-8 become replacement
+    characters in what ``compute`` gets.
     """
     name = fresh(docs.columns, "output")
-    at = docs.columns.index(text)
+    names = docs.columns
+    at = names.index(text)
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
     kinds = [(field, _ARROW[kind]) for field, kind in fields.items()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or "" for t in batch.column(at).to_pylist()]
+            texts = whole_texts(batch.column(at))
             for start, end in text_blocks(texts):
                 found = compute(texts[start:end])
                 made = [v if isinstance(v := found[f], pa.Array) else pa.array(v, kind) for f, kind in kinds]
                 struct = pa.StructArray.from_arrays(made, [field for field, _ in kinds])
                 part = batch.slice(start, end - start)
-                yield pa.RecordBatch.from_arrays([*part.columns, struct], [*part.schema.names, name])
+                yield pa.RecordBatch.from_arrays([*part.columns, struct], made_names)
 
     struct = ",".join(f"{field}:{kind}" for field, kind in fields.items())
-    schema = docs.select("*", F.lit(None).cast(f"struct<{struct}>").alias(name)).schema
-    return docs.mapInArrow(run, schema), name
+    made_names = [*plain.columns, name]
+    schema = plain.select("*", F.lit(None).cast(f"struct<{struct}>").alias(name)).schema
+    return plain.mapInArrow(run, schema).toDF(*names, name), name
 
 
 def computed(docs: DataFrame, compute: Callable, fields: dict[str, str], key: str = "doc_id") -> DataFrame:
@@ -102,3 +123,27 @@ def in_fold(doc_id: Column, folds: int, fold: int) -> Column:
 def drawn(rows: DataFrame, n: int, seed: int, *keys: str) -> DataFrame:
     """At most ``n`` rows, those whose keys hash lowest: the same ones on every run."""
     return rows.orderBy(F.xxhash64(F.lit(seed), *keys), *keys).limit(n)
+
+
+def tables_of(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    """Batches put together to tables of at most ``rows`` rows."""
+    held, n = [], 0
+    for batch in batches:
+        at = 0
+        while at < batch.num_rows:
+            part = batch.slice(at, rows - n)
+            held.append(part)
+            at, n = at + part.num_rows, n + part.num_rows
+            if n == rows:
+                yield pa.Table.from_batches(held)
+                held, n = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def first_ranks(found: DataFrame, keys: list[str], order: list[Column], most: int, parts: int = PARTS) -> DataFrame:
+    """The first ``most`` rows of each key with their ``rank``; a key's rows are first ranked in parts."""
+    part = F.pmod(F.xxhash64(*found.columns), F.lit(parts)).alias("part")
+    within = Window.partitionBy(*keys, "part").orderBy(*order)
+    few = found.select("*", part).withColumn("rank", F.row_number().over(within)).where(F.col("rank") <= most).drop("rank", "part")
+    return few.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= most)

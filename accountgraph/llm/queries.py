@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from accountgraph.llm import fertility, fingerprint, language, licences, mixing, personal, pieces, quality, simhash, toxicity
+from accountgraph.llm import (
+    fertility,
+    fingerprint,
+    language,
+    lexical,
+    licences,
+    merges,
+    mixing,
+    negatives,
+    personal,
+    pieces,
+    quality,
+    simhash,
+    toxicity,
+)
 from accountgraph.llm.common import in_fold
 
 
@@ -101,6 +115,69 @@ def op10_licences(spark: SparkSession, folder: str) -> DataFrame:
     return licences.scanned(documents(spark, folder)).drop("span_labels", "span_starts", "span_ends")
 
 
+def op11_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{folder}/embeddings.parquet")
+    mislabelled = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mined(negatives.whole_numbers(vectors, mislabelled), every=100)
+
+
+def op12_merges(spark: SparkSession, folder: str) -> DataFrame:
+    out, name = merges.encoded(documents(spark, folder).select("doc_id", "text"), merges.load())
+    return out.select(
+        "doc_id",
+        f"{name}.n_tokens",
+        F.sha2(f"{name}.packed", 256).alias("ids_sha256"),
+        F.sha2(f"{name}.decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op13_lexical(spark: SparkSession, folder: str) -> DataFrame:
+    items = spark.read.parquet(f"{folder}/benchmark.parquet")
+    return lexical.ranked(documents(spark, folder), items)
+
+
+# Scores of anchors against all rows, in whole numbers that doubles hold exactly.
+_NEGATIVES = f"""WITH rows AS MATERIALIZED (
+        SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+               list_transform(embedding, lambda x: floor({negatives.SCALE} * x::DOUBLE)) AS q
+        FROM embeddings
+        WHERE label IS NOT NULL AND embedding IS NOT NULL
+          AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    scored AS MATERIALIZED (
+        SELECT a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS same,
+               list_dot_product(a.q, r.q)::BIGINT AS score
+        FROM rows a, rows r WHERE a.vec_id % 100 = 0),
+    positives AS (
+        SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored
+        WHERE same AND vec_id <> anchor_id
+        QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= {negatives.POSITIVES}),
+    near AS (
+        SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score,
+               row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id) AS rank
+        FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT s.same
+         AND 100 * s.score BETWEEN 30 * p.positive_score AND 90 * p.positive_score)
+    SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score
+    FROM near WHERE rank <= {negatives.NEGATIVES}"""
+
+_TERMS = """list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda t: t <> '')"""
+_LEXICAL = f"""WITH texts AS MATERIALIZED (SELECT doc_id, {_TERMS} AS terms FROM documents),
+    facts AS (SELECT count(*) AS n, sum(len(terms))::BIGINT AS l FROM texts WHERE len(terms) > 0),
+    sizes AS (SELECT doc_id, 25 + (75 * len(terms) * n) // l AS m FROM texts, facts WHERE len(terms) > 0),
+    counts AS MATERIALIZED (
+        SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(terms) AS term FROM texts) GROUP BY doc_id, term),
+    weights AS (
+        SELECT term, floor(1000 * ln((2 * n + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+        FROM counts, facts GROUP BY term, n),
+    asked AS (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark),
+    scores AS (
+        SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+        FROM asked JOIN weights USING (term) JOIN counts USING (term) JOIN sizes USING (doc_id) GROUP BY item_id, doc_id),
+    places AS (
+        SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0)
+    SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM places WHERE rank <= {lexical.BEST}"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
@@ -113,8 +190,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_fertility": op8_fertility,
         "op9_language": op9_language,
         "op10_licences": op10_licences,
+        "op11_negatives": op11_negatives,
+        "op12_merges": op12_merges,
+        "op13_lexical": op13_lexical,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_negatives": _NEGATIVES, "op13_lexical": _LEXICAL}
