@@ -1,27 +1,36 @@
 """k-means from given starting centroids and from a seeded random start.
 
 Coordinates must be finite numbers: a point or centroid with a null, NaN or
-infinite one fails the query with an error that shows the row.
+infinite one fails the query with an error that shows it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType, DoubleType, StructType
 
+from accountgraph.functions import nearest
 from accountgraph.functions.geometry import all_finite, squared_array_distance
 from accountgraph.functions.hashing import hash_below
-from accountgraph.storage import stored
+from accountgraph.storage import Stored, stored
 
 FEATURES = ("x", "y")
 # Columns made on the way start with this.
 _OWN = "__clustering_"
 NEAR = f"{_OWN}near"
+# Points of one block of Lloyd's rounds, and rounds after which the blocks are written.
+BLOCK = 16_384
+CUT = 20
 
 
 def _values(features: str | Sequence[str]) -> Column:
@@ -41,55 +50,81 @@ def _complaint(what: str, shown: Column) -> Column:
     return F.raise_error(F.concat(F.lit(f"{what} with a coordinate that is not a finite number: "), shown))
 
 
-def _table(centroids: DataFrame, features: str | Sequence[str]) -> Column:
-    """All centroids as one array of ``cid, centre``, a scalar subquery that Spark runs once."""
-    values = _values(features)
-    centre = F.when(all_finite(values), values).otherwise(_complaint("centroid", F.to_json(F.struct("*"))))
-    return centroids.agg(F.collect_list(F.struct("cid", centre.alias("centre")))).scalar()
+class _Centres(NamedTuple):
+    """Centroids on the driver, whose number and size the caller chose; in the order of their ids."""
 
-
-def _require_some(centroids: DataFrame) -> None:
-    if centroids.isEmpty():
-        raise ValueError("no centroids given")
+    cids: list
+    places: np.ndarray
+    kind: DataType
 
 
-def _nearest(points: DataFrame, centroids: DataFrame, features: str | Sequence[str]) -> DataFrame:
+def _centres(centroids: DataFrame, features: str | Sequence[str]) -> _Centres:
+    found = centroids.select("cid", _values(features).alias("at")).collect()
+    if not found:
+        raise ValueError("no centroids given")
+    for row in found:
+        if row["at"] is None or not all(v is not None and np.isfinite(v) for v in row["at"]):
+            raise ValueError(f"centroid with a coordinate that is not a finite number: {row}")
+        if len(row["at"]) != len(found[0]["at"]):
+            raise ValueError(f"centroids have different numbers of coordinates: {row}")
+    found.sort(key=lambda row: (row["cid"] is not None, row["cid"]))
+    return _Centres([row["cid"] for row in found], np.array([row["at"] for row in found], float), centroids.schema["cid"].dataType)
+
+
+def _coordinates(values: pa.Array, dimensions: int) -> tuple[np.ndarray, np.ndarray]:
+    """Matrix with a row per coordinate of the points that are finite and have as many, and which ones these are."""
+    sound = pc.fill_null(pc.equal(pc.list_value_length(values), dimensions), False).to_numpy(zero_copy_only=False)
+    flat = values.filter(pa.array(sound)).flatten().to_numpy(zero_copy_only=False)
+    points = np.asarray(flat, float).reshape(-1, dimensions)
+    finite = np.isfinite(points).all(axis=1)
+    sound[np.flatnonzero(sound)[~finite]] = False
+    return np.ascontiguousarray(points[finite].T), sound
+
+
+def _nearest(points: DataFrame, centres: _Centres, features: str | Sequence[str]) -> DataFrame:
     """``points`` with the struct column ``NEAR`` of the least ``distance`` and its ``cid``; the smallest cid wins a tie.
 
-    One expression for any number of centroids. They are data to it, not part
-    of its code, so rounds share the generated code.
+    Only the coordinates go to Python, in Arrow batches, and meet the centres
+    as blocks of a matrix.
     """
-    point, table = _values(features), f"{_OWN}table"
-
-    def square(centre: Column) -> Column:
-        if isinstance(features, str):
-            return squared_array_distance(point, centre)
-        # Summed in the order of the features, like the written-out formula.
-        gaps = [F.col(f"`{f}`").cast("double") - centre[i] for i, f in enumerate(features)]
-        return sum((g * g for g in gaps[1:]), gaps[0] * gaps[0])
+    kind = StructType().add("distance", DoubleType()).add("cid", centres.kind)
+    shared = points.sparkSession.sparkContext.broadcast((centres.places, pa.array(centres.cids, to_arrow_type(centres.kind))))
+
+    @F.arrow_udf(kind)
+    def near(values: pa.Array) -> pa.Array:
+        places, cids = shared.value
+        at, sound = _coordinates(values, places.shape[1])
+        label, distance, _ = nearest.nearest(at, places)
+        place = np.zeros(len(sound), np.int64)
+        place[sound] = np.arange(len(label))
+        which = pa.array(place, mask=~sound)
+        return pa.StructArray.from_arrays(
+            [pa.array(distance).take(which), cids.take(pa.array(label)).take(which)], ["distance", "cid"], mask=pa.array(~sound)
+        )
 
-    near = F.transform(table, lambda c: F.struct(F.sqrt(square(c["centre"])).alias("distance"), c["cid"].alias("cid")))
-    shown = F.to_json(F.struct(*[F.col(f"`{c}`") for c in points.columns]))
-    found = F.when(all_finite(point), F.array_min(near)).otherwise(_complaint("point", shown))
-    return points.withColumn(table, _table(centroids, features)).select(*[F.col(f"`{c}`") for c in points.columns], found.alias(NEAR))
+    given = [F.col(f"`{c}`") for c in points.columns]
+    found = points.select(*given, near(_values(features)).alias(NEAR))
+    checked = F.when(F.col(NEAR).isNotNull(), F.col(NEAR)).otherwise(_complaint("point", F.to_json(F.struct(*given))))
+    return found.select(*given, checked.alias(NEAR))
 
 
 def measure(points: DataFrame, centroids: DataFrame, features: str | Sequence[str] = FEATURES) -> DataFrame:
     """``points`` with the struct ``nearest``: ``distance`` to the nearest centroid and its ``cid``."""
     _free(points, "nearest")
-    _require_some(centroids)
-    return _nearest(points, centroids, features).withColumnRenamed(NEAR, "nearest")
+    return _nearest(points, _centres(centroids, features), features).withColumnRenamed(NEAR, "nearest")
 
 
 def assign(points: DataFrame, centroids: DataFrame, features: str | Sequence[str] = FEATURES) -> DataFrame:
-    """``points`` with the ``cid`` of the nearest centroid; the smallest cid wins a tie."""
+    """``points`` with the ``cid`` of the nearest centroid; the smallest cid wins a tie.
+
+    The centroids are collected: their number is the caller's choice.
+    """
     _free(points, "cid")
-    _require_some(centroids)
-    return _labelled(points, centroids, features)
+    return _labelled(points, _centres(centroids, features), features)
 
 
-def _labelled(points: DataFrame, centroids: DataFrame, features: str | Sequence[str]) -> DataFrame:
-    return _nearest(points, centroids, features).withColumn("cid", F.col(f"{NEAR}.cid")).drop(NEAR)
+def _labelled(points: DataFrame, centres: _Centres, features: str | Sequence[str]) -> DataFrame:
+    return _nearest(points, centres, features).withColumn("cid", F.col(f"{NEAR}.cid")).drop(NEAR)
 
 
 def _means(labelled: DataFrame, features: str | Sequence[str], weight: Column, count: str | None = None) -> DataFrame:
@@ -123,56 +158,180 @@ class Lloyd(NamedTuple):
     centroids: DataFrame
 
 
+# A block of points on one row: coordinates, weights (empty: all 1), bounds, sums by centre, distances measured.
+_BLOCKS = "points binary, weights binary, label binary, upper binary, lower binary, sums array<double>, measured bigint"
+_FIELDS = ["points", "weights", "label", "upper", "lower", "sums", "measured"]
+
+
+def _sums(points: np.ndarray, weights: np.ndarray | None, label: np.ndarray, k: int) -> list[float]:
+    """Weight and weighted coordinate sums of each centre's points."""
+    rows = [np.bincount(label, weights, k)]
+    rows += [np.bincount(label, at if weights is None else at * weights, k) for at in points]
+    return np.stack(rows).astype(float).T.ravel().tolist()
+
+
+def _block(points: np.ndarray, weights: np.ndarray | None, bounds: nearest.Bounds, sums: list[float], measured: int) -> pa.RecordBatch:
+    packed = [points, np.zeros(0) if weights is None else weights, *bounds]
+    made = [pa.array([v.tobytes()], pa.binary()) for v in packed]
+    made += [pa.array([sums], pa.list_(pa.float64())), pa.array([measured], pa.int64())]
+    return pa.RecordBatch.from_arrays(made, _FIELDS)
+
+
+def _first_round(places: DataFrame, centres: _Centres, features: str | Sequence[str], weight: str | None) -> DataFrame:
+    """Blocks of the points, each with its nearest centre."""
+    given = centres.places
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def block() -> pa.RecordBatch:
+            points = np.ascontiguousarray(np.concatenate([p for p, _ in held], axis=1))
+            weights = None if weight is None else np.concatenate([w for _, w in held])
+            bounds = nearest.started(points, given)
+            return _block(points, weights, bounds, _sums(points, weights, bounds.label, len(given)), n)
+
+        for batch in batches:
+            at, sound = _coordinates(batch.column(0), given.shape[1])
+            if not sound.all():
+                odd = batch.slice(int(np.argmin(sound)), 1).column(0).to_pylist()[0]
+                raise ValueError(f"point with a coordinate that is not a finite number: {odd}")
+            held.append((at, None if weight is None else batch.column(1).to_numpy(zero_copy_only=False).astype(float)))
+            n += at.shape[1]
+            if n >= BLOCK:
+                yield block()
+                held, n = [], 0
+        if n:
+            yield block()
+
+    columns = [_values(features).alias("at")] + ([] if weight is None else [F.col(weight)])
+    return places.select(*columns).mapInArrow(run, _BLOCKS)
+
+
+def _next_round(blocks: DataFrame, move: nearest.Move) -> DataFrame:
+    """The blocks after the centres moved; points whose bounds tell their centre need no distances."""
+    d, gaps, same = move.centres.shape[1], nearest.half_gaps(move.centres), np.array_equal(move.number, np.arange(len(move.centres)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                points, weights, label, upper, lower = (batch.column(c)[i].as_buffer() for c in range(5))
+                points = np.frombuffer(points).reshape(d, -1)
+                weights = np.frombuffer(weights) if weights.size else None
+                before = nearest.Bounds(np.frombuffer(label, np.int32), np.frombuffer(upper), np.frombuffer(lower))
+                bounds, measured = nearest.advanced(points, before, move, gaps)
+                if same and (measured == 0 or np.array_equal(bounds.label, before.label)):
+                    sums = batch.column(5)[i].as_py()
+                else:
+                    sums = _sums(points, weights, bounds.label, len(move.centres))
+                yield _block(points, weights, bounds, sums, measured)
+
+    return blocks.mapInArrow(run, _BLOCKS)
+
+
+def _totals(blocks: DataFrame, k: int, d: int) -> tuple[np.ndarray, int]:
+    """Sums of all blocks, ``k`` rows of weight and coordinates, and how many points were measured."""
+    at = F.posexplode(F.concat("sums", F.array(F.col("measured").cast("double"))))
+    found = blocks.select(at.alias("at", "value")).groupBy("at").agg(F.sum("value").alias("value")).collect()
+    flat = np.zeros(k * (d + 1) + 1)
+    for row in found:
+        flat[row["at"]] = row["value"]
+    return flat[:-1].reshape(k, d + 1), int(flat[-1])
+
+
+def _moved(centres: _Centres, sums: np.ndarray) -> tuple[_Centres, nearest.Move]:
+    """Means of the clusters that have points; centres that share a cid become one."""
+    by_cid: dict = {}
+    for i, cid in enumerate(centres.cids):
+        if sums[i, 0] > 0:
+            by_cid.setdefault(cid, []).append(i)
+    number, places = np.full(len(centres.cids), -1), []
+    for now, own in enumerate(by_cid.values()):
+        number[own] = now
+        total = sums[own].sum(axis=0)
+        places.append(total[1:] / total[0])
+    after = np.array(places).reshape(len(by_cid), centres.places.shape[1])
+    way = np.zeros(len(number))
+    if len(by_cid):
+        away = after[number] - centres.places
+        way = np.where(number >= 0, np.sqrt((away * away).sum(axis=1)), 0.0)
+    return centres._replace(cids=list(by_cid), places=after), nearest.Move(after, number, way)
+
+
 def lloyd(
     points: DataFrame,
     centroids: DataFrame,
     iterations: int = 10,
     features: str | Sequence[str] = FEATURES,
     merge_places: bool = False,
+    measured: list[int] | None = None,
 ) -> Lloyd:
     """Exactly ``iterations`` rounds of Lloyd's algorithm from the given centroids.
 
     A cluster that loses all its points disappears. The points are labelled
     with the centroids after the last update.
 
-    A round is one job over the points, shuffling one partial row per cluster
-    and task. ``merge_places`` first merges points at one place, which always
-    share a cluster, into one row with their number: worth its shuffle and
-    copy where coordinates repeat, like whole-number degrees.
+    The points lie in cached blocks, each with bounds on its distances, so a
+    point far from any border between clusters needs no distances in later
+    rounds. A round is one job over the blocks that adds up one row per
+    cluster and block; only the sums reach the driver. ``merge_places`` first
+    merges points at one place, which always share a cluster, into one row
+    with their number: worth its shuffle where coordinates repeat, like
+    whole-number degrees. ``measured`` gets the number of points of each round
+    for which all distances were taken.
     """
     _free(points, "cid")
-    _require_some(centroids)
+    now = _centres(centroids, features)
     names = [features] if isinstance(features, str) else list(features)
-    kept, places, weight = None, points.select(*[f"`{f}`" for f in names]), F.lit(1)
-    if merge_places and iterations > 0:
+    columns = [F.col(f"`{f}`") for f in names]
+    if iterations < 1:
+        return Lloyd(_labelled(points, now, features), centroids.select("cid", *columns))
+    places, weight = points.select(*columns), None
+    if merge_places:
         # A place that is no place fails here, before equal ones are merged.
         shown = F.to_json(F.struct(*[F.col(f"`{c}`") for c in points.columns]))
-        sound = points.where(F.when(all_finite(_values(features)), True).otherwise(_complaint("point", shown))).select(*[f"`{f}`" for f in names])
-        kept = stored(sound.groupBy(*[f"`{f}`" for f in names]).agg(F.count(F.lit(1)).alias(f"{_OWN}n")), "places")
-        places, weight = kept.df, F.col(f"{_OWN}n")
-    elif iterations > 0:
-        # Every round reads the points: what made them runs once.
-        places = places.persist()
-    now, table = centroids.select("cid", *[f"`{f}`" for f in names]), None
-    for _ in range(iterations):
-        later = stored(_means(_labelled(places, now, features), features, weight), "centroids")
-        if table is not None:
+        sound = F.when(all_finite(_values(features)), True).otherwise(_complaint("point", shown))
+        weight = f"{_OWN}n"
+        places = points.where(sound).select(*columns).groupBy(*columns).agg(F.count(F.lit(1)).alias(weight))
+    blocks = _first_round(places, now, features, weight)
+    kept: list[DataFrame] = []
+    tables: list[Stored] = []
+    try:
+        for done in range(1, iterations + 1):
+            kept.append(blocks.persist())
+            sums, taken = _totals(blocks, *now.places.shape)
+            if measured is not None:
+                measured.append(taken)
+            if len(kept) > 1:
+                kept.pop(0).unpersist()
+            now, move = _moved(now, sums)
+            if not now.cids or done == iterations:
+                break
+            if done % CUT == 0:
+                tables.append(stored(blocks, "blocks"))
+                blocks = tables[-1].df
+                if len(tables) > 1:
+                    tables.pop(0).free()
+            blocks = _next_round(blocks, move)
+    finally:
+        for df in kept:
+            df.unpersist()
+        for table in tables:
             table.free()
-        now, table = later.df, later
-    if kept is not None:
-        kept.free()
-    elif iterations > 0:
-        places.unpersist()
-    if table is not None and now.isEmpty():
-        # No points: the last centroids label nothing and none are left.
-        return Lloyd(points.withColumn("cid", F.lit(None).cast(dict(centroids.dtypes)["cid"])), now)
-    return Lloyd(_labelled(points, now, features), now)
+    kinds = {f: "array<double>" if isinstance(features, str) else "double" for f in names}
+    schema = StructType().add("cid", now.kind)
+    for f, kind in kinds.items():
+        schema.add(f, kind)
+    rows = [(cid, at.tolist()) if isinstance(features, str) else (cid, *at.tolist()) for cid, at in zip(now.cids, now.places)]
+    last = points.sparkSession.createDataFrame(rows, schema)
+    if not rows:
+        # No points: nothing is labelled and no centroids are left.
+        return Lloyd(points.withColumn("cid", F.lit(None).cast(now.kind)), last)
+    return Lloyd(_labelled(points, now, features), last)
 
 
 def within_cluster_cost(points: DataFrame, centroids: DataFrame, features: str | Sequence[str] = FEATURES) -> DataFrame:
     """Sum of squared distances of the points to their nearest centroid, one row ``cost``."""
-    _require_some(centroids)
-    near = _nearest(points, centroids, features).select(F.col(f"{NEAR}.distance").alias("distance"))
+    near = _nearest(points, _centres(centroids, features), features).select(F.col(f"{NEAR}.distance").alias("distance"))
     return near.agg(F.sum(F.col("distance") * F.col("distance")).alias("cost"))
 
 

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from conftest import SF_DIR, files_below, rows
 
+from accountgraph.functions import nearest
 from accountgraph.operators import clustering, graph
 from accountgraph.sources import tables
 from accountgraph.sources.text import as_points
@@ -109,15 +110,31 @@ def test_names_that_clash(spark, points, starts):
         clustering.update(clustering.assign(other, start, ("n", "point")), ("n", "point"))
 
 
-def test_scratch_is_freed(shared, points, starts):
-    before = set(files_below(shared))
-    result = clustering.lloyd(points, starts(), 4, merge_places=True)
-    left = {p.parent for p in set(files_below(shared)) - before}
-    # The last centroids, which the returned frames read.
-    assert len(left) == 1 and "centroids" in left.pop().name
+def cached(spark):
+    return spark.sparkContext._jsc.getPersistentRDDs().size()
+
+
+@pytest.mark.parametrize("merge_places", [False, True])
+def test_scratch_is_freed(spark, shared, monkeypatch, points, starts, merge_places):
+    monkeypatch.setattr(clustering, "CUT", 2)
+    before, held = set(files_below(shared)), cached(spark)
+    result = clustering.lloyd(points, starts(), 7, merge_places=merge_places)
+    assert not set(files_below(shared)) - before and cached(spark) == held
     assert result.labelled.count() == 4
 
 
+def test_a_failed_round_leaves_nothing_cached(spark, shared, monkeypatch, points, starts):
+    odd = points.union(spark.createDataFrame([(9, float("nan"), 1.0)], points.schema))
+    before, held = set(files_below(shared)), cached(spark)
+    for merge_places in (False, True):
+        with pytest.raises(Exception, match="not a finite number"):
+            clustering.lloyd(odd, starts(), 3, merge_places=merge_places)
+    monkeypatch.setattr(clustering, "_next_round", lambda blocks, move: blocks.selectExpr("CAST(raise_error('lost') AS array<double>) AS sums", "measured"))
+    with pytest.raises(Exception, match="lost"):
+        clustering.lloyd(points, starts(), 3)
+    assert not set(files_below(shared)) - before and cached(spark) == held
+
+
 def test_no_points(spark, points, starts):
     result = clustering.lloyd(points.where("id < 0"), starts(), 2)
     assert rows(result.labelled) == [] and rows(result.centroids) == []
@@ -155,6 +172,52 @@ def test_points_at_one_place_weigh_in(spark, starts):
     assert result.labelled.count() == 10
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_bounded_rounds_are_full_rounds(seed):
+    """Bounds never change a label, ties and vanishing clusters included, and spare most distances in the end."""
+    rng = np.random.default_rng(seed)
+    if seed % 2:
+        points = rng.integers(0, 12, (2, 3000)).astype(float)
+    else:
+        points = np.concatenate([rng.normal(c, 1.0, (3, 800)) for c in rng.uniform(-20, 20, 5)], axis=1)
+    k = (3, 9, 40)[seed % 3]
+    weights = rng.integers(1, 5, points.shape[1]).astype(float) if seed > 2 else None
+    centres = clustering._Centres(list(range(k)), points[:, rng.choice(points.shape[1], k)].T + (seed == 4) * 50, None)
+    if seed == 1:
+        centres.cids[2] = 0
+    bounds, spared = nearest.started(points, centres.places), 0
+    for step in range(25):
+        label, first, second = nearest.nearest(points, centres.places)
+        assert (bounds.label == label).all(), step
+        assert (bounds.upper >= first * (1 - 1e-9)).all() and (bounds.lower <= second * (1 + 1e-9)).all()
+        sums = np.array(clustering._sums(points, weights, bounds.label, len(centres.cids))).reshape(len(centres.cids), -1)
+        centres, move = clustering._moved(centres, sums)
+        bounds, measured = nearest.advanced(points, bounds, move, nearest.half_gaps(move.centres))
+        spared += points.shape[1] - measured
+    assert spared > 10 * points.shape[1]
+
+
+def test_later_rounds_measure_few_points(spark):
+    points = as_points(graph.degree_table(tables.edges(spark, SF_DIR)))
+    start = points.where("id < 5").selectExpr("CAST(id AS INT) AS cid", "x", "y")
+    measured = []
+    clustering.lloyd(points, start, 10, measured=measured)
+    assert measured[0] == points.count() and sum(measured[1:]) < 5 * measured[0]
+
+
+def test_centroids_of_one_id_become_one(spark, points):
+    start = spark.createDataFrame([(1, 0.0, 0.0), (1, 0.0, 2.0), (2, 10.0, 0.0)], "cid int, x double, y double")
+    assert rows(clustering.lloyd(points, start, 2).centroids) == [(1, 0.0, 1.0), (2, 10.0, 1.0)]
+
+
+def test_points_of_other_lengths_fail(spark):
+    points = spark.createDataFrame([(1, [0.0, 1.0]), (2, [1.0])], "id long, v array<double>")
+    start = spark.createDataFrame([(0, [0.0, 0.0])], "cid int, v array<double>")
+    for run in (lambda: clustering.assign(points, start, "v").collect(), lambda: clustering.lloyd(points, start, 1, "v")):
+        with pytest.raises(Exception, match="not a finite number"):
+            run()
+
+
 @pytest.mark.parametrize("features, name", [("embedding", "vectors"), (("x", "y"), "points")])
 def test_random_start_is_consistent(spark, features, name):
     if name == "vectors":
