@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from accountgraph.functions.hashing import hash_below
+from accountgraph.functions.hashing import hash_below, hashes_below
 
 # Ranges of generated values, all inclusive (fixed values).
 MAX_VISITS = 9
@@ -33,12 +33,10 @@ def generate_visits(
     visit = F.col("visit")
     visit_numbers = F.sequence(F.lit(0), hash_below(max_per_id + 1, seed, "n", account))
     numbered = ids.select("id", F.explode(visit_numbers).alias("visit"))
+    # Address and time come from one digest.
+    ip, ts = hashes_below([ip_max, last_ts - first_ts + 1], seed, "visit", account, visit)
     return (
         numbered.where(visit > 0)
-        .select(
-            account.alias("account_id"),
-            (hash_below(ip_max, seed, "ip", account, visit) + 1).cast("int").alias("ip"),
-            (hash_below(last_ts - first_ts + 1, seed, "t", account, visit) + first_ts).alias("ts"),
-        )
+        .select(account.alias("account_id"), (ip + 1).cast("int").alias("ip"), (ts + first_ts).alias("ts"))
         .sortWithinPartitions("ts")
     )

@@ -40,3 +40,40 @@ def join_totals(rows: DataFrame, totals: DataFrame, key: str, count: str) -> Dat
     )
     repeated = parts.select(*[c for c in totals.columns if c != count], F.explode(F.sequence(F.lit(0), F.col(salts) - 1)).alias(salt))
     return dealt.join(repeated, [key, salt]).drop(salt)
+
+
+def hot_keys(rows: DataFrame, key: str) -> DataFrame:
+    """``key, n`` of the keys that hold too many of ``rows`` for one task, at most ``2 * HOT_KEYS`` of them.
+
+    A sketch of bounded size names the keys that may be frequent; only these
+    are then counted exactly.
+    """
+    sketch = rows.agg(F.expr(f"approx_top_k(`{key}`, {2 * HOT_KEYS}, {20 * HOT_KEYS})").alias("found"), F.count(F.lit(1)).alias("total"))
+    likely = sketch.select(F.inline("found"), "total").where(F.col("count") * 2 > hot_threshold(F.col("total")))
+    named = likely.select(F.col("item").alias(key), "total")
+    counted = rows.join(F.broadcast(named), key).groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.first("total").alias("total"))
+    return counted.where(F.col("n") > hot_threshold(F.col("total"))).select(key, "n")
+
+
+def join_rows(rows: DataFrame, others: DataFrame, key: str) -> DataFrame:
+    """Inner join on ``key`` that sends no hot key's ``rows`` to one task, whatever the join strategy.
+
+    Rows of a hot key are dealt in turn over as many parts as they need, and
+    its rows in ``others`` are repeated for each part. Where Spark broadcasts
+    ``others`` anyway, by their size, keys don't matter and nothing is counted.
+    """
+    spark = rows.sparkSession
+    threshold = int(spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold())
+    if int(others._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) <= threshold:
+        return rows.join(others, key)
+    salt, salts = "__skew_salt", "__skew_salts"
+    hot = hot_keys(rows, key)
+    parts = pin(hot.select(key, F.ceil(F.col("n") / hot_threshold(rows.agg(F.count(F.lit(1))).scalar())).cast("int").alias(salts)))
+    several = F.coalesce(salts, F.lit(1))
+    dealt = rows.join(F.broadcast(parts), key, "left").select(
+        *rows.columns, F.pmod(F.monotonically_increasing_id(), several).cast("int").alias(salt)
+    )
+    repeated = others.join(F.broadcast(parts), key, "left").select(
+        *others.columns, F.explode(F.sequence(F.lit(0), several - 1)).alias(salt)
+    )
+    return dealt.join(repeated, [key, salt]).drop(salt)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from accountgraph.operators.skew import join_rows
+
 # Default period (fixed values): epoch seconds, both ends exclusive.
 PERIOD_AFTER = 1480546800
 PERIOD_BEFORE = 1483225199
@@ -38,11 +40,12 @@ def join_top_ip(log: DataFrame) -> DataFrame:
 def rank_visits(ranks: DataFrame, log: DataFrame) -> DataFrame:
     """``account_id, page_rank, ts, ip`` for every visit of a ranked account.
 
-    Both sides are shuffled on the account (or the ranks broadcast when their
-    size allows), so adaptive execution can split an account that holds a
-    large share of the log.
+    The ranks are broadcast when their size allows. Otherwise both sides are
+    shuffled on the account, and the visits of accounts that hold a large
+    share of the log, found by a sketch and counted exactly, are dealt over
+    several tasks.
     """
-    return log.join(ranks, "account_id").select("account_id", "page_rank", "ts", "ip")
+    return join_rows(log, ranks, "account_id").select("account_id", "page_rank", "ts", "ip")
 
 
 def top_visitor_avg_rank(

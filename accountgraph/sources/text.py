@@ -29,27 +29,40 @@ def _check_mode(mode: str) -> None:
         raise ValueError(f"unknown mode {mode!r}: use 'failfast' or 'drop'")
 
 
-def _sound(lines: DataFrame, valid: Column, mode: str) -> DataFrame:
-    """Lines that are ``valid``; with ``failfast`` any other one raises.
+_LINE, _FIELDS = "__line", "__fields"
+
+
+def _sound(lines: DataFrame, line: str, valid: Column, mode: str) -> DataFrame:
+    """Rows that are ``valid``; with ``failfast`` any other one raises and shows its ``line``.
 
     The check is a filter, which Spark keeps however few columns are read, and
     which comes first in the condition when later filters are merged with it.
     """
     if mode == "drop":
         return lines.where(valid)
-    complaint = F.concat(F.lit("malformed field in line: "), F.coalesce(F.col("value"), F.lit("")))
+    complaint = F.concat(F.lit("malformed field in line: "), F.coalesce(F.col(line), F.lit("")))
     return lines.where(F.when(valid, F.lit(True)).otherwise(F.raise_error(complaint).cast("boolean")))
 
 
+def _once(lines: DataFrame, made: Column, name: str) -> DataFrame:
+    """``lines`` with ``made`` as column ``name``.
+
+    A generator over one element makes it: unlike a plain column, which would
+    be written out again in the check and in every field, it runs once a line.
+    """
+    return lines.select("*", F.explode(F.array(made)).alias(name))
+
+
 def parse_fields(lines: DataFrame, schema: T.StructType, mode: str = "failfast") -> DataFrame:
     """First ``len(schema)`` fields of each line, typed and named by ``schema``."""
     _check_mode(mode)
-    fields = tokens(F.col("value"))
-    typed = [F.get(fields, i).try_cast(f.dataType).alias(f.name) for i, f in enumerate(schema)]
+    split = _once(lines.select(F.col("value").alias(_LINE)), tokens(F.col(_LINE)), _FIELDS)
+    typed = [F.get(_FIELDS, F.lit(i)).try_cast(f.dataType).alias(f.name) for i, f in enumerate(schema)]
+    made = split.select(_LINE, F.inline(F.array(F.struct(*typed))))
     valid = F.lit(True)
-    for i, f in enumerate(schema):
-        valid = valid & F.get(fields, i).try_cast(f.dataType).isNotNull()
-    return _sound(lines, valid, mode).select(*typed)
+    for name in schema.names:
+        valid = valid & F.col(f"`{name}`").isNotNull()
+    return _sound(made, _LINE, valid, mode).select(*[F.col(f"`{name}`") for name in schema.names])
 
 
 def parse_edges(lines: DataFrame, mode: str = "failfast") -> DataFrame:
@@ -92,13 +105,14 @@ def parse_centroids(lines: DataFrame, mode: str = "failfast") -> DataFrame:
 def parse_ids(lines: DataFrame, mode: str = "failfast") -> DataFrame:
     """Every field of every line as one ``id`` row; ``drop`` leaves out fields, not lines."""
     _check_mode(mode)
-    each = lines.select("value", F.explode(tokens(F.col("value"))).alias("token"))
-    number = F.col("token").try_cast("bigint")
-    return _sound(each, number.isNotNull(), mode).select(number.alias("id"))
+    each = lines.select(F.col("value").alias(_LINE), F.explode(tokens(F.col("value"))).alias(_FIELDS))
+    numbers = _once(each, F.col(_FIELDS).try_cast("bigint"), "id")
+    return _sound(numbers, _LINE, F.col("id").isNotNull(), mode).select("id")
 
 
 def parse_vectors(lines: DataFrame, mode: str = "failfast") -> DataFrame:
     """All fields of a line as one ``features`` array."""
     _check_mode(mode)
-    numbers = F.transform(tokens(F.col("value")), lambda t: t.try_cast("double"))
-    return _sound(lines, ~F.exists(numbers, lambda v: v.isNull()), mode).select(numbers.alias("features"))
+    numbers = F.transform(tokens(F.col(_LINE)), lambda t: t.try_cast("double"))
+    made = _once(lines.select(F.col("value").alias(_LINE)), numbers, "features")
+    return _sound(made, _LINE, ~F.exists("features", lambda v: v.isNull()), mode).select("features")

@@ -2,7 +2,7 @@ import json
 from pathlib import Path
 
 import pytest
-from conftest import rows
+from conftest import planned, rows
 from pyspark.errors import AnalysisException
 
 from accountgraph.sinks import files
@@ -55,8 +55,32 @@ def test_round_trip(spark, edges, tmp_path):
 
 
 def test_single_file_holds_for_any_size(spark, tmp_path):
-    files.write_text(spark.range(0, 1_000_001, 1, 4), f"{tmp_path}/out", single_file=True)
+    table = spark.range(0, 1_000_001, 1, 4)
+    files.write_text(table, f"{tmp_path}/out", single_file=True)
+    # In the order of the partitions, checksums included.
+    assert [r.value for r in read_lines(spark, f"{tmp_path}/out").limit(3).collect()] == ["0", "1", "2"]
+    assert read_lines(spark, f"{tmp_path}/out").count() == 1_000_001
     parts = list((tmp_path / "out").glob("part-*"))
     assert len(parts) == 1
     with parts[0].open() as lines:
         assert sum(1 for _ in lines) == 1_000_001
+
+
+@pytest.mark.parametrize("write", [files.write_text, files.write_csv, files.write_json])
+def test_a_single_file_is_written_by_many_tasks(spark, tmp_path, monkeypatch, write):
+    written = []
+    inner = files._written
+    monkeypatch.setattr(files, "_written", lambda df, path, mode, single, w: inner(df, path, mode, single, lambda writer: written.append(planned(writer._df)) or w(writer)))
+    empty = spark.range(0, 6, 1, 6).where("id IN (1, 4)")
+    write(empty, f"{tmp_path}/out", single_file=True)
+    assert written and "Exchange" not in written[0]
+    assert [len(list((tmp_path / "out").glob(g))) for g in ("part-*", ".part-*")] == [1, 0]
+    assert len(contents(tmp_path / "out")) == 2
+    write(empty.where("false"), f"{tmp_path}/none", single_file=True)
+    assert contents(tmp_path / "none") == [] and spark.read.text(f"{tmp_path}/none").count() == 0
+
+
+def test_one_task_writes_where_files_cannot_be_joined(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "_joining", lambda spark, path: None)
+    files.write_text(spark.range(0, 100, 1, 4), f"{tmp_path}/out", single_file=True)
+    assert len(list((tmp_path / "out").glob("part-*"))) == 1 and len(contents(tmp_path / "out")) == 100

@@ -3,6 +3,7 @@ from random import Random
 import pytest
 from conftest import rows
 from pyspark.errors import PySparkException
+from pyspark.sql import types as T
 
 from accountgraph.operators import graph, visits
 from accountgraph.operators.text import count_lines, count_occurrences
@@ -106,3 +107,14 @@ def test_a_bad_line_fails_whatever_is_read_later(lines):
     with pytest.raises(PySparkException, match="malformed field"):
         source.parse_edges(lines("7 x")).where("src > 100").collect()
     assert source.parse_edges(lines("1 x", "2 3"), mode="drop").count() == 1
+
+
+def test_a_line_is_split_once(lines):
+    for parse in (source.parse_edges, source.parse_visits, source.parse_vectors, source.parse_ids):
+        for mode in ("failfast", "drop"):
+            assert parse(lines("1 2 3"), mode)._jdf.queryExecution().optimizedPlan().toString().count("split(") <= 1
+
+
+def test_fields_may_be_called_anything(lines):
+    schema = T.StructType().add("value", T.LongType()).add("a.b", T.IntegerType())
+    assert rows(source.parse_fields(lines("1 2"), schema)) == [(1, 2)]

@@ -1,7 +1,8 @@
 import pytest
-from conftest import SF_DIR, final_plan, rows
+from conftest import SF_DIR, final_plan, planned, rows
+from pyspark.sql import functions as F
 
-from accountgraph.operators import visits
+from accountgraph.operators import skew, visits
 from accountgraph.sources import tables
 
 LOG = [
@@ -74,26 +75,47 @@ def test_top_address_is_a_scalar_subquery(spark):
     assert "Join" not in plan
 
 
-def test_hot_account_is_split_by_adaptive_execution(spark):
+@pytest.fixture
+def busy(spark):
+    """A log in which one account has 60 % of the visits, and ranks too large to broadcast."""
     settings = {
         "spark.sql.autoBroadcastJoinThreshold": "-1",
         "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
-        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "10KB",
-        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
-        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "5KB",
+        "spark.sql.adaptive.enabled": "false",
         "spark.sql.shuffle.partitions": "16",
     }
     for key, value in settings.items():
         spark.conf.set(key, value)
-    try:
-        log = spark.range(0, 60_000, 1, 16).selectExpr(
-            "IF(id % 3 = 0, 0, id) AS account_id", "CAST(id % 100 AS INT) AS ip", "hash(id) + 0L AS ts"
-        )
-        ranks = spark.range(60_000).selectExpr("id AS account_id", "id / 2D AS page_rank")
-        joined = visits.rank_visits(ranks, log)
-        assert "skewed" in final_plan(joined)
-        assert joined.count() == 60_000
-    finally:
-        for key in settings:
-            spark.conf.unset(key)
-        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    log = spark.range(0, 60_000, 1, 16).selectExpr(
+        "IF(id % 5 < 3, 0, id) AS account_id", "CAST(id % 100 AS INT) AS ip", "hash(id) + 0L AS ts"
+    )
+    yield log, spark.range(60_000).selectExpr("id AS account_id", "id / 2D AS page_rank")
+    for key in settings:
+        spark.conf.unset(key)
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_hot_accounts_are_found_and_counted(spark, busy, monkeypatch):
+    log, _ = busy
+    monkeypatch.setattr(skew, "HOT_ROWS", 100)
+    assert rows(skew.hot_keys(log, "account_id")) == [(0, 36_000)]
+    monkeypatch.setattr(skew, "HOT_ROWS", 40_000)
+    assert rows(skew.hot_keys(log, "account_id")) == []
+    assert rows(skew.hot_keys(log.where("ts IS NULL"), "account_id")) == []
+
+
+def test_a_hot_account_is_dealt_over_tasks(spark, busy, monkeypatch):
+    log, ranks = busy
+    monkeypatch.setattr(skew, "HOT_ROWS", 100)
+    joined = visits.rank_visits(ranks, log)
+    assert "SortMergeJoin" in planned(joined)
+    sizes = sorted(r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect())
+    assert sum(sizes) == 60_000 and len(sizes) == 16 and sizes[-1] <= 2 * sizes[8]
+    assert rows(joined) == rows(log.join(ranks, "account_id").select("account_id", "page_rank", "ts", "ip"))
+
+
+def test_ranks_that_repeat_meet_every_visit(spark, busy, monkeypatch):
+    log, ranks = busy
+    monkeypatch.setattr(skew, "HOT_ROWS", 100)
+    twice = ranks.where("account_id < 10").union(ranks.where("account_id = 0"))
+    assert visits.rank_visits(twice, log).groupBy("account_id").count().where("account_id = 0").first()["count"] == 72_000
