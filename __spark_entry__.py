@@ -256,13 +256,19 @@ def kmeans_seeded_account_cost(spark: SparkSession, folder: str) -> DataFrame:
     return _seeded_accounts(spark, folder).cost.select("k", F.round("cost", 2).alias("cost"))
 
 
+def _library_vectors(spark: SparkSession, folder: str) -> clustering.RandomStart:
+    """The library's rounds from points drawn at random by seeded hash, which SQL can draw too."""
+    vectors = tables.vectors(spark, folder)
+    start = clustering.random_start(vectors, K, "vec_id", "embedding", SEED)
+    return clustering.kmeans_library(vectors, start, "embedding", ROUNDS)
+
+
 def kmeans_ml_random(spark: SparkSession, folder: str) -> DataFrame:
-    result = clustering.kmeans_random(tables.vectors(spark, folder), K, "embedding", SEED)
-    return result.labelled.select("vec_id", "cluster")
+    return _library_vectors(spark, folder).labelled.select("vec_id", "cluster")
 
 
 def kmeans_ml_cost(spark: SparkSession, folder: str) -> DataFrame:
-    return clustering.kmeans_random(tables.vectors(spark, folder), K, "embedding", SEED).cost
+    return _library_vectors(spark, folder).cost.select("k", F.round("cost", 4).alias("cost"))
 
 
 def kmeans_ml_misplaced(spark: SparkSession, folder: str) -> DataFrame:
@@ -280,8 +286,8 @@ def kmeans_ml_misplaced(spark: SparkSession, folder: str) -> DataFrame:
 
 def kmeans_ml_degrees(spark: SparkSession, folder: str) -> DataFrame:
     degrees = graph.degree_table(tables.edges(spark, folder))
-    result = clustering.kmeans_random(degrees, K, ACCOUNT_FEATURES, SEED)
-    return result.labelled.select("id", "cluster")
+    start = clustering.random_start(degrees, K, "id", ACCOUNT_FEATURES, SEED)
+    return clustering.kmeans_library(degrees, start, ACCOUNT_FEATURES, ROUNDS).labelled.select("id", "cluster")
 
 
 # ---------------------------------------------------------------------- sinks
@@ -632,6 +638,11 @@ def oracle_sql() -> dict[str, str]:
         "kmeans_seeded_account_cost": _seeded_sql(
             _ACCOUNTS, 3, f"SELECT {K}::INTEGER AS k, round(sum(d * d), 2) AS cost FROM {labels}"
         ),
+        "kmeans_ml_random": _seeded_sql(_EMBEDDED, DIMENSIONS, f"SELECT id AS vec_id, cid::INTEGER AS cluster FROM {labels}"),
+        "kmeans_ml_cost": _seeded_sql(
+            _EMBEDDED, DIMENSIONS, f"SELECT {K}::INTEGER AS k, round(sum(d * d), 4) AS cost FROM {labels}"
+        ),
+        "kmeans_ml_degrees": _seeded_sql(_ACCOUNTS, 3, f"SELECT id, cid::INTEGER AS cluster FROM {labels}"),
         "kmeans_ml_misplaced": f"WITH {_EDGES}, {_IDS} SELECT count(*)::BIGINT AS accounts, 0::BIGINT AS misplaced FROM ids",
         "sink_json": web_log,
         "sink_text": degrees,

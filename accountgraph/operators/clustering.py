@@ -14,10 +14,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
+from pyspark.mllib.clustering import KMeans as VectorKMeans
+from pyspark.mllib.clustering import KMeansModel as VectorKMeansModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.types import DataType, DoubleType, StructType
+from pyspark.sql.types import ArrayType, DataType, DoubleType, IntegerType, StructType
 
 from accountgraph.functions import nearest
 from accountgraph.functions.geometry import all_finite, squared_array_distance
@@ -317,10 +319,9 @@ def lloyd(
             df.unpersist()
         for table in tables:
             table.free()
-    kinds = {f: "array<double>" if isinstance(features, str) else "double" for f in names}
     schema = StructType().add("cid", now.kind)
-    for f, kind in kinds.items():
-        schema.add(f, kind)
+    for f in names:
+        schema.add(f, ArrayType(DoubleType()) if isinstance(features, str) else DoubleType())
     rows = [(cid, at.tolist()) if isinstance(features, str) else (cid, *at.tolist()) for cid, at in zip(now.cids, now.places)]
     last = points.sparkSession.createDataFrame(rows, schema)
     if not rows:
@@ -401,3 +402,28 @@ def kmeans_random(
         F.lit(k).alias("k"), F.sum(squared_array_distance(F.col(point), F.col("centre"))).alias("cost")
     )
     return RandomStart(predicted.drop(point), centres, cost)
+
+
+def kmeans_library(
+    points: DataFrame, start: DataFrame, features: str | Sequence[str], max_iter: int = 10
+) -> RandomStart:
+    """Library k-means from given centroids, as from a random start that was drawn before.
+
+    The library takes a start only over an RDD of vectors. It stops early when
+    no centre moves, and keeps the centre of a cluster that has lost its points.
+    Returns the points with the ``cluster`` of the nearest centre, the centres
+    ``cluster, centre`` and ``k, cost``; clusters are numbered in the order of
+    the start's ids.
+    """
+    _free(points, "cluster")
+    spark, centres = points.sparkSession, _centres(start, features)
+    vectors = points.select(_values(features).alias("at")).rdd.map(lambda row: row["at"])
+    model = VectorKMeans.train(
+        vectors, len(centres.cids), max_iter, epsilon=0.0, initialModel=VectorKMeansModel(centres.places.tolist())
+    )
+    found = [(i, [float(v) for v in centre]) for i, centre in enumerate(model.clusterCenters)]
+    table = spark.createDataFrame(found, "cluster int, centre array<double>")
+    own = _Centres([i for i, _ in found], np.array([at for _, at in found]), IntegerType())
+    near = _nearest(points, own, features)
+    cost = near.agg(F.lit(len(found)).alias("k"), F.sum(F.col(f"{NEAR}.distance") * F.col(f"{NEAR}.distance")).alias("cost"))
+    return RandomStart(near.withColumn("cluster", F.col(f"{NEAR}.cid")).drop(NEAR), table, cost)

@@ -236,3 +236,16 @@ def test_random_start_is_consistent(spark, features, name):
         assert squares[row.cluster] == pytest.approx(squares.min(), rel=1e-6, abs=1e-6)
         cost += squares.min()
     assert rows(result.cost)[0] == (4, pytest.approx(cost, rel=1e-6))
+
+
+def test_library_rounds_from_a_start(points, starts):
+    result = clustering.kmeans_library(points, starts(STARTS[:2]), ("x", "y"))
+    assert rows(result.labelled, "id", "cluster") == [(1, 0), (2, 0), (3, 1), (4, 1)]
+    assert rows(result.centres) == [(0, [0.0, 1.0]), (1, [10.0, 1.0])] and rows(result.cost) == [(2, 4.0)]
+
+
+def test_rounds_over_arrays(spark, points, starts):
+    as_arrays = [df.selectExpr(key, "array(x, y) AS at") for df, key in ((points, "id"), (starts(), "cid"))]
+    result = clustering.lloyd(*as_arrays, 3, "at")
+    assert rows(result.centroids) == [(1, [0.0, 1.0]), (2, [10.0, 1.0])]
+    assert rows(result.labelled, "id", "cid") == [(1, 1), (2, 1), (3, 2), (4, 2)]

@@ -10,7 +10,6 @@ import __spark_entry__ as contract
 # The corpus operators have tests of their own.
 QUERIES = {n: q for n, q in contract.queries().items() if n != "pipeline" and not n.startswith("op")}
 ORACLES = contract.oracle_sql()
-ROWS_ONLY = {"kmeans_ml_random", "kmeans_ml_cost", "kmeans_ml_degrees"}
 
 
 @pytest.fixture(scope="module")
@@ -18,8 +17,8 @@ def sql() -> duckdb.DuckDBPyConnection:
     return oracle.connect(SF_DIR)
 
 
-def test_every_query_has_sql_unless_its_start_is_random():
-    assert set(QUERIES) - set(ORACLES) == ROWS_ONLY
+def test_every_query_has_sql():
+    assert set(QUERIES) <= set(ORACLES)
     assert set(ORACLES) <= set(contract.queries())
 
 
@@ -27,8 +26,7 @@ def test_every_query_has_sql_unless_its_start_is_random():
 def test_query(spark, sql, name):
     columns, found = oracle.spark_rows(QUERIES[name](spark, SF_DIR))
     assert found
-    if name in ORACLES:
-        assert (columns, found) == oracle.sql_rows(sql, ORACLES[name])
+    assert (columns, found) == oracle.sql_rows(sql, ORACLES[name])
 
 
 def test_entry(spark):
