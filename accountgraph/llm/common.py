@@ -25,6 +25,7 @@ _ARROW = {
     "array<bigint>": pa.list_(pa.int64()),
     "array<double>": pa.list_(pa.float64()),
     "array<string>": pa.list_(pa.string()),
+    "array<binary>": pa.list_(pa.binary()),
 }
 
 # Parts that the candidates of one key are first ranked in.

@@ -3,7 +3,8 @@
 Every word is encoded, with the space before it, by a byte-level BPE vocabulary
 and by one of pieces with byte fallback. A text is rejected when its characters
 per token, its share of byte pieces or the entropy of its tokens leaves the band
-of its script. Plain rules on word count and repetition come first.
+of its language or script. The bands are robust quantiles over all texts of about
+its length that pass the plain rules on word count and repetition.
 """
 
 from __future__ import annotations
@@ -16,10 +17,11 @@ from pathlib import Path
 from typing import NamedTuple
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from accountgraph.llm.common import WORD, computed
+from accountgraph.llm.common import WORD, with_output
+from accountgraph.storage import stored
 
 TOKENIZERS = "/opt/tokenizers"
 BYTE_VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -45,7 +47,17 @@ class Band(NamedTuple):
     least_entropy: float
 
 
-# By the script of most letters; "other" holds for all scripts not named and for texts without letters.
+# Measures that have a band. A fitted band reaches so many robust deviations, each at
+# least so much of the median; a group of texts has so many rows at least, and one
+# of so many parts of all rows. All texts of two to the power of LONGEST words and more are of one length.
+MEASURES = ("chars_per_token", "byte_share", "token_entropy")
+REACH = 4.0
+LEAST_SPREAD = 0.015
+LEAST_GROUP = 100
+MOST_GROUPS = 10_000
+LONGEST = 16
+
+# Where too few texts are alike: by the script of most letters; "other" holds for all scripts not named and for texts without letters.
 BANDS = {
     "latin": Band(2.0, 8.0, 0.10, 5.0),
     "cyrillic": Band(0.8, 6.0, 0.10, 4.0),
@@ -162,10 +174,48 @@ def measured(texts: list[str], meter: Meter) -> dict[str, list]:
     return dict(zip(FIELDS, map(list, zip(*rows))))
 
 
-def judged(docs: DataFrame, files: Files, bands: dict[str, Band] = BANDS) -> DataFrame:
+def fitted(measures: DataFrame, reach: float = REACH) -> DataFrame:
+    """``group, length, bands``: bands by group and power of two of the words, and by group alone (``length`` null).
+
+    A band reaches ``reach`` robust deviations (the middle half's width over
+    1.349) from the median. Rows of equal measures count once, so copies of one
+    text set no band, and a deviation is no less than ``LEAST_SPREAD`` of the
+    median. Groups need ``LEAST_GROUP`` rows and 1 / ``MOST_GROUPS`` of all, so
+    few enough exist to be broadcast.
+    """
+    each = measures.select("group", "length", *MEASURES).distinct()
+    total = each.agg(F.count(F.lit(1))).scalar()
+    quartiles = [F.percentile_approx(m, [0.25, 0.5, 0.75], 1_000).alias(m) for m in MEASURES]
+    grouped = each.rollup("group", "length").agg(F.count(F.lit(1)).alias("n"), *quartiles).where("group IS NOT NULL")
+    enough = grouped.where((F.col("n") >= LEAST_GROUP) & (F.col("n") * MOST_GROUPS >= total))
+
+    def reached(m: str, sign: int) -> Column:
+        spread = F.greatest((F.col(m)[2] - F.col(m)[0]) / 1.349, F.col(m)[1] * LEAST_SPREAD)
+        return F.col(m)[1] + F.lit(sign * reach) * spread
+
+    edges = {
+        "least_chars": reached("chars_per_token", -1),
+        "most_chars": reached("chars_per_token", 1),
+        "most_bytes": reached("byte_share", 1),
+        "least_entropy": reached("token_entropy", -1),
+    }
+    return enough.select("group", "length", F.struct(*[edges[f].alias(f) for f in Band._fields]).alias("band"))
+
+
+def judged(docs: DataFrame, files: Files, bands: dict[str, Band] = BANDS, reach: float = REACH) -> DataFrame:
     """``doc_id``, ``FIELDS``, ``base_failed`` and ``kept`` of every row.
 
-    Null, empty and blank texts have no words and fail the base rules.
+    ``kept`` tells that the base rules hold and that characters per token and
+    token entropy lie within the band of the text's language (``lang``, where
+    there is such a column and it is not null) or script, at its length; and
+    that the share of byte pieces does not exceed both that band's and the
+    script's. The bands come from all rows that pass the base rules; where too few
+    texts are alike, ``bands`` of the script hold instead.
+
+    Null, empty and blank texts have no words and fail the base rules. Equal
+    texts of one language are judged alike, repeated rows stay repeated, and
+    an empty table stays empty. Whole texts are measured however long they are;
+    other columns are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(files)
     state: dict[str, Meter] = {}
@@ -175,18 +225,26 @@ def judged(docs: DataFrame, files: Files, bands: dict[str, Band] = BANDS) -> Dat
             state["meter"] = Meter(shared.value)
         return measured(texts, state["meter"])
 
-    found = computed(docs, run, FIELDS)
+    lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
+    out, name = with_output(docs.select("doc_id", "text", lang.alias("lang")), run, FIELDS)
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
-
-    def inside(b: Band):
-        return (
-            F.col("chars_per_token").between(b.least_chars, b.most_chars)
-            & (F.col("byte_share") <= b.most_bytes)
-            & (F.col("token_entropy") >= b.least_entropy)
-        )
-
-    fits = inside(bands["other"])
+    length = F.least(F.floor(F.log2(F.greatest(F.col("n_words"), F.lit(1)))), F.lit(LONGEST)).cast("int")
+    flat = out.select("doc_id", "lang", f"{name}.*").withColumn("base_failed", failed)
+    found = stored(flat.select("*", F.coalesce("lang", "script").alias("group"), length.alias("length")), "fertility").df
+
+    fits = fitted(found.where(~F.col("base_failed")), reach)
+    exact = fits.where(F.col("length").isNotNull()).select("group", "length", F.col("band").alias("exact"))
+    of_group = fits.where(F.col("length").isNull()).select("group", F.col("band").alias("of_group"))
+    judging = found.join(F.broadcast(exact), ["group", "length"], "left").join(F.broadcast(of_group), "group", "left")
+    of_script = {f: F.lit(bands["other"][i]) for i, f in enumerate(Band._fields)}
     for script, band in bands.items():
-        if script != "other":
-            fits = F.when(F.col("script") == script, inside(band)).otherwise(fits)
-    return found.withColumn("base_failed", failed).withColumn("kept", ~failed & F.coalesce(fits, F.lit(False)))
+        for i, f in enumerate(Band._fields):
+            of_script[f] = F.when(F.col("script") == script, F.lit(band[i])).otherwise(of_script[f])
+    edge = {f: F.coalesce(F.col("exact")[f], F.col("of_group")[f], of_script[f]) for f in Band._fields}
+    inside = (
+        F.col("chars_per_token").between(edge["least_chars"], edge["most_chars"])
+        & (F.col("byte_share") <= F.greatest(edge["most_bytes"], of_script["most_bytes"]))
+        & (F.col("token_entropy") >= edge["least_entropy"])
+    )
+    kept = ~F.col("base_failed") & F.coalesce(inside, F.lit(False))
+    return judging.select("doc_id", *FIELDS, "base_failed", kept.alias("kept"))

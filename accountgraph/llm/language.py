@@ -14,7 +14,7 @@ import re
 from typing import NamedTuple
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from accountgraph.llm.common import computed, with_output
@@ -34,6 +34,9 @@ LEAST_DOCUMENTS = 20
 WINDOWS = 3
 WINDOW = 96
 BATCH = 256
+# Ids are drawn by a hash below HASHES; so many times the share needed may leave the tasks.
+HASHES = 1 << 40
+SPARE = 4
 # Training steps; small samples are gone through more often.
 STEPS = 200
 SEED = 5
@@ -147,48 +150,69 @@ def fit(windows: list[np.ndarray], targets: np.ndarray, languages: list[str], se
     return Network(weights[0:2], weights[2:4], weights[4:6], weights[6], languages)
 
 
+def cut(text: str, windows: int, window: int) -> list[bytes]:
+    """Evenly spread windows of at most ``window`` bytes that begin and end between characters."""
+    data = text.encode("utf-8", "replace")
+    out = []
+    for start in sorted({int(s) for s in np.linspace(0, max(0, len(data) - window), windows)}):
+        part = data[start : start + window]
+        # Bytes 10xxxxxx go on with a character.
+        first = next((i for i, c in enumerate(part) if c & 0xC0 != 0x80), len(part))
+        out.append(part[first:].decode("utf-8", "ignore").encode())
+    return [part for part in out if part]
+
+
+def sample(docs: DataFrame, of_each: dict[str, tuple[int, int]], seed: int) -> list[tuple]:
+    """``(doc_id, lang)`` of the rows of each language with the least seeded hash of the id.
+
+    ``of_each`` has the number to draw from a language and the number of its
+    rows. Only ids whose hash lies below ``SPARE`` times the share to be drawn
+    leave their tasks, so the rows collected are bounded by the numbers drawn,
+    however many rows a language has.
+    """
+    draw = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(HASHES))
+    least = F.lit(0)
+    for lang, (n, rows) in of_each.items():
+        least = F.when(F.col("lang") == lang, F.lit(min(HASHES, SPARE * HASHES * n // rows + SPARE))).otherwise(least)
+    found: dict[str, list] = {}
+    for r in docs.select("doc_id", "lang", draw.alias("draw")).where(F.col("draw") < least).distinct().collect():
+        found.setdefault(r["lang"], []).append((r["draw"], r["doc_id"]))
+    return [(doc, lang) for lang, rows in found.items() for _, doc in sorted(rows)[: of_each[lang][0]]]
+
+
 def train(
     docs: DataFrame,
     max_documents: int = MAX_DOCUMENTS,
+    windows: int = WINDOWS,
+    window: int = WINDOW,
     seed: int = SEED,
 ) -> Network | None:
     """Network from ``doc_id, text, lang``; None where no row has a language.
 
     Learns every language, from at most ``max_documents`` documents of each
-    (least seeded hash of the id), in ``WINDOWS`` evenly spread windows of a
-    document. With many languages each has fewer documents, but no less than
-    ``LEAST_DOCUMENTS`` where it has them.
+    (least seeded hash of the id), in ``windows`` evenly spread windows of
+    ``window`` bytes of a document. With many languages each has fewer
+    documents, but no less than ``LEAST_DOCUMENTS`` where it has them. Rows
+    with a null id, text or language teach nothing; of an id that repeats with
+    one language every row does.
     """
-    known = docs.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL")
-    languages = sorted(r["lang"] for r in known.select("lang").distinct().collect())
+    known = docs.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "text", "lang")
+    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    languages = sorted(counts)
     if not languages:
         return None
-    of_each = min(max_documents, max(LEAST_DOCUMENTS, SAMPLE // len(languages)))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id")
-    ranked = known.select("doc_id", "lang").withColumn("nth", F.row_number().over(order))
-    chosen = ranked.where(F.col("nth") <= of_each).select(F.col("doc_id").alias("chosen"), F.col("lang").alias("of"))
-
-    def cut(texts: list[str]) -> dict[str, list]:
-        out = []
-        for text in texts:
-            data = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
-            starts = np.unique(np.linspace(0, max(0, len(data) - WINDOW), WINDOWS).astype(int))
-            out.append(np.concatenate([np.concatenate([data[s : s + WINDOW], [256]]) for s in starts]).tolist())
-        return {"windows": out}
-
-    picked = known.select("doc_id", "text", "lang").join(F.broadcast(chosen), (F.col("doc_id") == F.col("chosen")) & (F.col("lang") == F.col("of")), "left_semi")
-    out, name = with_output(picked, cut, {"windows": "array<int>"})
-    rows = sorted(out.select("doc_id", "lang", f"{name}.windows").collect())
-    windows, targets = [], []
+    most = min(max_documents, max(LEAST_DOCUMENTS, SAMPLE // len(languages)))
+    chosen = sample(known, {lang: (most, n) for lang, n in counts.items()}, seed)
+    kind = dict(docs.dtypes)["doc_id"]
+    ids = F.broadcast(docs.sparkSession.createDataFrame(chosen, f"chosen {kind}, of string"))
+    picked = known.join(ids, (F.col("doc_id") == F.col("chosen")) & (F.col("lang") == F.col("of")), "left_semi")
+    out, name = with_output(picked, lambda texts: {"windows": [cut(t, windows, window) for t in texts]}, {"windows": "array<binary>"})
+    # Equal windows of one document, as of repeated rows, count once.
+    rows = out.select("doc_id", "lang", F.posexplode(f"{name}.windows").alias("nth", "part")).distinct().collect()
+    rows = sorted((r["lang"], r["doc_id"], r["nth"], bytes(r["part"])) for r in rows)
     number = {lang: i for i, lang in enumerate(languages)}
-    for _, lang, values in rows:
-        values = np.array(values)
-        ends = np.flatnonzero(values == 256)
-        for s, e in zip(np.concatenate([[0], ends[:-1] + 1]), ends):
-            if e > s:
-                windows.append(values[s:e].astype(np.uint8))
-                targets.append(number[lang])
-    return fit(windows, np.array(targets, int), languages, seed) if windows else None
+    parts = [np.frombuffer(part, np.uint8) for *_, part in rows]
+    return fit(parts, np.array([number[lang] for lang, *_ in rows], int), languages, seed) if parts else None
 
 
 def _logits(steps: np.ndarray, table: np.ndarray, u: np.ndarray, out: np.ndarray) -> np.ndarray:
@@ -273,6 +297,9 @@ def predicted(docs: DataFrame, network: Network | None) -> DataFrame:
     """``doc_id, lang_pred, score`` of every row.
 
     ``und`` with score 0 for null texts, texts without a letter, and where
-    nothing was learned.
+    nothing was learned. Of languages with equal shares the first by name is
+    taken. Equal texts have equal rows, repeated rows stay repeated, and an empty
+    table stays empty; whole texts are read however long, and other columns
+    are not.
     """
     return computed(docs, predictor(docs.sparkSession, network), {"lang_pred": "string", "score": "double"})

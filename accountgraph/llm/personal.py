@@ -110,6 +110,21 @@ LABELLED = [
     "Tel. [phone|+49 30 1234567] or by post.",
     "phone: [phone|212-555-0199] and ask for her",
     "Dial [phone|+44 20 7946 0958] from abroad.",
+    "My phone is [phone|2125550199] now.",
+    "Her phone [phone|4155550123] is off",
+    "Tel [phone|030 1234567] or by post.",
+    "Tel. [phone|0211 9876543], ask for Jan",
+    "Call [phone|3125550147] after noon.",
+    "Order 2125550144 was sent on Monday.",
+    "Item 4155550188 costs 12 dollars.",
+    "The parcel 1234 5678 9012 3456 is late.",
+    "tracking 9876 5432 1098 7654 was lost",
+    "The score was 12-10 21-19 21-15 at last.",
+    "They won 6-4 3-6 7-5 at home.",
+    "The years 1914 1918 1939 1945 were bad.",
+    "In 1848 1871 1914 and 1939 it began.",
+    "It was 12-05-2021 or 2021-05-12 then.",
+    "Born 03/04/1975 in the north, died 11/12/2019.",
     "You may call [phone|(415) 555-2671] or write to [email|eve@mail.example.com] soon.",
     "The meeting on 12 May 2021 had 45 guests.",
     "In 1999 we sold 1,200 units for 350 dollars.",
@@ -309,6 +324,11 @@ def labels_of(field: Field, lines: list[list[int]]) -> list[np.ndarray]:
 _WRITTEN = re.compile(r"[\w.%+-]+\s*(@|[\[(]at[\])]|\bat\b)\s*[\w-]+(\s*(\.|[\[(]dot[\])]|\bdot\b)\s*[\w-]+)+", re.IGNORECASE)
 
 
+# Pairs of digits after a 0, and years.
+_PAIRS = re.compile(r"0[0-9]([ .-][0-9]{2}){4}")
+_YEAR = re.compile(r"(1[0-9]|20)[0-9]{2}")
+
+
 def _holds(kind: str, text: str) -> bool:
     """A labelled span must also have what its kind cannot do without."""
     digits = len(_DIGIT.findall(text))
@@ -317,8 +337,19 @@ def _holds(kind: str, text: str) -> bool:
     if kind == "ip":
         return all(map(_small, text.split("."))) if re.fullmatch(r"[0-9]+(\.[0-9]+){3}", text) else False
     if kind == "card":
-        return 13 <= digits <= 19 and not re.search(r"[^0-9 -]", text)
-    return 7 <= digits <= 15 and not re.search(r"[^0-9 ().+/-]", text)
+        return 13 <= digits <= 19 and not re.search(r"[^0-9 -]", text) and luhn(re.sub(r"[^0-9]", "", text))
+    return 7 <= digits <= 15 and not re.search(r"[^0-9 ().+/-]", text) and _dialled(text)
+
+
+def _dialled(text: str) -> bool:
+    """Groups of digits as in a phone number, not as in scores, dates or a list of years."""
+    groups = re.findall(r"[0-9]+", text)
+    if text.startswith("+") or _PAIRS.fullmatch(text):
+        return True
+    if re.search(r"[0-9]/[0-9]", text) or all(_YEAR.fullmatch(g) for g in groups):
+        return False
+    # A country or trunk digit may come first.
+    return all(len(g) >= 3 for g in groups[len(groups[0]) < 3 and len(groups) > 2 :])
 
 
 def _trimmed(text: str, a: int, b: int) -> tuple[int, int]:
@@ -448,6 +479,9 @@ def found(docs: DataFrame, field: Field) -> DataFrame:
     """``doc_id``, the number of pattern matches by kind, their digest, and all spans of every row.
 
     Null and empty texts have no spans. Offsets are code points, ends exclusive.
+    Equal texts have equal rows, repeated rows stay repeated, and an empty
+    table stays empty; whole texts are searched however long, and other columns
+    are not read. A find that the field adds has at most ``MOST_WORDS`` words.
     """
     finder = _finder(docs.sparkSession, field)
 

@@ -1,12 +1,15 @@
 """Pieces, fertility and licences against brute force, the pipeline, and odd rows."""
 
+import math
 import random
 import re
-from collections import Counter
+from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import pytest
 from conftest import SF_DIR
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from accountgraph.llm import fertility, licences, pieces, queries
@@ -154,6 +157,58 @@ def test_scripts_and_bands(spark):
     assert {r.doc_id: r.kept for r in fertility.judged(docs, fertility.load()).collect()} == {1: True, 2: False, 3: False}
 
 
+def bands_by_hand(rows, reach):
+    """Bands of (group, length) and (group, None) from (group, length, measures) of rows."""
+    each = set(rows)
+    groups = defaultdict(list)
+    for group, length, measures in each:
+        groups[group, length].append(measures)
+        groups[group, None].append(measures)
+    out = {}
+    for key, members in groups.items():
+        if len(members) >= fertility.LEAST_GROUP and len(members) * fertility.MOST_GROUPS >= len(each):
+            edges = []
+            for values in zip(*members):
+                low, middle, high = (sorted(values)[max(0, math.ceil(p * len(values)) - 1)] for p in (0.25, 0.5, 0.75))
+                spread = max((high - low) / 1.349, middle * fertility.LEAST_SPREAD)
+                edges.append((middle - reach * spread, middle + reach * spread))
+            out[key] = edges
+    return out
+
+
+def test_verdicts_against_quantiles(spark, monkeypatch):
+    monkeypatch.setattr(fertility, "LEAST_GROUP", 8)
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").withColumn("lang", F.expr("IF(doc_id % 9 = 0, NULL, lang)"))
+    langs = {r.doc_id: r.lang for r in docs.collect()}
+    for reach in (4.0, 1.0):
+        found = fertility.judged(docs, fertility.load(), reach=reach).collect()
+        key = {r.doc_id: (langs[r.doc_id] or r.script, min(r.n_words.bit_length() - 1, fertility.LONGEST)) for r in found}
+        rows = {r.doc_id: (r.chars_per_token, r.byte_share, r.token_entropy) for r in found}
+        bands = bands_by_hand([(*key[i], rows[i]) for i in rows if not next(r for r in found if r.doc_id == i).base_failed], reach)
+        for r in found:
+            band = bands.get(key[r.doc_id], bands.get((key[r.doc_id][0], None)))
+            own = fertility.BANDS[r.script]
+            chars, share, entropy = band or [(own.least_chars, own.most_chars), (0, own.most_bytes), (own.least_entropy, 0)]
+            inside = chars[0] <= r.chars_per_token <= chars[1] and r.byte_share <= max(share[1], own.most_bytes) and r.token_entropy >= entropy[0]
+            assert r.kept == (not r.base_failed and inside)
+        assert bands and sum(not r.kept and not r.base_failed for r in found) > (0 if reach > 1 else 10)
+
+
+def test_junk_goes_and_clean_short_texts_stay(spark):
+    """Marks stuck to words are rejected; of clean texts of any length hardly one is."""
+    rng = random.Random(4)
+    syllables = "an er in on th re st al en de ou ti es or".split()
+    word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randint(1, 3)))
+    clean = [(i, " ".join(word() for _ in range(rng.choice([55, 60, 90, 300])))) for i in range(1200)]
+    junk = [(5000 + i, " ".join(word() + rng.choice(["%%%", "***", "&&&", "$$$", ""]) for _ in range(rng.choice([60, 300])))) for i in range(40)]
+    # A third of all rows are copies of one odd text, which must not set the band.
+    copies = [(9000 + i, " ".join(["the"] * 30 + [f"ab{j}" for j in range(40)])) for i in range(600)]
+    docs = spark.createDataFrame(clean + junk + copies, "doc_id long, text string").repartition(4)
+    kept = {r.doc_id: r.kept for r in fertility.judged(docs, fertility.load()).collect()}
+    assert sum(kept[i] for i, _ in clean) >= 0.995 * len(clean)
+    assert sum(kept[i] for i, _ in junk) <= 2
+
+
 def test_fertility_odd_rows(odd, none):
     found = fertility.judged(odd, fertility.load()).collect()
     assert len(found) == odd.count()
@@ -167,10 +222,11 @@ def test_fertility_odd_rows(odd, none):
 def test_matching_statistics_against_all_runs():
     automaton = licences.build()
     numbers = [[automaton.numbers[w] for w in licences.words_of(t)] for _, t in licences.TEMPLATES]
-    owners = Counter()
+    ends = defaultdict(set)
     for k, line in enumerate(numbers):
-        for run in {tuple(line[i:j]) for i in range(len(line)) for j in range(i + 1, min(len(line), i + 12) + 1)}:
-            owners[run] += 1 << k
+        for i in range(len(line)):
+            for j in range(i + 1, min(len(line), i + 12) + 1):
+                ends[tuple(line[i:j])].add((k, j))
     rng = random.Random(1)
     for _ in range(100):
         text = []
@@ -179,19 +235,112 @@ def test_matching_statistics_against_all_runs():
             at = rng.randrange(len(line))
             text += line[at : at + rng.randint(1, 6)]
         for end, (n, state) in enumerate(licences.matching_statistics(automaton, text)):
-            longest = next(k for k in range(12, -1, -1) if k <= end + 1 and (k == 0 or tuple(text[end + 1 - k : end + 1]) in owners))
+            longest = next(k for k in range(12, -1, -1) if k <= end + 1 and (k == 0 or tuple(text[end + 1 - k : end + 1]) in ends))
             assert n == longest or (n > 12 and longest == 12)
             if 0 < n <= 12:
-                assert automaton.owners[state] == owners[tuple(text[end + 1 - n : end + 1])]
+                assert set(automaton.ends[state]) == ends[tuple(text[end + 1 - n : end + 1])]
+
+
+def longest_common_runs(template, text):
+    """All runs of a template in a text that neither side continues, by comparing every pair of words."""
+    out = []
+    for i in range(len(text)):
+        for j in range(len(template)):
+            if text[i] == template[j] and (i == 0 or j == 0 or text[i - 1] != template[j - 1]):
+                n = 0
+                while i + n < len(text) and j + n < len(template) and text[i + n] == template[j + n]:
+                    n += 1
+                if n >= licences.LEAST_RUN:
+                    out.append(licences.Run(i, i + n, j))
+    return sorted(out)
+
+
+def test_runs_and_chains_against_all_chains():
+    rng = random.Random(8)
+    chained = 0
+    for _ in range(150):
+        templates = [(f"t{k}", " ".join(rng.choices("abcde", k=rng.randint(8, 16)))) for k in range(3)]
+        automaton = licences.build(templates)
+        text = []
+        while len(text) < 26:
+            line = rng.choice(templates)[1].split()
+            at = rng.randrange(len(line))
+            text += line[at : at + rng.randint(2, 8)] + rng.choices(["z", "a"], k=rng.choice([0, 0, 1, 4, 12]))
+        found = licences.runs(automaton, text)
+        for k, (_, template) in enumerate(templates):
+            own = found.get(k, [])
+            assert own == longest_common_runs(template.split(), text)
+            if not own or len(own) > 9:
+                continue
+            best = 0
+            for size in range(1, len(own) + 1):
+                for chosen in combinations(own, size):
+                    cut, total = None, 0
+                    for run in chosen:
+                        shared = 0 if cut is None else max(0, cut.end - run.start, cut.at + cut.end - cut.start - run.at)
+                        if shared >= run.end - run.start or (cut is not None and run.start + shared - cut.end > licences.GAP):
+                            break
+                        cut = licences.Run(run.start + shared, run.end, run.at + shared)
+                        total += cut.end - cut.start
+                    else:
+                        best = max(best, total)
+            parts = [c for cluster in licences.clusters(own) for c in licences.chains(cluster)]
+            assert max(covered for covered, _ in parts) == best
+            for covered, chain in parts:
+                places = [r.at + k for r in chain for k in range(r.end - r.start)]
+                assert len(set(places)) == len(places) == covered and places == sorted(places)
+                chained += len(chain) > 1
+    assert chained > 30
+
+
+def labels(text):
+    return [s.label for s in licences.spans(licences.build(), licences.words_of(text))]
+
+
+def notice(label):
+    return max((t for name, t in licences.TEMPLATES if name == label), key=len)
+
+
+@pytest.mark.parametrize(
+    "text, expected",
+    [
+        ("This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.", ["cc-by-nc-sa"]),
+        ("This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.", ["cc-by-nd"]),
+        ("This work is licensed under a Creative Commons Attribution 4.0 International License.", ["cc-by"]),
+        ("Licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 3.0 Unported License", ["cc-by-nc-nd"]),
+        ("Licensed under CC BY-NC-SA 4.0.", ["cc-by-nc-sa"]),
+        ("It is licensed under the GNU General Public License, version 2.", ["gpl-2"]),
+        ("It is licensed under the GNU General Public License, version 3.", ["gpl-3"]),
+        ("It is licensed under the GNU Lesser General Public License, version 2.1.", ["lgpl-2.1"]),
+        ("This work is licensed under a Creative " * 5, []),
+        ("This work is licensed under a Creative Commons Attribution", []),
+        ("THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED", []),
+        ("licensed under the terms and conditions of the sale to any person", []),
+        ("Released under the BSD License.", []),
+    ],
+)
+def test_kin_licences_stay_apart(text, expected):
+    assert labels(text) == expected
+    assert labels(f"Some words before. {text} And some words after, version 7 of them.") == expected
+
+
+@pytest.mark.parametrize("label", sorted({label for label, _ in licences.TEMPLATES}))
+def test_every_notice_has_its_own_label_only(label):
+    assert set(labels(notice(label))) == {label}
+    words = notice(label).split()
+    keep = {w for w in words for t in licences.words_of(w) if t in licences.KIN | licences.NAMES or t.isdigit()}
+    edited = [w if w in keep or i % 15 != 7 else "changed" for i, w in enumerate(words)]
+    assert set(labels(" ".join(["intro"] * 5 + edited + ["end"]))) == {label}
+    # Two licences one after the other both count, and a notice in two pieces is found again.
+    assert set(labels(notice(label) + " something else entirely " + notice("isc"))) == {label, "isc"}
 
 
 def test_spans_of_edited_licences():
     automaton = licences.build()
-    words = licences.words_of(licences.TEMPLATES[1][1])
+    words = licences.words_of(notice("mit"))
     edited = ["intro"] * 5 + words[:40] + ["changed", "here"] + words[42:] + ["end"]
-    (span,) = [s for s in licences.spans(automaton, edited) if s.label == "mit"]
-    assert (span.start, span.end) == (5, 5 + len(words)) and span.share > 0.9
-    assert licences.spans(automaton, "licensed under the terms and conditions of the sale to any person".split()) == []
+    (span,) = licences.spans(automaton, edited)
+    assert span.label == "mit" and (span.start, span.end) == (5, 5 + len(words)) and span.share > 0.9
 
 
 def test_licence_query(spark, texts):
