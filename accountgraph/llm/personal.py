@@ -178,12 +178,13 @@ def _coarse(shape: str) -> str:
 
 
 class Field(NamedTuple):
-    """Shape numbers, and weights by label (outside first): of a word's own, the last and the next shape, and of label pairs."""
+    """Shape numbers, and weights by label (outside first): of a word's own, the last, the next and the last but one shape, and of label pairs."""
 
     numbers: dict[str, int]
     own: np.ndarray
     last: np.ndarray
     next: np.ndarray
+    before: np.ndarray
     moves: np.ndarray
 
     def number(self, word: str) -> int:
@@ -227,24 +228,24 @@ def train(table: DataFrame, epochs: int = EPOCHS, penalty: float = 0.02, bound:
     for shape in shapes:
         numbers.setdefault(_coarse(shape), len(numbers))
     n_shapes, n_labels = len(numbers) + 1, 1 + len(KINDS)
-    weights = [np.zeros((n_shapes, n_labels)) for _ in range(3)] + [np.zeros((n_labels, n_labels))]
+    weights = [np.zeros((n_shapes, n_labels)) for _ in range(4)] + [np.zeros((n_labels, n_labels))]
     # A line also trains the coarse forms of its shapes.
     coded = []
     for words, labels in sequences:
         for rename in (lambda s: s, _coarse):
-            ids = np.array([n_shapes - 1, *[numbers[rename(w)] for w in words], n_shapes - 1])
+            ids = np.array([n_shapes - 1, n_shapes - 1, *[numbers[rename(w)] for w in words], n_shapes - 1])
             coded.append((ids, np.array(labels)))
     moments = [(np.zeros_like(w), np.zeros_like(w)) for w in weights]
     for epoch in range(1, epochs + 1):
         grads = [penalty * w for w in weights]
         for ids, labels in coded:
-            emit = weights[0][ids[1:-1]] + weights[1][ids[:-2]] + weights[2][ids[2:]]
-            node, edge = _marginals(emit, weights[3])
+            seen = (ids[2:-1], ids[1:-2], ids[3:], ids[:-3])
+            node, edge = _marginals(sum(w[at] for w, at in zip(weights, seen)), weights[4])
             node[np.arange(len(labels)), labels] -= 1
-            for grad, at in zip(grads, (ids[1:-1], ids[:-2], ids[2:])):
+            for grad, at in zip(grads, seen):
                 np.add.at(grad, at, node)
             np.add.at(edge, (labels[:-1], labels[1:]), -1)
-            grads[3] += edge
+            grads[4] += edge
         for w, g, (m, v) in zip(weights, grads, moments):
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
@@ -275,18 +276,21 @@ def _marginals(emit: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def viterbi(field: Field, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Best labels of lanes of shape numbers (``ids``: time by lane, one filler before and after each lane's words)."""
-    steps, lanes = ids.shape[0] - 2, ids.shape[1]
+    """Best labels of lanes of shape numbers (``ids``: time by lane, two fillers before each lane's words and one after)."""
+    steps, lanes = ids.shape[0] - 3, ids.shape[1]
+
+    def emitted(t: int) -> np.ndarray:
+        return field.own[ids[t + 2]] + field.last[ids[t + 1]] + field.next[ids[t + 3]] + field.before[ids[t]]
+
     came = np.empty((steps, lanes, len(field.moves)), np.int8)
-    score = field.own[ids[1]] + field.last[ids[0]] + field.next[ids[2]]
+    score = emitted(0)
     live = np.empty((steps, lanes), bool)
     live[0] = lengths > 0
     for t in range(1, steps):
-        emit = field.own[ids[t + 1]] + field.last[ids[t]] + field.next[ids[t + 2]]
         paths = score[:, :, None] + field.moves
         came[t] = paths.argmax(axis=1)
         live[t] = lengths > t
-        score = np.where(live[t][:, None], paths.max(axis=1) + emit, score)
+        score = np.where(live[t][:, None], paths.max(axis=1) + emitted(t), score)
     out = np.zeros((steps, lanes), np.int8)
     label = score.argmax(axis=1)
     rows = np.arange(lanes)
@@ -307,11 +311,11 @@ def labels_of(field: Field, lines: list[list[int]]) -> list[np.ndarray]:
     for at in range(0, len(order), LANES):
         lane = order[at : at + LANES]
         lengths = np.array([reach[j][1] - reach[j][0] for j in lane])
-        width = int(lengths.max()) + 2
+        width = int(lengths.max()) + 3
         ids = np.full((len(lane), width), filler)
         for row, j in zip(ids, lane):
             (i, _), (start, end) = spans[j], reach[j]
-            row[1 : 1 + end - start] = lines[i][start:end]
+            row[2 : 2 + end - start] = lines[i][start:end]
         best = viterbi(field, np.ascontiguousarray(ids.T), lengths)
         for k in np.flatnonzero(best.any(axis=0)):
             (i, a), (start, end) = spans[lane[k]], reach[lane[k]]

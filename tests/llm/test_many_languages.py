@@ -15,4 +15,5 @@ def test_every_language_is_learned(spark):
     network = language.train(docs)
     assert network.languages == [f"l{k:02d}" for k in range(40)]
     assert network.bias.shape == (40,)
-    assert {r.lang_pred for r in language.predicted(docs, network).collect()} <= set(network.languages)
+    found = language.predicted(docs, network).join(docs, "doc_id").collect()
+    assert sum(r.lang_pred == r.lang for r in found) >= 0.98 * len(found)

@@ -108,6 +108,46 @@ def test_language_of_odd_rows(odd, none):
     assert {r.lang_pred for r in language.predicted(odd, None).collect()} == {"und"}
 
 
+def test_probabilities_against_a_plain_network():
+    """Every position's distribution, from the recurrence written out word for word."""
+    rng = np.random.default_rng(9)
+    make = lambda *s: rng.standard_normal(s).astype(np.float32) * 0.7
+    size, n = 4, 3
+    network = language.Network([make(256, 3 * size) for _ in "ab"], [make(size, 3 * size) for _ in "ab"], [make(size, n) for _ in "ab"], make(n), list("abc"))
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+
+    def direction(data, d):
+        h, out = np.zeros(size), []
+        for byte in data:
+            a, b = network.tables[d][byte], h @ network.recurrent[d]
+            update, reset = sigmoid(a[:size] + b[:size]), sigmoid(a[size : 2 * size] + b[size : 2 * size])
+            candidate = np.tanh(a[2 * size :] + reset * b[2 * size :])
+            h = update * h + (1 - update) * candidate
+            out.append(h @ network.out[d])
+        return out
+
+    for text in (b"a", b"plain words", bytes(range(200))):
+        scores = np.array(direction(text, 0)) + np.array(direction(text[::-1], 1))[::-1] + network.bias
+        p = np.exp(scores) / np.exp(scores).sum(axis=1, keepdims=True)
+        assert language.position_sums(network, [text])[0][0] == pytest.approx(p.sum(axis=0), rel=1e-3)
+
+
+def test_windows_begin_between_characters():
+    for text in ("aé漢🙂" * 200, "漢", "", "a" * 500):
+        parts = language.cut(text, 5, 50)
+        assert all(p.decode() in text and len(p) <= 50 for p in parts)
+        assert len(parts) == (5 if len(text.encode()) > 54 else bool(text))
+
+
+def test_the_sample_follows_the_hash(spark):
+    docs = spark.range(0, 5000).selectExpr("id AS doc_id", "'x' AS text", "IF(id % 50 = 0, 'rare', 'often') AS lang")
+    found = language.sample(docs.union(docs), {"often": (40, 9800), "rare": (300, 200)}, 5)
+    drawn = docs.selectExpr("doc_id", "lang", f"pmod(xxhash64(5, doc_id), {language.HASHES}) AS h").collect()
+    least = sorted((r.h, r.doc_id) for r in drawn if r.lang == "often")[:40]
+    assert sorted(d for d, lang in found if lang == "often") == sorted(d for _, d in least)
+    assert sorted(d for d, lang in found if lang == "rare") == list(range(0, 5000, 50))
+
+
 def test_gradients_of_the_network():
     rng = np.random.default_rng(3)
     table, u = (rng.standard_normal(s).astype(np.float32) * 0.5 for s in ((256, 9), (3, 9)))
@@ -180,11 +220,11 @@ def test_viterbi_against_all_paths(field):
 
     rng = np.random.default_rng(7)
     n_labels, filler = len(field.moves), len(field.own) - 1
-    noisy = field._replace(**{n: rng.standard_normal(getattr(field, n).shape).astype(np.float32) for n in ("own", "last", "next", "moves")})
+    noisy = field._replace(**{n: rng.standard_normal(getattr(field, n).shape).astype(np.float32) for n in ("own", "last", "next", "before", "moves")})
     for size in (1, 2, 4):
         line = rng.integers(0, filler, size).tolist()
-        ids = [filler, *line, filler]
-        emit = [noisy.own[ids[t]] + noisy.last[ids[t - 1]] + noisy.next[ids[t + 1]] for t in range(1, size + 1)]
+        ids = [filler, filler, *line, filler]
+        emit = [noisy.own[ids[t]] + noisy.last[ids[t - 1]] + noisy.next[ids[t + 1]] + noisy.before[ids[t - 2]] for t in range(2, size + 2)]
 
         def total(path, emit=emit):
             return sum(e[p] for e, p in zip(emit, path)) + sum(noisy.moves[a, b] for a, b in zip(path, path[1:]))
