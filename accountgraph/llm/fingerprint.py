@@ -88,32 +88,59 @@ def merge_by(sketches: DataFrame, key: str, column: str = "sketch", k: int = K)
     return found.select(key, F.coalesce("merged", none).alias("sketch"))
 
 
+def count_above(bounds: list[int], value: Column) -> Column:
+    """How many of the ascending ``bounds`` are above ``value``, by halving steps: as many as the logarithm of their number."""
+    n = len(bounds)
+    if not n:
+        return F.lit(0)
+    # One text literal, which Spark turns into an array once, however many bounds there are.
+    table = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>")
+    steps = [1 << s for s in range(n.bit_length() - 1, -1, -1)]
+
+    def step(below: Column, size: Column) -> Column:
+        fits = (below + size <= n) & (F.get(table, below + size - 1) <= value)
+        return F.when(fits, below + size).otherwise(below)
+
+    return F.lit(n) - F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), step)
+
+
+def _prefix(text: Column) -> Column:
+    """The first seven bytes of a text as a number that keeps the order of texts."""
+    return F.conv(F.rpad(F.hex(F.substring(F.encode(text, "UTF-8"), 1, 7)), 14, "0"), 16, 10).cast("bigint")
+
+
 def beside_next(docs: DataFrame, buckets: int) -> DataFrame:
     """``doc_id, text, sketch, next_text, next_sketch`` of every row, null texts as empty ones.
 
     The next document has the next smaller id (ties by text, null ids last);
-    after the last one comes the first. Rows are dealt to ranges of ids, and the
-    first rows of each range also to the range before it, so no sort ever sees
-    all rows. Only the bounds of the ranges, ``buckets`` numbers, reach the driver.
+    after the last one comes the first. Rows are dealt to ranges of ids, those
+    without an id to ranges of their texts' beginnings, and the first rows of
+    each range also to the range before it, so no sort ever sees all rows. Only
+    the bounds of the ranges, about twice ``buckets`` numbers, reach the driver.
+    An empty table stays empty; repeated rows are each other's next. Rows
+    without an id whose texts begin with the same seven bytes stay in one range.
     """
     spark = docs.sparkSession
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    cuts = [i / buckets for i in range(1, buckets)]
-    found = texts.agg(F.percentile_approx("doc_id", cuts or [0.5], F.lit(100 * buckets))).first()[0]
-    bounds = sorted(set(found or []))
-    # Range 0 has the largest ids; null ids follow the smallest one, in its range.
-    literal = F.array(*[F.lit(b) for b in bounds]).cast("array<bigint>")
-    above = F.size(F.filter(literal, lambda b: b > F.col("doc_id")))
-    ranged = texts.where("doc_id IS NOT NULL").select("doc_id", above.alias("range"))
-    heads = sorted((r["range"], r["doc_id"]) for r in ranged.groupBy("range").agg(F.max("doc_id").alias("doc_id")).collect())
-    heads = heads or [(0, None)]
+    cuts = [i / buckets for i in range(1, buckets)] or [0.5]
+    beginning = F.when(F.col("doc_id").isNull(), _prefix(F.col("text")))
+    texts = texts.select("*", beginning.alias("beginning"))
+    accuracy = F.lit(10 * buckets)
+    of_ids, of_texts = texts.agg(F.percentile_approx("doc_id", cuts, accuracy), F.percentile_approx("beginning", cuts, accuracy)).first()
+    ids, beginnings = sorted(set(of_ids or [])), sorted(set(of_texts or []))
+    # Range 0 has the largest ids; rows without an id follow the smallest one, by text.
+    behind = F.lit(len(ids) + 1 + len(beginnings)) - count_above(beginnings, F.col("beginning"))
+    above = F.when(F.col("doc_id").isNull(), behind).otherwise(count_above(ids, F.col("doc_id"))).cast("int")
+    ranged = texts.select("*", above.alias("range"))
+    first = ranged.groupBy("range").agg(F.max("doc_id").alias("head"), F.min("beginning").alias("of"))
+    heads = sorted((r["range"], r["head"], r["of"]) for r in first.collect()) or [(0, None, None)]
     last = heads[-1][0]
-    above = F.when(F.col("doc_id").isNull(), F.lit(last)).otherwise(above)
-    places = [(after[1], before[0], False) for before, after in zip(heads, heads[1:])] + [(heads[0][1], last, True)]
-    extra = spark.createDataFrame(places, "head bigint, place int, wrapped boolean")
-    by_head = extra.groupBy("head").agg(F.collect_list(F.struct(F.col("place").alias("range"), "wrapped", F.lit(True).alias("extra"))).alias("also"))
-    own = F.array(F.struct(above.alias("range"), F.lit(False).alias("wrapped"), F.lit(False).alias("extra")))
-    dealt = texts.join(F.broadcast(by_head), F.col("doc_id").eqNullSafe(F.col("head")), "left").select(
+    places = [(after[1], after[2], before[0], False) for before, after in zip(heads, heads[1:])] + [(*heads[0][1:], last, True)]
+    extra = spark.createDataFrame(places, "head bigint, of bigint, place int, wrapped boolean")
+    by_head = extra.groupBy("head", "of").agg(F.collect_list(F.struct(F.col("place").alias("range"), "wrapped", F.lit(True).alias("extra"))).alias("also"))
+    own = F.array(F.struct(F.col("range"), F.lit(False).alias("wrapped"), F.lit(False).alias("extra")))
+    is_head = F.col("doc_id").eqNullSafe(F.col("head")) & F.col("beginning").eqNullSafe(F.col("of"))
+    dealt = ranged.join(F.broadcast(by_head), is_head, "left").select(
         "doc_id", "text", F.inline(F.concat(own, F.coalesce("also", F.array().cast("array<struct<range:int,wrapped:boolean,extra:boolean>>"))))
     )
     order = Window.partitionBy("range").orderBy("wrapped", F.desc_nulls_last("doc_id"), "extra", "text")

@@ -7,10 +7,12 @@ when demand reaches the tokens of the source's documents before it.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from accountgraph.llm.common import fresh
+from accountgraph.storage import stored
 
 SEED = 7
 MOST_EPOCHS = 3
@@ -18,8 +20,8 @@ MOST_EPOCHS = 3
 # changes: its rate goes linearly from 1 - slope to 1 + slope times the mean.
 WEIGHTS = (1, 2, 3)
 SLOPES = (-0.5, 0.0, 0.5)
-# Hash ranges that a source's documents are summed in.
-RANGES = 1024
+# Documents of all sources that one hash range has on average; a source's sizes are summed by range.
+RANGE_ROWS = 50_000
 
 
 def size_of(text: Column) -> Column:
@@ -70,21 +72,29 @@ def time_of(share: Column, slope: Column) -> Column:
     return F.when(share <= 0, F.lit(0.0)).otherwise(F.least(F.lit(1.0), F.lit(2.0) * share / (a + root)))
 
 
-def schedule(docs: DataFrame, most: float = MOST_EPOCHS, seed: int = SEED, ranges: int = RANGES) -> DataFrame:
-    """``docs`` with a struct column ``mix`` of size, source_size, target, taken, copies and times.
+def schedule(docs: DataFrame, most: float = MOST_EPOCHS, seed: int = SEED, ranges: int | None = None) -> DataFrame:
+    """Columns of ``docs`` but for the text, with a struct column ``mix`` of size, source_size, target, taken, copies and times.
 
     The documents of a source form a stream in the order of a seeded hash of
     id and text; the stream is repeated until the target is met, and stops
     inside the last document it reaches, so ``taken`` of a source adds up to its
     target. ``copies`` counts the copies of which at least half is taken, and
     ``times`` has the training time at which each taken copy begins. Words of
-    documents without any add nothing: they have size 0 and are not taken, so
-    they have no copies. Null sources form a source of their own.
+    documents without any (null, empty or blank texts) add nothing: they have
+    size 0 and are not taken, so they have no copies. Null sources form a source
+    of their own. Rows that agree in id and text lie next to each other, and
+    which of them comes first changes nothing. An empty table stays empty.
+
+    Sizes and hashes are taken where the texts are; only they are sorted, in
+    ``ranges`` parts of each source that grow in number with the rows.
     """
     mix, of, part, fact_of = (fresh(docs.columns, name) for name in ("mix", "part_source", "part_range", "fact"))
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
     key = F.xxhash64(F.lit(seed), "doc_id", "text")
+    ranges = ranges or max(1, -(-docs.select("doc_id").count() // RANGE_ROWS))
     range_of = F.pmod(F.shiftrightunsigned(key, 20), F.lit(ranges))
-    plain = docs.select("*", F.struct(size_of(F.col("text")).alias("size"), key.alias("key"), range_of.alias("range")).alias(mix))
+    sized = docs.select(*others, F.struct(size_of(F.col("text")).alias("size"), key.alias("key"), range_of.alias("range")).alias(mix))
+    plain = stored(sized, "sizes").df
     size = F.col(f"{mix}.size")
     parts = plain.groupBy("source", F.col(f"{mix}.range").alias(part)).agg(F.sum(size).alias("part"))
     up_to = Window.partitionBy("source").orderBy(part)
@@ -117,16 +127,45 @@ def schedule(docs: DataFrame, most: float = MOST_EPOCHS, seed: int = SEED, range
         size.alias("size"), fact("source_size").alias("source_size"), fact("target").alias("target"), taken.alias("taken"),
         copies.alias("copies"), began.alias("times"),
     )
-    return placed.withColumn(mix, made).select(*docs.columns, mix)
+    return placed.select(*others, made.alias(mix))
+
+
+def _scanned_plainly(docs: DataFrame) -> bool:
+    """True for files that are read with columns or rows left out only, so that a place in a file is one row."""
+    plan = docs._jdf.queryExecution().analyzed()
+    while plan.children().size() == 1 and plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    return plan.children().isEmpty() and plan.nodeName() in ("LogicalRelation", "Relation")
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``docs`` with columns that tell every row from all others, the same ones however often it is read, and their names.
+
+    Rows of files are known by file and place. Others are numbered and stored.
+    """
+    names = [fresh(docs.columns, n) for n in ("row_file", "row_check", "row_place")]
+    if _scanned_plainly(docs):
+        path, place = F.col("_metadata.file_path"), F.col("_metadata.row_index")
+        try:
+            return docs.select("*", *[c.alias(n) for n, c in zip(names, (F.xxhash64(path), F.crc32(path), place))]), names
+        except AnalysisException:
+            pass  # a format without places
+    return stored(docs.select("*", F.monotonically_increasing_id().alias(names[2])), "mixing").df, names[2:]
 
 
 def curriculum(docs: DataFrame, most: float = MOST_EPOCHS, seed: int = SEED) -> DataFrame:
     """Rows of ``docs`` in training order, each as often as the mix has copies of it.
 
-    Range-sorted by the time at which a copy begins.
+    The schedule is made from narrow rows; the texts move once to meet it and
+    once more, each row as often as it is taken, to be range-sorted by the time
+    at which a copy begins.
     """
-    mixed = schedule(docs, most, seed)
+    rows, names = numbered(docs)
+    mixed = schedule(rows.select(*names, "doc_id", "text", "source"), most, seed)
     mix = mixed.columns[-1]
-    at = fresh(mixed.columns, "at")
-    copies = F.slice(f"{mix}.times", 1, F.col(f"{mix}.copies"))
-    return mixed.select(*docs.columns, F.explode(copies).alias(at)).orderBy(at, "doc_id").select(*docs.columns)
+    at = fresh([*docs.columns, *names], "at")
+    times = F.slice(f"{mix}.times", 1, F.col(f"{mix}.copies"))
+    plan = mixed.where(F.col(f"{mix}.copies") > 0).select(*names, times.alias(at))
+    given = [F.col(f"`{c}`") for c in docs.columns]
+    taken = rows.join(plan.hint("shuffle_hash"), names).select(*given, F.explode(at).alias(at))
+    return taken.orderBy(at, "doc_id").select(*given)

@@ -264,11 +264,19 @@ def scorer(spark, model: Model):
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """``doc_id, score`` of every row; null texts count as empty."""
+    """``doc_id, score`` of every row; null texts count as empty.
+
+    Texts without letters have the score of the bias alone. Equal texts have
+    equal scores, repeated rows stay repeated, and an empty table stays empty;
+    whole texts are read however long, and other columns are not.
+    """
     return computed(docs, scorer(docs.sparkSession, model), {"score": "double"})
 
 
 def clean(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
-    """Rows of ``docs`` whose score is below ``threshold``."""
+    """Rows of ``docs`` whose score is below ``threshold``, with all their columns.
+
+    Rows with equal texts stay or go together; a score at the threshold goes.
+    """
     out, name = with_output(docs, scorer(docs.sparkSession, model), {"score": "double"})
-    return out.where(F.col(f"{name}.score") < threshold).select(*docs.columns)
+    return out.where(F.col(f"{name}.score") < threshold).select(*[F.col(f"`{c}`") for c in docs.columns])

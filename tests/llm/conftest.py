@@ -15,13 +15,13 @@ ODD = [
     (8, "x" * 50_000, None, "c"),
     (9, "é漢字🙂 ▁ <s> 12.34.56.78 a@b.cd", "fr", "c"),
 ]
-CLASHES = ["score", "output", "ids", "mix", "fp", "at", "n_tokens", "sketch", "kept", "chosen", "range", "of"]
+CLASHES = ["score", "output", "ids", "mix", "fp", "at", "n_tokens", "sketch", "kept", "chosen", "range", "of", "a.b", "slot", "group", "length", "terms"]
 
 
 @pytest.fixture(scope="session")
 def odd(spark):
     """Odd rows with columns named like those the operators make."""
-    names = ", ".join(f"{c} string" for c in CLASHES)
+    names = ", ".join(f"`{c}` string" for c in CLASHES)
     rows = [(*r, None if r[1] is None else len(r[1]), *["mine"] * len(CLASHES)) for r in ODD]
     return spark.createDataFrame(rows, f"doc_id long, text string, lang string, source string, n_chars long, {names}")
 

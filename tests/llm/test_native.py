@@ -11,6 +11,7 @@ from conftest import SF_DIR, planned
 from pyspark.sql import functions as F
 
 from accountgraph.llm import fingerprint, mixing, queries, simhash
+from accountgraph.storage import settings
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -57,6 +58,29 @@ def test_fingerprints_of_odd_rows(spark, odd, none):
     assert [(r.text, r.next_text) for r in one] == [("abc def", "abc def")]
 
 
+def test_bounds_are_searched_by_halves(spark):
+    rng = random.Random(2)
+    for n in (0, 1, 2, 7, 64, 1000):
+        bounds = sorted(rng.sample(range(-5000, 5000), n))
+        values = spark.createDataFrame([(v,) for v in [*bounds, *(b + 1 for b in bounds), -9999, 9999]], "v long")
+        for r in values.select("v", fingerprint.count_above(bounds, F.col("v")).alias("found")).collect():
+            assert r.found == sum(b > r.v for b in bounds)
+
+
+def test_rows_without_an_id_are_spread(spark):
+    rng = random.Random(6)
+    rows = [(None if i % 2 else i, f"{rng.choice('abcdéz')}{rng.randrange(10**6)} text") for i in range(400)] + [(None, "b twice")] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    found = fingerprint.beside_next(docs, 8)
+    assert Counter((r.doc_id, r.text) for r in found.collect()) == Counter(rows)
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1].encode()))
+    after = Counter((a[1], b[1]) for a, b in zip(order, order[1:] + order[:1]))
+    assert Counter((r.text, r.next_text) for r in found.collect()) == after
+    with settings(spark, adaptive_enabled="false"):
+        placed = fingerprint.beside_next(docs, 8).groupBy(F.spark_partition_id()).count().collect()
+    assert max(r["count"] for r in placed) < 250
+
+
 def test_sketches_merge_and_estimate(spark):
     rng = random.Random(4)
     words = [f"w{i}" for i in range(4000)]
@@ -145,13 +169,38 @@ def test_curriculum_follows_the_times(spark, documents):
     assert at == sorted(at)
 
 
+def test_no_text_is_sorted_for_the_schedule(spark, documents, tmp_path):
+    assert "text" not in planned(mixing.schedule(documents))
+    documents.withColumn("a.b", F.lit(1)).write.parquet(f"{tmp_path}/docs")
+    stored = spark.read.parquet(f"{tmp_path}/docs")
+    assert mixing.numbered(stored.where("doc_id > 3"))[1][0] == "row_file"
+    # Rows that one place of a file gives twice have numbers of their own.
+    twice = stored.select("*", F.explode(F.array(F.lit(1), F.lit(2))).alias("k"))
+    rows, names = mixing.numbered(twice)
+    assert names == ["row_place"] and rows.select(names).distinct().count() == twice.count()
+    plan = planned(mixing.curriculum(stored))
+    assert all("text" not in line for line in plan.splitlines() if "Window" in line)
+
+
+@pytest.mark.parametrize("ranges", [1, 7])
+def test_ranges_change_no_total(spark, documents, ranges):
+    rows = mixing.schedule(documents, ranges=ranges).collect()
+    taken, target = Counter(), {}
+    for r in rows:
+        taken[r.source] += r.mix.taken
+        target[r.source] = r.mix.target
+    assert all(taken[s] == pytest.approx(t, abs=1) for s, t in target.items())
+
+
 def test_mixing_odd_rows(odd, none):
     mixed = mixing.schedule(odd)
     column = mixed.columns[-1]
     rows = mixed.collect()
-    assert mixed.columns[:-1] == odd.columns and column != "mix" and len(rows) == odd.count()
-    for r in rows:
-        assert r[column].size == len(WORD.findall(r.text or "")) and r[column].taken <= 3 * r[column].size
+    assert mixed.columns[:-1] == [c for c in odd.columns if c != "text"] and column != "mix" and len(rows) == odd.count()
+    sizes = Counter((r.doc_id, len(WORD.findall(r.text or ""))) for r in odd.collect())
+    assert Counter((r.doc_id, r[column].size) for r in rows) == sizes
+    assert all(r[column].taken <= 3 * r[column].size for r in rows)
+    assert sorted(map(str, mixing.schedule(odd, ranges=5).select("doc_id").collect())) == sorted(map(str, odd.select("doc_id").collect()))
     assert mixing.curriculum(odd).columns == odd.columns
     assert mixing.schedule(none).count() == 0 and mixing.curriculum(none).count() == 0
 
