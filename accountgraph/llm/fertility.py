@@ -28,7 +28,7 @@ BYTE_VOCABULARY = "byte_bpe_50k.tiktoken"
 PIECE_VOCABULARY = "piece_bpe_32k.model"
 # How the byte-level vocabulary cuts text before merging (fixed pattern).
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-REMEMBERED = 200_000
+REMEMBERED = 500_000
 
 # Base rules: fewest words, largest percentage of words in repeated windows of
 # so many words; and the marks that count as symbols (fixed values).

@@ -132,6 +132,20 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(z, -40, 40)))
 
 
+def risk_slopes(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
+    """Slopes of the non-negative risk by the scores of positive and of unlabelled texts.
+
+    The risk is the prior's share of the logistic loss of positives as such,
+    and, unless that is negative, the loss of the unlabelled as negatives less
+    the prior's share of that of the positives.
+    """
+    as_negative = np.logaddexp(0, unlabelled).mean() - prior * np.logaddexp(0, positive).mean()
+    of_positive = prior * (sigmoid(positive) - 1) / len(positive)
+    if as_negative <= 0:
+        return of_positive, np.zeros(len(unlabelled))
+    return of_positive - prior * sigmoid(positive) / len(positive), sigmoid(unlabelled) / len(unlabelled)
+
+
 def fit(positive: Sample, unlabelled: Sample, prior: float, seed: int = SEED, epochs: int = 60) -> Model:
     """One classifier. Without positives it scores everything as the prior."""
     size = 1 << BITS
@@ -172,10 +186,7 @@ def fit(positive: Sample, unlabelled: Sample, prior: float, seed: int = SEED, ep
                 continue
             sp, su = positive.take(some_p), unlabelled.take(some_u)
             zp, zu = sp.scores(weights * scale, bias), su.scores(weights * scale, bias)
-            as_negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-            gu, gp = np.zeros(len(zu)), prior * (sigmoid(zp) - 1) / len(zp)
-            if as_negative > 0:
-                gu, gp = sigmoid(zu) / len(zu), gp - prior * sigmoid(zp) / len(zp)
+            gp, gu = risk_slopes(zp, zu, prior)
             grad = np.bincount(sp.ids, gp[sp.rows()], size) + np.bincount(su.ids, gu[su.rows()], size)
             grad = grad * scale + 1e-5 * weights
             slope = float(gp.sum() + gu.sum())

@@ -1,5 +1,6 @@
 """Learned operators: held-out accuracy on planted cases, gradients, and odd rows."""
 
+import math
 import random
 
 import numpy as np
@@ -50,6 +51,28 @@ def test_toxicity_of_odd_rows(spark, odd, none, insults):
     assert {s < 0.5 for (s,) in rows(toxicity.scored(odd, nothing).select("score"))} == {True}
 
 
+def plain_risk(positive, unlabelled, prior):
+    loss = lambda z, sign: sum(math.log(1 + math.exp(-sign * v)) for v in z) / len(z)
+    return prior * loss(positive, 1) + max(0.0, loss(unlabelled, -1) - prior * loss(positive, -1))
+
+
+@pytest.mark.parametrize("shift", [2.0, 0.0, -3.0])
+def test_slopes_against_the_plain_risk(shift):
+    rng = np.random.default_rng(4)
+    positive, unlabelled, step = rng.normal(2, 2, 5), rng.normal(shift, 1, 7), 1e-6
+    slopes = toxicity.risk_slopes(positive, unlabelled, 0.4)
+    for side, scores in enumerate((positive, unlabelled)):
+        for i in range(len(scores)):
+            at = [positive.copy(), unlabelled.copy()]
+            at[side][i] += step
+            up = plain_risk(*at, 0.4)
+            at[side][i] -= 2 * step
+            assert slopes[side][i] == pytest.approx((up - plain_risk(*at, 0.4)) / (2 * step), abs=1e-6)
+    if shift < 0:
+        # The unlabelled are easier negatives than the prior's share of the positives: only the first term counts.
+        assert plain_risk(positive, unlabelled, 0.4) == pytest.approx(0.4 * np.logaddexp(0, -positive).mean()) and not slopes[1].any()
+
+
 def test_the_second_risk_never_turns_negative():
     # Positives that are all of the unlabelled: following the plain estimate would run away.
     sample = toxicity.Sample(np.zeros(40, np.int32), np.arange(41))

@@ -1,0 +1,45 @@
+"""Texts with bytes that are no UTF-8, and columns with dots in their names."""
+
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from accountgraph.llm import fertility, fingerprint, language, lexical, licences, merges, mixing, personal, pieces, quality, simhash, toxicity
+from conftest import SF_DIR
+
+
+@pytest.fixture(scope="module")
+def broken(spark):
+    rows = spark.createDataFrame([(1, bytearray(b"call \xff\xfe me \xc3 at a@b.cd")), (2, bytearray(b"plain words here")), (3, None)], "doc_id long, b binary")
+    # Casting checks nothing.
+    return rows.selectExpr("doc_id", "CAST(b AS STRING) AS text", "'en' AS lang", "'s' AS source", "9L AS n_chars", "1 AS `a.b`", "2 AS `doc_id.x`")
+
+
+OPERATORS = {
+    "toxicity": lambda docs: toxicity.scored(docs, toxicity.train_from_labels(docs, docs.selectExpr("doc_id", "1 AS toxic"))),
+    "fingerprint": lambda docs: fingerprint.beside_next(docs, 3),
+    "mixing": mixing.curriculum,
+    "personal": lambda docs: personal.found(docs, personal.train(personal.labelled_table(docs.sparkSession), epochs=3)),
+    "quality": lambda docs: quality.scored(docs, quality.train(docs, docs.selectExpr("doc_id", "1 AS quality"))),
+    "simhash": simhash.near_duplicates,
+    "pieces": lambda docs: pieces.tokenized(docs, pieces.load()),
+    "fertility": lambda docs: fertility.judged(docs, fertility.load()),
+    "language": lambda docs: language.predicted(docs, language.train(docs)),
+    "licences": licences.scanned,
+    "merges": lambda docs: merges.encoded(docs, merges.load())[0],
+    "lexical": lambda docs: lexical.ranked(docs, docs.select(F.col("doc_id").alias("item_id"), "text")),
+}
+
+
+@pytest.mark.parametrize("name", sorted(OPERATORS))
+def test_operators(broken, name):
+    found = OPERATORS[name](broken)
+    assert found.count() >= 2
+    found.write.format("noop").mode("overwrite").save()
+
+
+def test_stages(spark, broken):
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, broken, SF_DIR)
+        out.write.format("noop").mode("overwrite").save()
+        assert out.columns[: len(broken.columns)] == broken.columns, name
