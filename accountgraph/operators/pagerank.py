@@ -36,7 +36,9 @@ def pagerank(edges: DataFrame, iterations: int, damping: float, init: float | st
     outgoing edges is not redistributed. ``init`` is the starting rank, or
     ``"uniform"`` for 1/N.
 
-    The weighted edges are shuffled, sorted and cached by source once, and the
+    The weighted edges are shuffled and sorted by source once and kept, in that
+    partitioning, in the shared folder; rounds read them from a cache, and what
+    a lost executor held of it is read again, without another shuffle. The
     ranks keep the partitioning of the sum that made them, which is the same
     one; so a round moves only the combined messages. Sources holding a large
     share of the edges are kept apart: their edges stay spread evenly and meet
@@ -76,7 +78,8 @@ def _rounds(weighted: DataFrame, iterations: int, damping: float, init: float |
         hot_links = _normalised(_parallel_weights(weighted.join(F.broadcast(hot_ids), "src")), F.broadcast(hot))
         hot_links.persist()
     by_source = _parallel_weights(cold_edges.repartition("src"))
-    links = _normalised(by_source.sortWithinPartitions("src"), totals).sortWithinPartitions("src").persist()
+    kept = pinned(_normalised(by_source.sortWithinPartitions("src"), totals).sortWithinPartitions("src"), "links")
+    links = kept.df.persist()
 
     ranks, table = vertices.select("id", F.lit(start).alias("rank")), counted
     try:
@@ -98,6 +101,7 @@ def _rounds(weighted: DataFrame, iterations: int, damping: float, init: float |
         links.unpersist()
         if hot_links is not None:
             hot_links.unpersist()
+        kept.free()
     counted.free()
     return ranks
 

@@ -95,12 +95,32 @@ def test_a_round_has_one_exchange(spark, monkeypatch, no_broadcasts, folder):
     rounds = [plan for name, plan in plans if name == "ranks"]
     assert len(rounds) == 2
     for plan in rounds:
-        # One for the messages; the other made the cached links, once.
-        assert plan.count("Exchange") == 2
-        assert plan.count("REPARTITION_BY_COL") == 1
+        # That of the messages: edges stay where they are.
+        assert plan.count("Exchange") == 1
+        assert "REPARTITION_BY_COL" not in plan
         assert plan.count("ENSURE_REQUIREMENTS") == 1
 
 
+def test_edges_stay_in_place_without_the_cache(spark, monkeypatch, no_broadcasts):
+    """A round after the cache is gone reads the kept links and shuffles the messages only."""
+    edges = tables.edges(spark, SF_DIR)
+    expected = rows(pagerank(edges, 3, 0.85))
+    plans = []
+    real = module._messages
+
+    def uncached(links, sources):
+        spark.catalog.clearCache()
+        found = real(links, sources)
+        plans.append(planned(found))
+        return found
+
+    monkeypatch.setattr(module, "_messages", uncached)
+    assert rows(pagerank(edges, 3, 0.85)) == expected
+    assert len(plans) == 3
+    for plan in plans:
+        assert "InMemory" not in plan and "Exchange" not in plan
+
+
 def test_superseded_checkpoints_are_deleted(spark, shared, edges):
     before = set(files_below(shared))
     ranks = pagerank(edges, 4, 0.85)
