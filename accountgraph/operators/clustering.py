@@ -33,6 +33,8 @@ NEAR = f"{_OWN}near"
 # Points of one block of Lloyd's rounds, and rounds after which the blocks are written.
 BLOCK = 16_384
 CUT = 20
+# Sums of a round up to which each is a column of its own.
+FEW_SUMS = 100
 
 
 def _values(features: str | Sequence[str]) -> Column:
@@ -179,6 +181,12 @@ def _block(points: np.ndarray, weights: np.ndarray | None, bounds: nearest.Bound
     return pa.RecordBatch.from_arrays(made, _FIELDS)
 
 
+def _unpacked(batch: pa.RecordBatch, i: int, d: int) -> tuple[np.ndarray, np.ndarray | None, nearest.Bounds]:
+    points, weights, label, upper, lower = (batch.column(c)[i].as_buffer() for c in range(5))
+    bounds = nearest.Bounds(np.frombuffer(label, np.int32), np.frombuffer(upper), np.frombuffer(lower))
+    return np.frombuffer(points).reshape(d, -1), np.frombuffer(weights) if weights.size else None, bounds
+
+
 def _first_round(places: DataFrame, centres: _Centres, features: str | Sequence[str], weight: str | None) -> DataFrame:
     """Blocks of the points, each with its nearest centre."""
     given = centres.places
@@ -216,10 +224,7 @@ def _next_round(blocks: DataFrame, move: nearest.Move) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                points, weights, label, upper, lower = (batch.column(c)[i].as_buffer() for c in range(5))
-                points = np.frombuffer(points).reshape(d, -1)
-                weights = np.frombuffer(weights) if weights.size else None
-                before = nearest.Bounds(np.frombuffer(label, np.int32), np.frombuffer(upper), np.frombuffer(lower))
+                points, weights, before = _unpacked(batch, i, d)
                 bounds, measured = nearest.advanced(points, before, move, gaps)
                 if same and (measured == 0 or np.array_equal(bounds.label, before.label)):
                     sums = batch.column(5)[i].as_py()
@@ -232,14 +237,48 @@ def _next_round(blocks: DataFrame, move: nearest.Move) -> DataFrame:
 
 def _totals(blocks: DataFrame, k: int, d: int) -> tuple[np.ndarray, int]:
     """Sums of all blocks, ``k`` rows of weight and coordinates, and how many points were measured."""
-    at = F.posexplode(F.concat("sums", F.array(F.col("measured").cast("double"))))
-    found = blocks.select(at.alias("at", "value")).groupBy("at").agg(F.sum("value").alias("value")).collect()
-    flat = np.zeros(k * (d + 1) + 1)
-    for row in found:
-        flat[row["at"]] = row["value"]
+    n = k * (d + 1)
+    values = F.concat("sums", F.array(F.col("measured").cast("double")))
+    flat = np.zeros(n + 1)
+    if n < FEW_SUMS:
+        # As columns they need no row each.
+        found = blocks.select(*[values[i].alias(f"s{i}") for i in range(n + 1)])
+        row = found.agg(*[F.coalesce(F.sum(f"s{i}"), F.lit(0.0)) for i in range(n + 1)]).first()
+        flat[:] = list(row)
+    else:
+        for row in blocks.select(F.posexplode(values).alias("at", "value")).groupBy("at").agg(F.sum("value").alias("value")).collect():
+            flat[row["at"]] = row["value"]
     return flat[:-1].reshape(k, d + 1), int(flat[-1])
 
 
+def _next_rounds_of_one(blocks: DataFrame, now: _Centres, move: nearest.Move, rounds: int) -> tuple[_Centres, list[int]]:
+    """Centres after ``rounds`` more rounds over points that fit one block, and how many were measured in each.
+
+    The sums of one block are those of all points, so its task can go on alone.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [_unpacked(batch, i, move.centres.shape[1]) for batch in batches for i in range(batch.num_rows)]
+        if not parts:
+            return
+        points = np.concatenate([p for p, _, _ in parts], axis=1)
+        weights = None if parts[0][1] is None else np.concatenate([w for _, w, _ in parts])
+        bounds = nearest.Bounds(*map(np.concatenate, zip(*[b for _, _, b in parts])))
+        centres, moved, measured = now._replace(cids=list(range(len(now.cids)))), move, []
+        for _ in range(rounds):
+            bounds, taken = nearest.advanced(points, bounds, moved, nearest.half_gaps(moved.centres))
+            measured.append(taken)
+            sums = np.array(_sums(points, weights, bounds.label, len(moved.centres)))
+            centres, moved = _moved(centres, sums.reshape(len(moved.centres), -1))
+        made = [centres.cids, centres.places.ravel().tolist(), measured]
+        kinds = [pa.int32(), pa.float64(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array([m], pa.list_(k)) for m, k in zip(made, kinds)], ["of", "places", "measured"])
+
+    row = blocks.coalesce(1).mapInArrow(run, "of array<int>, places array<double>, measured array<bigint>").first()
+    places = np.array(row["places"]).reshape(len(row["of"]), -1)
+    return now._replace(cids=[now.cids[i] for i in row["of"]], places=places), list(row["measured"])
+
+
 def _moved(centres: _Centres, sums: np.ndarray) -> tuple[_Centres, nearest.Move]:
     """Means of the clusters that have points; centres that share a cid become one."""
     by_cid: dict = {}
@@ -308,6 +347,12 @@ def lloyd(
             now, move = _moved(now, sums)
             if not now.cids or done == iterations:
                 break
+            if done == 1 and taken <= BLOCK:
+                # The first round measures every point.
+                now, rest = _next_rounds_of_one(blocks, now, move, iterations - done)
+                if measured is not None:
+                    measured += rest
+                break
             if done % CUT == 0:
                 tables.append(stored(blocks, "blocks"))
                 blocks = tables[-1].df

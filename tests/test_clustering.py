@@ -117,6 +117,7 @@ def cached(spark):
 @pytest.mark.parametrize("merge_places", [False, True])
 def test_scratch_is_freed(spark, shared, monkeypatch, points, starts, merge_places):
     monkeypatch.setattr(clustering, "CUT", 2)
+    monkeypatch.setattr(clustering, "BLOCK", 1)
     before, held = set(files_below(shared)), cached(spark)
     result = clustering.lloyd(points, starts(), 7, merge_places=merge_places)
     assert not set(files_below(shared)) - before and cached(spark) == held
@@ -129,6 +130,7 @@ def test_a_failed_round_leaves_nothing_cached(spark, shared, monkeypatch, points
     for merge_places in (False, True):
         with pytest.raises(Exception, match="not a finite number"):
             clustering.lloyd(odd, starts(), 3, merge_places=merge_places)
+    monkeypatch.setattr(clustering, "BLOCK", 1)
     monkeypatch.setattr(clustering, "_next_round", lambda blocks, move: blocks.selectExpr("CAST(raise_error('lost') AS array<double>) AS sums", "measured"))
     with pytest.raises(Exception, match="lost"):
         clustering.lloyd(points, starts(), 3)
@@ -205,6 +207,23 @@ def test_later_rounds_measure_few_points(spark):
     assert measured[0] == points.count() and sum(measured[1:]) < 5 * measured[0]
 
 
+@pytest.mark.parametrize("block", [16_384, 200, 7])
+def test_any_number_of_blocks(spark, monkeypatch, block):
+    """Many blocks, one, and one sum or one column per sum give the centroids of plain rounds."""
+    places = {i: [float(i * i % 37), float(i * 53 % 29)] for i in range(400)}
+    points = spark.createDataFrame([(i, *p) for i, p in places.items()], "id long, x double, y double").coalesce(1)
+    start = points.where("id < 6").selectExpr("CAST(id AS INT) AS cid", "x", "y")
+    monkeypatch.setattr(clustering, "BLOCK", block)
+    monkeypatch.setattr(clustering, "CUT", 3)
+    labels, centres = by_hand(places, [(i, places[i]) for i in range(6)], 7)
+    for few in (0, 100):
+        monkeypatch.setattr(clustering, "FEW_SUMS", few)
+        measured = []
+        result = clustering.lloyd(points, start, 7, measured=measured)
+        assert dict(rows(result.labelled, "id", "cid")) == labels and len(measured) == 7
+        assert {c: [x, y] for c, x, y in rows(result.centroids)} == {c: pytest.approx(p) for c, p in centres.items()}
+
+
 def test_centroids_of_one_id_become_one(spark, points):
     start = spark.createDataFrame([(1, 0.0, 0.0), (1, 0.0, 2.0), (2, 10.0, 0.0)], "cid int, x double, y double")
     assert rows(clustering.lloyd(points, start, 2).centroids) == [(1, 0.0, 1.0), (2, 10.0, 1.0)]
