@@ -21,7 +21,7 @@ MOST_EPOCHS = 3
 WEIGHTS = (1, 2, 3)
 SLOPES = (-0.5, 0.0, 0.5)
 # Documents of all sources that one hash range has on average; a source's sizes are summed by range.
-RANGE_ROWS = 50_000
+RANGE_ROWS = 2_000
 
 
 def size_of(text: Column) -> Column:
