@@ -329,6 +329,25 @@ def _text_file(df: DataFrame, name: str) -> str:
     return path
 
 
+def job_grep(spark: SparkSession, folder: str) -> DataFrame:
+    out = scratch_path(spark, "grep")
+    jobs.grep(spark, _text_file(tables.lines(spark, folder), "lines"), NEEDLE, out, "json")
+    return spark.read.schema("n bigint").json(out)
+
+
+def job_line_count(spark: SparkSession, folder: str) -> DataFrame:
+    out = scratch_path(spark, "line-count")
+    jobs.line_count(spark, _text_file(tables.web_log(spark, folder), "web-log"), out)
+    return text_source.read_lines(spark, out).select(F.col("value").cast("bigint").alias("n"))
+
+
+def job_neighbour_sums(spark: SparkSession, folder: str) -> DataFrame:
+    out = scratch_path(spark, "sums")
+    jobs.neighbour_sums(spark, _text_file(tables.edges(spark, folder), "edges"), out)
+    sums = text_source.parse_edges(text_source.read_lines(spark, out))
+    return sums.select(F.col("src").alias("id"), F.col("dst").alias("id_sum"))
+
+
 def job_degree_files(spark: SparkSession, folder: str) -> DataFrame:
     """The three files of one job, read back: which file, and its numbers."""
     out = scratch_path(spark, "degree-files")
@@ -441,6 +460,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "sink_text": sink_text,
         "sink_csv": sink_csv,
         "sink_single_file": sink_single_file,
+        "job_grep": job_grep,
+        "job_line_count": job_line_count,
+        "job_neighbour_sums": job_neighbour_sums,
         "job_degree_files": job_degree_files,
         "job_top_visitor_rank": job_top_visitor_rank,
         "job_lloyd_kmeans": job_lloyd_kmeans,
@@ -648,6 +670,9 @@ def oracle_sql() -> dict[str, str]:
         "sink_text": degrees,
         "sink_csv": ranks,
         "sink_single_file": f"WITH {_GRAPH} SELECT id, followers, pursuers, 1::BIGINT AS files FROM degrees",
+        "job_grep": grep,
+        "job_line_count": f"WITH {_WEB_LOG} SELECT count(*)::BIGINT AS n FROM web_log",
+        "job_neighbour_sums": f"WITH {_EDGES} SELECT src AS id, sum(dst)::BIGINT AS id_sum FROM edges GROUP BY src",
         "job_degree_files": f"""WITH {_GRAPH}
             SELECT 'both' AS file, id, followers AS first, pursuers AS second FROM degrees
             UNION ALL SELECT 'followers', id, followers, NULL FROM degrees
