@@ -21,6 +21,7 @@ from accountgraph.sources.text import (
     parse_visits,
     read_lines,
 )
+from accountgraph.storage import settings
 
 
 def _require(**values: str) -> None:
@@ -162,4 +163,6 @@ def visit_log(
     """``account ip time`` as text: a synthetic log for every account of the edge file."""
     _require(edges=edges, output=output)
     ids = parse_ids(read_lines(spark, edges)).distinct()
-    write_text(generate.generate_visits(ids, seed), output, mode, single_file)
+    # An id is small but grows into several hashed rows, so partitions of ids are not merged up to the usual size.
+    with settings(spark, adaptive_coalescePartitions_minPartitionSize="64k"):
+        write_text(generate.generate_visits(ids, seed), output, mode, single_file)
